@@ -17,7 +17,7 @@ def _block(step: str, rows: int) -> Column:
     return F.floor(F.col(step) / rows).cast("bigint")
 
 
-def ema(df: DataFrame, key: str, step: str, value: str, decay: float, block_rows: int | None = None) -> DataFrame:
+def ema(df: DataFrame, key: str, step: str, value: str, decay: float = 0.995, block_rows: int | None = None) -> DataFrame:
     """Exponential moving average per key in step order; the first value starts it.
 
     The average is linear, so a block of steps needs only what came in: ``e = decay**n * carried + own part``.

@@ -122,11 +122,14 @@ def quantile_minmax(scores: DataFrame, values: dict[str, str], q: float = 0.98,
 
 
 def soft_or_weights(scores: DataFrame, q: float = 0.98) -> DataFrame:
-    """``weight = h + d - h*d`` of scaled student entropy and scaled positive divergence."""
+    """``weight = h + d - h*d`` of scaled student entropy and scaled positive divergence.
+
+    Written as ``1 - (1-h)*(1-d)``, which is exactly 1 wherever one side is, so that ranking sees true ties.
+    """
     rows = scores.withColumn("_delta", F.greatest(F.col("fkl"), F.lit(0.0)))
     scaled = quantile_minmax(rows, {"h_hat": "student_entropy", "d_hat": "_delta"}, q)
     h, d = F.col("h_hat"), F.col("d_hat")
-    return scaled.withColumn("weight", h + d - h * d).drop("_delta")
+    return scaled.withColumn("weight", 1 - (1 - h) * (1 - d)).drop("_delta")
 
 
 def retained_tokens(weighted: DataFrame, retention: float, hot_rows: int = HOT_ROWS) -> DataFrame:

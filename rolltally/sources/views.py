@@ -7,7 +7,7 @@ teacher's view, an event is a logged metric value. All rows are used. Each view
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolltally.config import LossParams
@@ -15,7 +15,7 @@ from rolltally.operators import tokens as T
 from rolltally.operators.evaluation import grade
 from rolltally.operators.ordering import numbered
 from rolltally.operators.vote import with_answers
-from rolltally.sources.staging import stage, staged
+from rolltally.sources.staging import staged
 
 B = "\\boxed{"
 
@@ -169,8 +169,13 @@ def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "masked", lambda: T.token_mask(weighted(spark, sf_dir)))
 
 
+def cents() -> Column:
+    """Metric value of an event in whole hundredths, so that sums are exact whatever the order of addition."""
+    return F.round(F.col("value") * 100).alias("value")
+
+
 def build_steps(spark: SparkSession, sf_dir: str, hot_rows: int = 1 << 20) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("name"), "value")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("name"), cents())
     block = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
     rows = numbered(events, ["user_id"], ["ts", "event_id"], block, "step", hot_rows)
     return rows.withColumn("step", F.col("step") + 1)
@@ -181,12 +186,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "steps", lambda: build_steps(spark, sf_dir))
 
 
-def ids_of(text) -> "F.Column":
+def ids_of(text: Column) -> Column:
     """Stand-in token ids of a text: one per word, its length plus the code of its first character."""
     return F.transform(F.split(text, " "), lambda w: (F.length(w) + F.ascii(w)).cast("int"))
 
-
-__all__ = [
-    "answers", "eval_rollouts", "graded", "ids_of", "masked", "problems", "rollouts", "scores", "stage", "steps",
-    "table", "tokens", "weighted",
-]
