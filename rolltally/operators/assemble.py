@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolltally.config import BatchParams
 from rolltally.functions import arrays as A
-from rolltally.operators.ordering import numbered
+from rolltally.operators.ordering import numbered_all
 from rolltally.operators.vote import PROMPT
 
 
@@ -43,16 +43,14 @@ def rollout_major_order(selected: DataFrame, batch: list[str]) -> DataFrame:
     )
 
 
-def micro_batches(selected: DataFrame, params: BatchParams, prompts_per_block: int = 1 << 16, hot_rows: int = 1 << 20) -> DataFrame:
+def micro_batches(selected: DataFrame, params: BatchParams, prompts_per_block: int = 1 << 16) -> DataFrame:
     """Optimiser step and micro-batch of every selected rollout, prompts taken in id order.
 
     Prompts are numbered over the whole table in blocks of ids, not in a single-task window.
     """
     per_step = params.prompts_per_step
     block = F.floor(F.col(PROMPT[0]) / prompts_per_block)
-    prompts = numbered(
-        selected.select(*PROMPT).distinct().withColumn("_all", F.lit(0)), ["_all"], PROMPT, block, "prompt_rank", hot_rows
-    ).drop("_all")
+    prompts = numbered_all(selected.select(*PROMPT).distinct(), PROMPT, block, "prompt_rank")
     position = F.col("sel_rank") * per_step + F.col("prompt_rank") % per_step
     return (
         selected.join(prompts, PROMPT)

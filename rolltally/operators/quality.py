@@ -56,17 +56,17 @@ def rollout_accuracy(groups: DataFrame, votes: DataFrame, problems: DataFrame, t
         ratio(_n_if(labelled & _same("label_key", "truth_key")), _n_if(labelled)).alias("vote_accuracy"),
         F.count(F.lit(1)).alias("_prompts"),
     )
-    return _side_by_side(per_rollout, per_prompt).select(
+    return side_by_side(per_rollout, per_prompt).select(
         "rollout_accuracy", "vote_accuracy", ratio(F.col("_solved"), F.col("_prompts")).alias("pass_at_k")
     )
 
 
-def _side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Columns of several one-row aggregates next to each other, joined on a constant key."""
-    out = one_row[0].withColumn("_one", F.lit(1))
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Columns of several one-row aggregates in one row: stacked with nulls, then collapsed. No join."""
+    stacked = one_row[0]
     for other in one_row[1:]:
-        out = out.join(other.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def wrong_label_neither(groups: DataFrame, votes: DataFrame, problems: DataFrame, truth: str = "ground_truth") -> DataFrame:
@@ -110,7 +110,7 @@ def signal_accuracy(
     update = _known(selected, problems, truth).agg(
         _n_if((F.col("direction_sign") > 0) == _same("answer_key", "truth_key")).alias("_u"), F.count(F.lit(1)).alias("_un")
     )
-    return _side_by_side(every, fix, update).select(
+    return side_by_side(every, fix, update).select(
         ratio(F.col("_right") + F.col("_fix"), F.col("_total")).alias("signal_accuracy"),
         ratio(F.col("_u"), F.col("_un")).alias("update_signal_accuracy"),
     )
@@ -133,7 +133,7 @@ def selection_metrics(raw_groups: DataFrame, votes: DataFrame, selected: DataFra
         F.max("n_tokens").alias("selected_len_max"),
     )
     found = raw_groups.agg(ratio(_n_if(F.col("answer_key").isNotNull(), F.col("n")), F.sum("n")).alias("extractable_fraction"))
-    return _side_by_side(prompts, rows, found).select(
+    return side_by_side(prompts, rows, found).select(
         ratio(F.col("_pos"), F.col("_all")).alias("positive_fraction"),
         "update_positive_fraction",
         "extractable_fraction",
@@ -159,7 +159,7 @@ def vote_metrics(groups: DataFrame, votes: DataFrame, problems: DataFrame, thres
     )
     found = groups.agg(ratio(_n_if(F.col("answer_key").isNotNull(), F.col("n")), F.sum("n")).alias("extractable_fraction"))
     accuracy = rollout_accuracy(groups, votes, problems, truth).select("vote_accuracy", F.col("pass_at_k").alias("pass_at_n"))
-    return _side_by_side(prompts, found, accuracy)
+    return side_by_side(prompts, found, accuracy)
 
 
 def shard_sums(answers: DataFrame, shard: Column, truth: str = "ground_truth") -> DataFrame:

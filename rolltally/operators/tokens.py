@@ -15,7 +15,7 @@ from rolltally.config import LossParams
 from rolltally.functions import vectors as V
 from rolltally.functions.arrays import IGNORE
 from rolltally.operators.ordering import HOT_ROWS, numbered
-from rolltally.operators.quality import _side_by_side
+from rolltally.operators.quality import side_by_side
 from rolltally.operators.quantiles import exact_percentiles
 
 BATCH = ["seq_id"]
@@ -223,7 +223,7 @@ def branch_monitor(samples: DataFrame, masked: DataFrame, params: LossParams) ->
     logps = masked.where(valid() & negative).agg(
         F.avg(F.when(F.col("masked_in"), F.col("logp"))).alias("selected_logp_mean"), F.avg("logp").alias("all_logp_mean")
     )
-    return _side_by_side(losses, logps)
+    return side_by_side(losses, logps)
 
 
 def sampled_advantage(scores: DataFrame) -> DataFrame:

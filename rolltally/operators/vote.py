@@ -34,28 +34,26 @@ def majority_vote(answers: DataFrame, prompt: list[str] = PROMPT, idx: str = "ro
     """One row per prompt: ``pseudo_label, label_key, consensus_count, n_rollouts``.
 
     The biggest group of equivalent answers wins; ties go to the shorter representative (its first member's
-    text), then to the group seen first. Null label and 0 votes without a single answer. Three combinable
-    aggregates, each on the much smaller output of the one before, so a hot prompt is spread over its answers.
+    text), then to the group seen first. Null label and 0 votes without a single answer. Two combinable
+    aggregates, the second on one row per answer group, so a hot prompt is reduced inside the map tasks.
     """
-    variants = answers.groupBy(*prompt, "answer_key", "answer").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(idx).alias("_first")
-    )
-    clusters = variants.groupBy(*prompt, "answer_key").agg(
-        F.sum("_n").alias("_n"), F.min_by("answer", "_first").alias("_rep"), F.min("_first").alias("_first")
+    clusters = (
+        answers.groupBy(*prompt, "answer_key")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min_by("answer", idx).alias("_rep"), F.min(idx).alias("_first"))
+        .withColumn("_size", F.length(A.strip(F.col("_rep"))))
     )
+    # One ordered struct: "_first" is unique, so what follows it never decides.
     rank = F.when(
-        F.col("answer_key").isNotNull(),
-        F.struct((-F.col("_n")).alias("n"), F.length(A.strip(F.col("_rep"))).alias("size"), F.col("_first").alias("first")),
+        F.col("answer_key").isNotNull(), F.struct((-F.col("_n")).alias("_lost"), "_size", "_first", "_rep", "answer_key")
     )
-    best = F.min_by(F.struct("_rep", "answer_key", "_n"), rank)
     return (
         clusters.groupBy(*prompt)
-        .agg(best.alias("_best"), F.sum("_n").alias("n_rollouts"))
+        .agg(F.min(rank).alias("_best"), F.sum("_n").alias("n_rollouts"))
         .select(
             *prompt,
             F.col("_best._rep").alias("pseudo_label"),
             F.col("_best.answer_key").alias("label_key"),
-            F.coalesce(F.col("_best._n"), F.lit(0)).cast("bigint").alias("consensus_count"),
+            F.coalesce(-F.col("_best._lost"), F.lit(0)).cast("bigint").alias("consensus_count"),
             "n_rollouts",
         )
     )

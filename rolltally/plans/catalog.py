@@ -826,7 +826,7 @@ def stream_metric_window(spark, d):
 @query
 def stream_vote(spark, d):
     items = jobs.read_stream(spark, d, views.table(spark, d, "lineitem").schema, "lineitem.parquet")
-    rows = vote.with_answers(views._rollouts(spark, d, items))
+    rows = vote.with_answers(views.rollouts_of(items, views.ORDER))
     start = F.lit("2024-01-01").cast("timestamp")
     timed = rows.withColumn("ts", start + F.make_dt_interval(mins=F.col("prompt_id").cast("int")))
     result = jobs.drain(jobs.vote(timed, "1 hour", "0 seconds", views.ORDER), "stream-vote")

@@ -33,9 +33,12 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rollouts(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+ITEM = [*ORDER, "l_partkey", "l_quantity", "l_discount", "l_tax"]
+
+
+def rollouts_of(items: DataFrame, keep: list[str]) -> DataFrame:
     """Completions with seven notations of an answer, a decoy before the end of thinking, two ways of missing."""
-    items = table(spark, sf_dir, "lineitem") if items is None else items
     a = F.floor("l_quantity") % 5 + F.col("l_suppkey") % 2
     v = (F.col("l_suppkey") * 3 + F.col("l_linenumber") + F.col("l_orderkey")) % 10
     text = lambda c: c.cast("string")
@@ -66,10 +69,7 @@ def _rollouts(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
         .withColumn("v", v)
         .select(
             F.col("l_partkey").alias("prompt_id"),
-            "l_orderkey",
-            "l_linenumber",
-            "l_suppkey",
-            "l_extendedprice",
+            *keep,
             (F.floor("l_extendedprice") % 1500).alias("n_tokens"),
             (F.col("l_discount") * 7 + F.col("l_tax")).alias("kl_score"),
             logprobs.alias("logprobs"),
@@ -79,17 +79,12 @@ def _rollouts(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
     )
 
 
-ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
-
-
 def build_rollouts(spark: SparkSession, sf_dir: str, hot_rows: int = 1 << 20) -> DataFrame:
-    rows = _rollouts(spark, sf_dir)
+    """Items are numbered while narrow; the texts are made after that exchange."""
+    items = table(spark, sf_dir, "lineitem").select(*ITEM)
     block = F.floor(F.col("l_orderkey") / (1 << 16))
-    return (
-        numbered(rows, ["prompt_id"], ORDER, block, "rollout_idx", hot_rows)
-        .drop(*ORDER)
-        .join(problems(spark, sf_dir), "prompt_id")
-    )
+    numbers = numbered(items, ["l_partkey"], ORDER, block, "rollout_idx", hot_rows)
+    return rollouts_of(numbers, ["rollout_idx"]).join(problems(spark, sf_dir), "prompt_id")
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
