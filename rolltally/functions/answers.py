@@ -88,14 +88,18 @@ def normalize_answer_eval(answer: Column) -> Column:
     return strip(F.lower(F.translate(answer, "$ ", "")))
 
 
-def numeric_value(answer: Column) -> Column:
-    """Value of an integer, decimal, fraction or ratio as ``decimal(38,6)``, else null.
+def bare_form(answer: Column) -> Column:
+    """Answer without white space, dollar signs, thin spaces and thousands separators."""
+    bare = F.regexp_replace(answer, r"(?U)[\s$]+|\\[!,;]", "")
+    return F.when(bare.contains(","), F.regexp_replace(bare, r"(?<=\d),(?=\d{3}(?!\d))", "")).otherwise(bare)
+
+
+def numeric_value(bare: Column) -> Column:
+    """Value of a bare integer, decimal, fraction or ratio as ``decimal(38,6)``, else null.
 
     Six decimals are the precision at which two numbers count as equal. Too long numbers,
     division by zero and everything that isn't a plain number give null rather than an error.
     """
-    bare = F.regexp_replace(answer, r"(?U)[\s$]+|\\[!,;]", "")
-    bare = F.regexp_replace(bare, r"(?<=\d),(?=\d{3}(?!\d))", "")
     plain = r"^[+-]?(?:\d+\.?\d*|\.\d+)\z"
     signed = rf"[+-]?{_NUMBER}"
     quotient = F.regexp_replace(bare, rf"^({signed})[:/]({signed})\z", r"+;$1;$2")
@@ -108,14 +112,19 @@ def numeric_value(answer: Column) -> Column:
     return F.when(bare.rlike(plain), bare.try_cast("decimal(38,6)")).when(bare.rlike(r"[:/\\]"), value)
 
 
+def key_of(answer: Column, bare: Column, text_form=normalize_answer) -> Column:
+    """Key from an answer and its bare form, for callers that hold the latter as a column of its own."""
+    number = F.concat(F.lit("n:"), numeric_value(bare).cast("string"))
+    return F.coalesce(number, F.concat(F.lit("t:"), F.nullif(text_form(answer), F.lit(""))))
+
+
 def answer_key(answer: Column, text_form=normalize_answer) -> Column:
     """Canonical key: two answers are equivalent exactly when their keys are equal.
 
     Numbers compare by value (``n:``), all else by its normalised text (``t:``). Null for a missing
     or empty answer, which therefore never matches. Algebraic equality is not attempted.
     """
-    number = F.concat(F.lit("n:"), numeric_value(answer).cast("string"))
-    return F.coalesce(number, F.concat(F.lit("t:"), F.nullif(text_form(answer), F.lit(""))))
+    return key_of(answer, bare_form(answer), text_form)
 
 
 def answer_key_eval(answer: Column) -> Column:

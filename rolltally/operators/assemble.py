@@ -71,15 +71,37 @@ def training_set(
     """Ids, masks, labels, direction and advantage of every selected rollout in rollout-major order.
 
     ``prompts(prompt, student_ids, teacher_ids)``, ``completions(prompt, rollout_idx, token_ids)``. Labels hide
-    the prompt's true length, then padding. The per-prompt arrays are padded before rollouts multiply them.
+    the prompt's true length, then padding. One window over the few prompts of a batch gives their rank, number and
+    padded lengths; prompts are padded before rollouts multiply them.
     """
     limit = A.prompt_limit(max_length, max_tokens)
-    keys = selected.select(*batch, *PROMPT).distinct()
-    padded = prompts.join(keys, PROMPT)
+    of_batch = Window.partitionBy(*batch)
+    table = prompts.join(selected.select(*batch, *PROMPT).distinct(), PROMPT)
     for side in ("student", "teacher"):
-        padded = pad_to_batch(padded, batch, f"{side}_ids", pad, limit, f"{side}_prompt")
-    rows = rollout_major_order(selected, batch).join(completions, [*PROMPT, "rollout_idx"]).join(
-        padded.drop("student_ids", "teacher_ids"), [*batch, *PROMPT]
+        ids = F.col(f"{side}_ids")
+        table = table.withColumn(f"{side}_ids", A.truncate(ids, limit) if limit else ids)
+    table = table.select(
+        *batch,
+        *PROMPT,
+        "student_ids",
+        "teacher_ids",
+        (F.row_number().over(of_batch.orderBy(*PROMPT)) - 1).alias("_rank"),
+        F.count(F.lit(1)).over(of_batch).alias("_prompts"),
+        F.max(F.size("student_ids")).over(of_batch).alias("_student"),
+        F.max(F.size("teacher_ids")).over(of_batch).alias("_teacher"),
+    ).select(
+        *batch,
+        *PROMPT,
+        "_rank",
+        "_prompts",
+        F.size("student_ids").alias("_true_length"),
+        A.pad_right(F.col("student_ids"), F.col("_student"), pad).alias("student_prompt"),
+        A.pad_right(F.col("teacher_ids"), F.col("_teacher"), pad).alias("teacher_prompt"),
+    )
+    rows = (
+        selected.join(table, [*batch, *PROMPT])
+        .withColumn("position", (F.col("sel_rank") * F.col("_prompts") + F.col("_rank")).cast("bigint"))
+        .join(completions, [*PROMPT, "rollout_idx"])
     )
     answer = A.pad_truncate(F.col("token_ids"), max_tokens, pad)
     rows = rows.withColumn("student_input_ids", F.concat("student_prompt", answer)).withColumn(
@@ -94,7 +116,7 @@ def training_set(
         A.attention_mask(F.col("student_input_ids"), pad).alias("student_attention_mask"),
         "teacher_input_ids",
         A.attention_mask(F.col("teacher_input_ids"), pad).alias("teacher_attention_mask"),
-        A.label_mask(F.col("student_input_ids"), F.col("student_prompt_length"), pad).alias("labels"),
+        A.label_mask(F.col("student_input_ids"), F.col("_true_length"), pad).alias("labels"),
         F.size("student_prompt").alias("student_prompt_width"),
         F.size("teacher_prompt").alias("teacher_prompt_width"),
         "direction_sign",

@@ -21,12 +21,13 @@ def with_answers(rollouts: DataFrame, text: str = "completion", rule: str = "fir
     own projection so that no long text expression is evaluated twice.
     """
     body = A.after_first_box if rule == "first" else A.after_last_box
-    key = A.answer_key if rule == "first" else A.answer_key_eval
+    text_form = A.normalize_answer if rule == "first" else A.normalize_answer_eval
     return (
         rollouts.withColumn("_body", body(F.col(text)))
         .withColumn("answer", A.strip(A.brace_content(F.col("_body"))))
-        .withColumn("answer_key", key(F.col("answer")))
-        .drop("_body", text)
+        .withColumn("_bare", A.bare_form(F.col("answer")))
+        .withColumn("answer_key", A.key_of(F.col("answer"), F.col("_bare"), text_form))
+        .drop("_body", "_bare", text)
     )
 
 

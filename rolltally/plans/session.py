@@ -15,6 +15,10 @@ SETTINGS = {
     # stay in one task. With the exchange, rank filters are also applied before it (WindowGroupLimit).
     "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Streaming state beyond the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
