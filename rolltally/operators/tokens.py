@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rolltally.config import LossParams
 from rolltally.functions import vectors as V
 from rolltally.functions.arrays import IGNORE
+from rolltally.functions.score_batches import SCORES, score_batches
 from rolltally.operators.ordering import HOT_ROWS, numbered
 from rolltally.operators.quality import side_by_side
 from rolltally.operators.quantiles import exact_percentiles
@@ -40,8 +41,20 @@ def with_log_probs(tokens: DataFrame, temperature: float, top_k: int | None = No
     return out.drop("_top")
 
 
-def token_scores(tokens: DataFrame, params: LossParams = LossParams()) -> DataFrame:
-    """Entropies, divergences and sampled log-probabilities of every position."""
+def token_scores(tokens: DataFrame, params: LossParams = LossParams(), engine: str = "arrow") -> DataFrame:
+    """Entropies, divergences and sampled log-probabilities of every position.
+
+    The one pass over the score vectors, and where the processor time goes. Ten figures from one pair of vectors
+    cost built-in array functions some twenty sweeps with boxed values; numpy on Arrow batches measured four to six
+    times faster at 64 and at 1,024 entries, so that is the default. ``builtin`` stays inside the JVM.
+    """
+    if engine == "arrow":
+        kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
+        schema = ", ".join([f"{c} {kinds[c]}" for c in CARRIED] + [f"{c} double" for c in SCORES])
+        run = score_batches(CARRIED, params.temperature, params.clip, params.clip_mode)
+        return tokens.select(*CARRIED, "student", "teacher").mapInArrow(run, schema)
+    if engine != "builtin":
+        raise ValueError("engine must be 'arrow' or 'builtin'")
     rows = with_log_probs(tokens, params.temperature)
     ls, lt = F.col("ls"), F.col("lt")
     fkl, rkl = V.forward_kl_terms(ls, lt), V.reverse_kl_terms(ls, lt)

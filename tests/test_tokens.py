@@ -96,7 +96,9 @@ def samples(rows):
     return out
 
 
-def test_scores(scores, spec_rows):
+@pytest.mark.parametrize("engine", ["arrow", "builtin"])
+def test_scores(tokens, spec_rows, engine):
+    scores = T.token_scores(tokens, engine=engine)
     got = {(r.seq_id, r.sample_id, r.pos): r for r in scores.collect()}
     for r in spec_rows:
         g = got[r["seq_id"], r["sample_id"], r["pos"]]
@@ -106,6 +108,21 @@ def test_scores(scores, spec_rows):
         assert g.fkl >= -1e-12 and g.rkl >= -1e-12
 
 
+@pytest.mark.parametrize("params", [LossParams(clip=None), LossParams(clip=0.5, clip_mode="token")])
+def test_engines_agree_on_ragged_vectors(spark, params):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        n = int(rng.integers(1, 9))
+        rows.append((0, 0, i, i % n, -100 if i % 5 == 0 else i % n, 1, 1.0, rng.normal(size=n).tolist(), rng.normal(size=n).tolist()))
+    schema = "seq_id long, sample_id long, pos long, token_id long, label long, direction_sign int, advantage double, student array<double>, teacher array<double>"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    one, two = (T.token_scores(df, params, engine).orderBy("pos").toPandas() for engine in ("arrow", "builtin"))
+    assert list(one.columns) == list(two.columns) and np.allclose(one.to_numpy(float), two.to_numpy(float))
+    with pytest.raises(Exception, match="empty"):
+        T.token_scores(df.withColumn("student", F.slice("student", 1, 0))).collect()
+
+
 @pytest.mark.parametrize("beta", [0, 0.2, 0.5, 1])
 @pytest.mark.parametrize("top_k", [None, 5])
 def test_jsd(tokens, data, beta, top_k):
