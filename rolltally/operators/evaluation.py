@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolltally.functions import answers as A
 from rolltally.operators.ordering import running
-from rolltally.operators.vote import majority_vote_raw
+from rolltally.operators.vote import majority_vote_raw, with_answers
 
 PROBLEM = ["dataset", "problem_id"]
 NEST = 256
@@ -74,13 +74,21 @@ def summary(problems: DataFrame, by: list[str] = ["dataset"]) -> DataFrame:
     )
 
 
-def generations(graded: DataFrame, texts: DataFrame, part_size: int = NEST) -> DataFrame:
-    """Nested generations per problem, in sampling order.
+def graded_texts(rollouts: DataFrame, truth: str = "ground_truth") -> DataFrame:
+    """Rollouts with answer and grade next to their completion, in one pass over the text.
+
+    Grading again while reading is cheaper than joining grades to texts: long completions stay where they are.
+    """
+    rows = with_answers(rollouts.withColumn("_text", F.col("completion")), "_text", "last")
+    return grade(rows, truth)
+
+
+def generations(rows: DataFrame, part_size: int = NEST) -> DataFrame:
+    """Nested generations per problem, in sampling order, from ``graded_texts``.
 
     A problem's list is cut into parts of ``part_size`` rollouts (``part`` 0, 1, ...), so that one row stays
     bounded for any number of samples; with up to ``part_size`` samples there is exactly one part.
     """
-    rows = graded.join(texts, [*PROBLEM, "rollout_idx"])
     item = F.struct(
         F.col("rollout_idx"),
         shown_answer().alias("predicted_answer"),
@@ -143,6 +151,6 @@ def validation(graded: DataFrame, val_n: int, truth: str = "ground_truth") -> Da
 
 
 __all__ = [
-    "generations", "grade", "majority_vote_raw", "per_problem", "progress", "report", "running_metrics",
+    "generations", "grade", "graded_texts", "majority_vote_raw", "per_problem", "progress", "report", "running_metrics",
     "summary", "validation",
 ]

@@ -152,9 +152,8 @@ def write_rollout_log(spark, d):
 @query
 def write_eval_report(spark, d):
     """The report is written as JSON, read back and flattened."""
-    texts = views.eval_rollouts(spark, d).select("dataset", "problem_id", "rollout_idx", "completion")
     per = evaluation.per_problem(views.graded(spark, d))
-    results = evaluation.report(per, evaluation.generations(views.graded(spark, d), texts))
+    results = evaluation.report(per, evaluation.generations(evaluation.graded_texts(views.eval_rollouts(spark, d))))
     path = new_path(spark, "eval-report")
     sinks.write_eval_report(evaluation.summary(per), results, path)
     back = spark.read.schema(results.schema).json(f"{path}/results")
@@ -375,8 +374,7 @@ def eval_per_problem(spark, d):
 
 @query
 def eval_generations_nested(spark, d):
-    texts = views.eval_rollouts(spark, d).select("dataset", "problem_id", "rollout_idx", "completion")
-    nested = evaluation.generations(views.graded(spark, d), texts)
+    nested = evaluation.generations(evaluation.graded_texts(views.eval_rollouts(spark, d)))
     return nested.select("dataset", "problem_id", F.inline("generations"))
 
 

@@ -233,7 +233,7 @@ def test_evaluation_placeholder_votes_and_empty_boxes(spark):
     assert (got[1].num_correct, got[1].num_formatted, got[1].pass_at_n, got[1].majority_vote_correct) == (1, 3, True, False)
     assert got[1].predicted_answer == "[No boxed answer found]" and got[1].formatted and not got[2].formatted
     assert not got[2].majority_vote_correct and got[2].num_formatted == 0
-    parts = evaluation.generations(graded, df.withColumn("completion", F.lit("c")).select("dataset", "problem_id", "rollout_idx", "completion"), 2)
+    parts = evaluation.generations(graded.withColumn("completion", F.lit("c")), 2)
     assert {(r.problem_id, r.part, tuple(g.rollout_idx for g in r.generations)) for r in parts.collect()} == {
         (1, 0, (0, 1)), (1, 1, (2, 3)), (2, 0, (0,)),
     }
