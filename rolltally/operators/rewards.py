@@ -15,7 +15,10 @@ _registry: dict[str, RewardFunction] = {}
 
 
 def register_reward(name: str, build: RewardFunction) -> None:
-    """Add a reward: a function that returns a double column over the rollout table."""
+    """Add a reward: a function that returns a numeric column over the rollout table.
+
+    Built-in functions keep it inside code generation; a pandas UDF column works where they cannot say it.
+    """
     _registry[name] = build
 
 
