@@ -174,7 +174,7 @@ WITH RECURSIVE w AS (
 ), g AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-      ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w)
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
 ), p AS (
