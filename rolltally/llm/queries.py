@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolltally.llm import minhash_dedup, mixing, sharding, substring_dedup
+from rolltally.llm import html_extract, minhash_dedup, mixing, sharding, substring_dedup
 from rolltally.plans.session import configure
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": _table("documents", mixing.op4_source_mix),
     "op7_minhash": _table("documents", minhash_dedup.op7_minhash),
     "op8_shards": _table("documents", sharding.op8_shards),
+    "op10_html": _table("pages", html_extract.op10_html),
 }
 
 ORACLES: dict[str, str] = {
