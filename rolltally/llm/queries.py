@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolltally.llm import html_extract, minhash_dedup, mixing, sharding, substring_dedup
+from rolltally.llm import html_extract, license_scan, minhash_dedup, mixing, sharding, substring_dedup
 from rolltally.plans.session import configure
 
 
@@ -19,6 +19,7 @@ def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": _table("documents", license_scan.op2_licenses),
     "op3_substring_dedup": _table("documents", substring_dedup.op3_substring_dedup),
     "op4_source_mix": _table("documents", mixing.op4_source_mix),
     "op7_minhash": _table("documents", minhash_dedup.op7_minhash),
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licenses": license_scan.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_source_mix": mixing.ORACLE_SQL,
     "op7_minhash": minhash_dedup.ORACLE_SQL,
