@@ -2,8 +2,8 @@
 
 64 permutations give 128 values; a band is two minima and two maxima (32 bands of 4 values, so a pair of similarity 0.75 shares
 a band with probability 1 - (1 - 0.75^4)^32 = 0.999995). Links are confirmed on the full shingle sets. Within a bucket no group is
-expanded into all pairs: every member is compared with the bucket's smallest id, and later only members of different components
-are, unless the distances to a common leader rule a link out (Jaccard distance is a metric).
+expanded into all pairs: every member is compared with the bucket's smallest id, and then only with those members of other components that known
+counts don't rule out (what a set shares with the bucket's smallest id, and how many of its shingles no other set has).
 
 Texts with equal word sequences form one class, represented by its smallest id; only representatives go on.
 
@@ -116,11 +116,28 @@ def _linked(similarity: int) -> Column:
     return 100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
+def _open_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of buckets whose members still are in several components, with their component."""
+    placed = rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
+    return store(placed.join(several, "band"), "minhash-open")
+
+
+def _may_link(similarity: int) -> Column:
+    """False only if sizes and known intersections rule the similarity of sets a and b out.
+
+    Two sets share at most the smaller of their parts within their leader's set, and outside it the smaller of the parts that
+    any other set has, too.
+    """
+    common = F.least("common_a", "common_b") + F.least(F.expr("n_a - common_a - alone_a"), F.expr("n_b - common_b - alone_b"))
+    return 100 * common >= similarity * (F.col("n_a") + F.col("n_b") - common)
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = store(texts.mapInArrow(_signed, _SIGNED), "minhash-signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = store(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     member = store(signed.join(classes, ["s1", "s2"], "left").withColumn("bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))), "minhash-members")
 
     rows = member.where("bands is not null").select("doc_id", F.explode("bands").alias("band")).distinct()
@@ -134,20 +151,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, doc_id: str =
     tested = store(_verified(first, sets), "minhash-tested")
     links = tested.where(_linked(similarity)).select("a", "b")
     label = components(links)
-
-    # Buckets whose members are still in several components: compare those members across components.
-    union = F.col("n_a") + F.col("n_b") - F.col("both")
-    far = tested.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("both") / union).alias("far"))
-    placed = rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
-    open_rows = store(
-        placed.join(several, "band").join(far, ["leader", "doc_id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "minhash-open"
-    )
-    x = open_rows.where("doc_id <> leader").select("band", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
-    y = open_rows.where("doc_id <> leader").select("band", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
-    reach = 1 - similarity / 100 + 1e-9
-    rest = x.join(y, (x.band == y.band) & (x.a < y.b) & (x.la != y.lb) & (F.abs(x.fa - y.fb) <= reach)).select("a", "b").distinct()
-    rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    shared = tested.groupBy(F.col("a").alias("leader"), F.col("b").alias("doc_id")).agg(F.max("n_b").alias("n"), F.max("both").alias("common"))
+    rows = store(rows.join(shared, ["leader", "doc_id"]), "minhash-shared")
+
+    # The rest: pairs of different components that share a bucket and may link.
+    open_rows = _open_rows(rows, label)
+    spread = open_rows.select("doc_id").union(open_rows.select("leader")).distinct()
+    spread = sets.join(spread, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    open_rows = store(open_rows.join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))), "minhash-bounds")
+    x, y = (open_rows.select("band", F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("label", "n", "common", "alone")]) for k in "ab")
+    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(similarity)).select("a", "b").distinct()
     more = store(_verified(rest, sets).where(_linked(similarity)).select("a", "b"), "minhash-rest")
     if not more.isEmpty():
         label = components(links.unionByName(more))
@@ -162,7 +177,7 @@ def op7_minhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without those that have a near duplicate of smaller id; rows with a null id stay, and of equal rows one stays."""
+    """Rows of ``docs`` without those that have a near duplicate of smaller id; rows with a null id and rows that share a kept id stay."""
     gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
