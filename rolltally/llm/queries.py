@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolltally.llm import html_extract, license_scan, minhash_dedup, mixing, sharding, substring_dedup
+from rolltally.llm import embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, sharding, substring_dedup
 from rolltally.plans.session import configure
 
 
@@ -19,9 +19,11 @@ def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": _table("documents", language_id.op1_language),
     "op2_licenses": _table("documents", license_scan.op2_licenses),
     "op3_substring_dedup": _table("documents", substring_dedup.op3_substring_dedup),
     "op4_source_mix": _table("documents", mixing.op4_source_mix),
+    "op5_embedding_dedup": _table("embeddings", embedding_dedup.op5_embedding_dedup),
     "op7_minhash": _table("documents", minhash_dedup.op7_minhash),
     "op8_shards": _table("documents", sharding.op8_shards),
     "op10_html": _table("pages", html_extract.op10_html),
@@ -31,5 +33,6 @@ ORACLES: dict[str, str] = {
     "op2_licenses": license_scan.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_source_mix": mixing.ORACLE_SQL,
+    "op5_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op7_minhash": minhash_dedup.ORACLE_SQL,
 }
