@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolltally.llm import embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, sharding, substring_dedup
+from rolltally.llm import embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, sharding, substring_dedup
 from rolltally.plans.session import configure
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": _table("documents", substring_dedup.op3_substring_dedup),
     "op4_source_mix": _table("documents", mixing.op4_source_mix),
     "op5_embedding_dedup": _table("embeddings", embedding_dedup.op5_embedding_dedup),
+    "op6_packing": _table("documents", packing.op6_packing),
     "op7_minhash": _table("documents", minhash_dedup.op7_minhash),
     "op8_shards": _table("documents", sharding.op8_shards),
     "op10_html": _table("pages", html_extract.op10_html),
