@@ -160,9 +160,14 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, doc_id: str =
     spread = sets.join(spread, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
     alone = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
-    open_rows = store(open_rows.join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))), "minhash-bounds")
-    x, y = (open_rows.select("band", F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("label", "n", "common", "alone")]) for k in "ab")
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(similarity)).select("a", "b").distinct()
+    shared = open_rows.groupBy("doc_id").agg(F.collect_set("band").alias("bands"))  # at most BANDS
+    open_rows = open_rows.join(shared, "doc_id").join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    open_rows = store(open_rows, "minhash-bounds")
+    x, y = (open_rows.select("band", F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("label", "n", "common", "alone", "bands")]) for k in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")  # a pair counts in one of its buckets
+    # A pair that its counts rule out in that bucket is ruled out for good, so no other bucket needs to ask.
+    rest = x.join(y, "band").where(apart & _may_link(similarity) & once).select("a", "b")
     more = store(_verified(rest, sets).where(_linked(similarity)).select("a", "b"), "minhash-rest")
     if not more.isEmpty():
         label = components(links.unionByName(more))
