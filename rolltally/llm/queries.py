@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolltally.llm import embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, sharding, substring_dedup
+from rolltally.llm import ann, embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, sharding, substring_dedup
 from rolltally.plans.session import configure
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": _table("documents", packing.op6_packing),
     "op7_minhash": _table("documents", minhash_dedup.op7_minhash),
     "op8_shards": _table("documents", sharding.op8_shards),
+    "op9_neighbours": _table("embeddings", ann.op9_neighbours),
     "op10_html": _table("pages", html_extract.op10_html),
 }
 
