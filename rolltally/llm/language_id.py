@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -154,19 +154,40 @@ def predict(docs: DataFrame, fitted: dict[str, list[int]]) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(partial(_predicted, fitted=fitted), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def held_out() -> Column:
+    """Rows that no profile is fitted on; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def training(rows: DataFrame) -> DataFrame:
+    return rows.where(~held_out()).where("lang is not null and text is not null").select("doc_id", "lang", "text")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Predict every row of ``docs``; profiles come from rows with a language whose crc32(doc_id) mod 3 is not 1."""
-    held_out = F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"), held_out.alias("held_out"))
-    fitted = fit(rows.where("not held_out and lang is not null and text is not null").select("doc_id", "lang", "text"))
-    return predict(rows, fitted)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    return predict(rows.withColumn("held_out", held_out()), fit(training(rows)))
 
 
 def op1_language(docs: DataFrame) -> DataFrame:
     return identify(docs)
 
 
+def _known(batches: Iterator[pa.RecordBatch], fitted: dict[str, list[int]], least: float, column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        none = pa.nulls(batch.num_rows)
+        rows = pa.RecordBatch.from_arrays([none, none, batch.column(column)], names=["doc_id", "held_out", "text"])
+        said = pa.Table.from_batches(_predicted(iter([rows]), fitted))
+        if said.num_rows:
+            keep = [lang != UNKNOWN and score >= least for lang, score in zip(said["lang_pred"].to_pylist(), said["score"].to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep))
+
+
 def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of ``docs`` with letters whose n-grams are not foreign to every language; ``lang`` stays as it is."""
-    bad = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` with letters whose n-grams are not foreign to every language; all columns stay as they are. Without any
+    labelled text there is nothing to compare with, and every text with letters stays."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    fitted = fit(training(rows))
+    if not fitted:
+        return docs.where(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
+    return docs.mapInArrow(partial(_known, fitted=fitted, least=least, column=docs.columns.index("text")), docs.schema)

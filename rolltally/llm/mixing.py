@@ -98,21 +98,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
     chosen = mix(docs, weights, max_epochs).select(
         F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_hash").alias("m_hash"), "size", "taken"
     ).where((F.col("taken") > 0) | (F.col("size") == 0))
-    names = docs.columns
-    rows = docs.withColumn("m_text_hash", text_hash(F.col("text")))
-    rows = rows.join(
-        chosen,
-        rows.doc_id.eqNullSafe(chosen.m_id) & rows.source.eqNullSafe(chosen.m_source) & (rows.m_text_hash == chosen.m_hash),
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("d_id"), docs["source"].alias("d_source"), text_hash(docs["text"]).alias("d_hash")
     )
+    rows = rows.join(chosen, F.col("d_id").eqNullSafe(F.col("m_id")) & F.col("d_source").eqNullSafe(F.col("m_source")) & (F.col("d_hash") == F.col("m_hash")))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
     epochs = F.array_repeat(F.lit(0), whole)
-    rows = rows.withColumn("m_cut", F.explode(F.when(rest > 0, F.concat(epochs, F.array(rest))).otherwise(epochs)))
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(F.col("m_cut") > 0, F.array_join(F.slice(words, F.lit(1), F.col("m_cut")), " ")).otherwise(F.col("text"))
-    out = {n: F.col(n) for n in names} | {"text": cut}
-    if "n_chars" in names:
-        out["n_chars"] = F.when(F.col("m_cut") > 0, F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    rows = rows.select("row", F.explode(F.when(rest > 0, F.concat(epochs, F.array(rest))).otherwise(epochs)).alias("cut"))
+    words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("cut") > 0, F.array_join(F.slice(words, F.lit(1), F.col("cut")), " ")).otherwise(F.col("row.text"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("cut") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return rows.select(*[c.alias(n) for n, c in out.items()])
 
 

@@ -236,12 +236,13 @@ def op3_substring_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``. A text without repeats is unchanged, one of which nothing is left goes."""
-    rest = without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), "n_words", "n_removed", "kept_text").distinct()
-    joined = docs.withColumn("r_text_key", _text_key(F.col("text"))).join(rest, (F.col("doc_id") == F.col("r_id")) & (F.col("r_text_key") == F.col("r_key")), "left")
-    joined = joined.where("n_removed is null or n_removed < n_words")
-    out = {n: F.col(n) for n in docs.columns} | {"text": F.coalesce("kept_text", "text")}
+    rest = without_repeats(docs).where("n_removed > 0").select("doc_id", "text_key", "n_words", "n_removed", "kept_text").distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs["text"]).alias("text_key"))
+    joined = rows.join(rest, ["doc_id", "text_key"], "left").where("n_removed is null or n_removed < n_words")
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.coalesce("kept_text", "row.text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))
+        cut = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(cut)
     return joined.select(*[c.alias(n) for n, c in out.items()])
 
 
