@@ -15,13 +15,15 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolltally.llm.store import store
-from rolltally.llm.vectors import common_size, matrix, usable
+from rolltally.llm.vectors import common_size, lists, matrix, usable
 
 DEGREE = 40
 ROUNDS = 10
@@ -134,12 +136,11 @@ def _best(links: DataFrame, most: int) -> DataFrame:
     return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def graph(points: DataFrame, count: int, size: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """``id, vector, block`` -> links ``u, w, d, fresh, rank``, about ``degree`` per vector."""
+def graph(points: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+    """``id, vector, codes, block`` -> links ``u, w, d, fresh, rank``, about ``degree`` per vector."""
     links = None
     for turn in range(TABLES):
-        code = _code(F.col("vector"), size, max(0, (count // BUCKET)).bit_length(), seed=turn)
-        coded = points.select("id", "vector", code.alias("code"))
+        coded = points.select("id", "vector", F.get("codes", F.lit(turn)).alias("code"))
         lots = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("lots"))
         dealt = coded.join(lots, "code").withColumn("lot", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("lots")))
         found = dealt.select("code", "lot", "id", "vector").groupBy("code", "lot").applyInArrow(lambda t: _within(t, size), _LINK)
@@ -173,15 +174,13 @@ def graph(points: DataFrame, count: int, size: int, degree: int = DEGREE, rounds
     return links
 
 
-def _code(vector, size: int, bits: int, seed: int):
-    """Side of ``bits`` random hyperplanes through the origin, as an integer."""
-    rng = np.random.default_rng(seed)
-    code = F.lit(0).cast("long")
-    for _ in range(bits):
-        plane = F.array(*[F.lit(float(x)) for x in rng.normal(size=size)])
-        side = F.aggregate(F.zip_with(vector, plane, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        code = code * 2 + F.when(side > 0, 1).otherwise(0)
-    return code
+def _coded(batches, size: int, bits: list[int]):
+    """``id, vector`` -> with ``codes``: per entry of ``bits`` the sides of so many random hyperplanes through the origin, as an integer."""
+    planes = [np.random.default_rng(seed).normal(size=(size, n)) for seed, n in enumerate(bits)]
+    for batch in batches:
+        x = matrix(batch.column(1), size)
+        codes = np.stack([(x @ p > 0) @ (1 << np.arange(p.shape[1], dtype=np.int64)) if p.shape[1] else np.zeros(len(x), np.int64) for p in planes], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(codes.astype(np.int64))], names=["id", "vector", "codes"])
 
 
 def _distances(pairs: DataFrame, points: DataFrame, size: int, blocks: int) -> DataFrame:
@@ -227,9 +226,14 @@ def search(table: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_i
     nodes = store(folded, "ann-nodes")
     count = nodes.count()
     points = nodes.select("id", F.col("vector").cast("array<float>").alias("vector"))
-    bits = max(0, count // BLOCK).bit_length()
-    points = store(points.withColumn("block", _code(F.col("vector"), size, bits, seed=99) if bits else F.lit(0).cast("long")), "ann-points")
-    links = graph(points, count, size, max(1, min(degree, count - 1)))
+    bits = [(count // BUCKET).bit_length()] * TABLES + [(count // BLOCK).bit_length()]
+    points = points.mapInArrow(partial(_coded, size=size, bits=bits), "id long, vector array<float>, codes array<long>")
+    points = store(points.withColumn("code", F.get("codes", F.lit(TABLES))), "ann-coded")
+    # A code that many vectors share makes several blocks.
+    parts = points.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts"))
+    points = store(points.join(parts, "code").select("id", "vector", "codes", (F.shiftleft("code", 24) + part).alias("block")), "ann-points")
+    links = graph(points, size, max(1, min(degree, count - 1)))
     asked = taken.where(F.col("vec_id") % every == 0).join(nodes.select("vector", F.col("id").alias("query")), "vector").select(F.col("vec_id").alias("query_id"), "query").distinct()
     asked = store(asked, "ann-queries")
     near = greedy(asked.select("query").distinct(), links, points, size, beam)
