@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 from rolltally.llm.store import store
 from rolltally.llm.vectors import common_size, lists, matrix, usable
 
-DEGREE = 40
-ROUNDS = 10
+DEGREE = 36
+ROUNDS = 8
 #: Rounds end when a smaller share of all links is new.
-SETTLED = 0.01
+SETTLED = 0.05
 TABLES, BUCKET, FIRST = 3, 256, 20
 BLOCK = 2048
-LOT = 96
-#: New links that a vector gets from one block in one round at most; better ones come first and others come again.
-PER_BLOCK = 16
-BEAM, STEPS = 64, 4
+LOT = 128
+#: New links that a vector gets from one list and from one block in one round at most; the nearest come first, others in later rounds.
+PER_CENTER, PER_BLOCK = 5, 16
+BEAM, STEPS = 80, 4
 QUERY_BLOCK = 64
 
 _LINK = "u long, w long, d float"
@@ -98,15 +98,18 @@ def _joined(table: pa.Table, size: int) -> pa.Table:
         if not fresh[lo:hi].any():
             continue
         m, one = np.unique(at[lo:hi], return_index=True)
-        f = fresh[lo:hi][one]
-        d = _squared(x[m[f]], x[m])
-        better = (d < worst[m][None, :]) | (d < worst[m[f]][:, None])
-        better &= m[f][:, None] != m[None, :]
-        i, j = np.nonzero(better)
+        if len(m) < 2:
+            continue
+        old = np.flatnonzero(~fresh[lo:hi][one])
+        d = _squared(x[m], x[m])
+        np.fill_diagonal(d, np.inf)
+        d[old[:, None], old[None, :]] = np.inf  # met before
+        most = min(PER_CENTER, len(m) - 1)
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        v = np.take_along_axis(d, near, axis=1)
+        i, j = np.nonzero(v < worst[m][:, None])
         if len(i):
-            a, b, v = m[f][i], m[j], d[i, j]
-            up, down = v < worst[a], v < worst[b]
-            out.append((np.concatenate([a[up], b[down]]), np.concatenate([b[up], a[down]]), np.concatenate([v[up], v[down]])))
+            out.append((m[i], m[near[i, j]], v[i, j]))
     if not out:
         return _links(*_EMPTY, 1)
     u, w, d = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -146,20 +149,22 @@ def graph(points: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUN
         found = dealt.select("code", "lot", "id", "vector").groupBy("code", "lot").applyInArrow(lambda t: _within(t, size), _LINK)
         links = found if links is None else links.unionByName(found)
     links = store(_best(links.withColumn("fresh", F.lit(True)), degree), "ann-links")
-    home = points.select("id", "block")
     for _ in range(rounds):
-        forward = links.select(F.col("u").alias("center"), F.col("w").alias("member"), "fresh")
-        back = links.select(F.col("w").alias("center"), F.col("u").alias("member"), "fresh")
-        lots = back.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
-        back = back.join(lots, "center").withColumn("lot", F.pmod(F.xxhash64("member"), F.col("lots")).cast("int"))
-        forward = forward.join(lots, "center", "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("lots"), F.lit(1)) - 1)))
-        members = forward.unionByName(back).drop("lots").join(home.withColumnRenamed("id", "center"), "center")
-        active = links.where("fresh").select(F.explode(F.array("u", "w")).alias("center")).distinct()
-        members = store(members.join(active, "center", "left_semi"), "ann-members")
-        worst = links.groupBy("u").agg(F.max("d").alias("worst"), F.max("rank").alias("held"))
-        worst = worst.select(F.col("u").alias("id"), F.when(F.col("held") >= degree, F.col("worst")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        state = points.select("id", "vector").join(worst, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
-        wanted = members.select("block", "member").distinct().join(state.withColumnRenamed("id", "member"), "member")
+        out = links.groupBy(F.col("u").alias("id")).agg(F.max("fresh").alias("fresh_out"), F.max("d").alias("last"), F.max("rank").alias("held"))
+        back = links.groupBy(F.col("w").alias("id")).agg(F.max("fresh").alias("fresh_back"), F.count(F.lit(1)).alias("backs"))
+        worst = F.when(F.col("held") >= degree, F.col("last")).otherwise(F.lit(float("inf"))).cast("float")
+        nodes = points.select("id", "block", "vector").join(out, "id", "left").join(back, "id", "left").select(
+            "id", "block", "vector", worst.alias("worst"), F.ceil(F.coalesce("backs", F.lit(1)) / LOT).cast("int").alias("lots"),
+            (F.coalesce("fresh_out", F.lit(False)) | F.coalesce("fresh_back", F.lit(False))).alias("active"),
+        )
+        nodes = store(nodes, "ann-state")
+        both = links.select(F.col("u").alias("center"), F.col("w").alias("member"), "fresh", F.lit(False).alias("back")).unionByName(
+            links.select(F.col("w").alias("center"), F.col("u").alias("member"), "fresh", F.lit(True).alias("back"))
+        )
+        lots = F.when(F.col("back"), F.array(F.pmod(F.xxhash64("member"), F.col("lots")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("lots") - 1))
+        centers = nodes.where("active").select(F.col("id").alias("center"), "block", "lots")
+        members = store(both.join(centers, "center").select("block", "center", "member", "fresh", F.explode(lots).alias("lot")), "ann-members")
+        wanted = members.select("block", "member").distinct().join(nodes.select(F.col("id").alias("member"), "vector", "worst"), "member")
         empty = F.lit(None)
         rows = members.select("block", F.lit(False).alias("is_vector"), "center", "lot", "member", "fresh", empty.cast("array<float>").alias("vector"), empty.cast("float").alias("worst"))
         rows = rows.unionByName(
