@@ -30,7 +30,8 @@ ROUNDS = 8
 #: Rounds end when a smaller share of all links is new.
 SETTLED = 0.05
 TABLES, BUCKET, FIRST = 3, 256, 20
-BLOCK = 2048
+#: Vectors per block; smaller ones, down to the second figure, where there would be fewer blocks than keep all cores busy.
+BLOCK, LEAST_BLOCK, BLOCKS_PER_CORE = 2048, 128, 4
 LOT = 128
 #: New links that a vector gets from one list and from one block in one round at most; the nearest come first, others in later rounds.
 PER_CENTER, PER_BLOCK = 5, 16
@@ -231,7 +232,8 @@ def search(table: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_i
     nodes = store(folded, "ann-nodes")
     count = nodes.count()
     points = nodes.select("id", F.col("vector").cast("array<float>").alias("vector"))
-    bits = [(count // BUCKET).bit_length()] * TABLES + [(count // BLOCK).bit_length()]
+    blocks = max(count // BLOCK, min(count // LEAST_BLOCK, BLOCKS_PER_CORE * table.sparkSession.sparkContext.defaultParallelism))
+    bits = [(count // BUCKET).bit_length()] * TABLES + [blocks.bit_length()]
     points = points.mapInArrow(partial(_coded, size=size, bits=bits), "id long, vector array<float>, codes array<long>")
     points = store(points.withColumn("code", F.get("codes", F.lit(TABLES))), "ann-coded")
     # A code that many vectors share makes several blocks.
