@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
 
@@ -63,60 +62,60 @@ def vote(answers):
     return groups[winner][0], winner, len(groups[winner])
 
 
-def targets(k, n_pos, n_neg, fraction):
-    if fraction == -1:
-        if n_neg == 0:
-            return min(k, n_pos), 0
-        if n_pos == 0:
-            return 0, min(k, n_neg)
-        neg = max(1, min(round(k * math.sqrt(n_neg) / (math.sqrt(n_pos) + math.sqrt(n_neg))), n_neg))
-        pos = max(1, min(k - neg, n_pos))
-        if pos + neg < k:
-            neg = min(k - pos, n_neg)
-        if pos + neg < k:
-            pos = min(k - neg, n_pos)
-        return pos, neg
-    return round(k * fraction), k - round(k * fraction)
+def class_sizes(k, n_pos, n_neg, fraction):
+    """How many of each class: of all splits that use as many rows as possible, the one nearest to the wanted share.
+
+    ``fraction`` -1 shares by the square roots of the class sizes and leaves no class out that has members.
+    """
+    total = min(k, n_pos + n_neg)
+    splits = [(p, total - p) for p in range(total + 1) if p <= n_pos and total - p <= n_neg]
+    if fraction != -1:
+        return min(splits, key=lambda s: abs(s[0] - round(k * fraction)))
+    if n_pos and n_neg and k > 1:
+        splits = [s for s in splits if min(s) >= 1]
+    if n_pos and k == 1:
+        return 1, 0
+    roots = (n_pos**0.5 + n_neg**0.5) or 1
+    return min(splits, key=lambda s: abs(s[1] - round(k * n_neg**0.5 / roots)))
 
 
 def picks(pos, neg, k, fraction):
     """Chosen members of two ranked classes, positives first."""
-    want_pos, want_neg = targets(k, len(pos), len(neg), fraction)
-    a, b = pos[:want_pos], neg[:want_neg]
-    missing = k - len(a) - len(b)
-    if missing > 0:
-        if len(a) < want_pos:
-            b = b + neg[len(b) : len(b) + missing]
-        else:
-            a = a + pos[len(a) : len(a) + missing]
-    return (a + b)[:k]
+    n_pos, n_neg = class_sizes(k, len(pos), len(neg), fraction)
+    return pos[:n_pos] + neg[:n_neg]
+
+
+#: Per strategy what puts a row in front: the largest tuple wins, equal ones go by the order of sampling.
+PREFERS = {
+    0: lambda r: (bool(r["answer"]), -r["n_tokens"]),
+    1: lambda r: (r["kl_score"], -r["n_tokens"]),
+    2: lambda r: (r["logp_score"], -r["n_tokens"]),
+    3: lambda r: (bool(r["answer"]), r["n_tokens"]),
+}
 
 
 def ranked(rows, strategy):
-    sort_key = {
-        0: lambda r: (not r["answer"], r["n_tokens"], r["rollout_idx"]),
-        1: lambda r: (-r["kl_score"], r["n_tokens"], r["rollout_idx"]),
-        2: lambda r: (-r["logp_score"], r["n_tokens"], r["rollout_idx"]),
-        3: lambda r: (not r["answer"], -r["n_tokens"], r["rollout_idx"]),
-    }.get(strategy, lambda r: r["rollout_idx"])
-    return sorted(rows, key=sort_key)
+    """Best first; an unknown strategy keeps the order of sampling."""
+    by_time = sorted(rows, key=lambda r: r["rollout_idx"])
+    return sorted(by_time, key=PREFERS.get(strategy, lambda r: 0), reverse=True) if strategy in PREFERS else by_time
 
 
 def select(rows, k, fraction, pos_strategy, neg_strategy, threshold):
-    """Rows of one prompt -> list of (rollout_idx, sign) in selection order."""
-    rows = sorted(rows, key=lambda r: r["rollout_idx"])
-    label, label_key, count = vote([r["answer"] for r in rows])
-    agreed = count >= threshold and bool(label)
-    hits = lambda r: bool(r["answer"]) and key(r["answer"]) == label_key
+    """Rows of one prompt -> (rollout_idx, sign) in selection order, put together from the classes a row can be in."""
+    in_time = ranked(rows, None)
+    label, label_key, size = vote([r["answer"] for r in in_time])
+    voted = bool(label) and size >= threshold
+    sides = {True: [], False: []}
+    for r in in_time:
+        sides[voted and bool(r["answer"]) and key(r["answer"]) == label_key].append(r)
     if fraction == -2:
-        chosen = rows[:k]
-    elif agreed:
-        pos = ranked([r for r in rows if hits(r)], pos_strategy)
-        neg = ranked([r for r in rows if not hits(r)], neg_strategy)
-        chosen = picks(pos, neg, k, fraction)
+        out = in_time[:k]
+    elif voted:
+        out = picks(ranked(sides[True], pos_strategy), ranked(sides[False], neg_strategy), k, fraction)
     else:
-        chosen = ranked(rows, pos_strategy)[:k]
-    if agreed:
-        return [(r["rollout_idx"], 1 if hits(r) else -1) for r in chosen]
-    best = min((r for r in chosen if r["answer"]), key=lambda r: r["n_tokens"], default=None)
-    return [(r["rollout_idx"], 1 if r is best else -1) for r in chosen]
+        out = ranked(in_time, pos_strategy)[:k]
+    good = {r["rollout_idx"] for r in sides[True]}
+    if not voted:  # the shortest answered one stands in for the positives
+        answered = [(r["n_tokens"], place, r["rollout_idx"]) for place, r in enumerate(out) if r["answer"]]
+        good = {min(answered)[2]} if answered else set()
+    return [(r["rollout_idx"], 1 if r["rollout_idx"] in good else -1) for r in out]
