@@ -38,9 +38,9 @@ class Segments:
 
 
 def score_batches(
-    carried: list[str], temperature: float, clip: float | None, clip_mode: str
+    carried: list[str], temperature: float, clip: float | None, clip_mode: str, beta: float | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Function for ``mapInArrow``: carried columns followed by the ten scores."""
+    """Function for ``mapInArrow``: carried columns followed by the ten scores, and the mixture divergence for a ``beta`` in (0, 1)."""
 
     def capped(terms: np.ndarray, rows: Segments) -> np.ndarray:
         if clip is None:
@@ -70,8 +70,13 @@ def score_batches(
                 student.pick(ls, token),
                 student.pick(lt, token),
             ]
+            names = carried + SCORES
+            if beta is not None:
+                mixed = np.logaddexp(ls + np.log1p(-beta), lt + np.log(beta))
+                scores.append(capped(beta * pt * (lt - mixed) + (1 - beta) * ps * (ls - mixed), student))
+                names = names + ["jsd_clipped"]
             columns = [batch.column(c) for c in carried] + [pa.array(s) for s in scores]
-            yield pa.RecordBatch.from_arrays(columns, names=carried + SCORES)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

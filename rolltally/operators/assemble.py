@@ -98,6 +98,8 @@ def training_set(
         A.pad_right(F.col("student_ids"), F.col("_student"), pad).alias("student_prompt"),
         A.pad_right(F.col("teacher_ids"), F.col("_teacher"), pad).alias("teacher_prompt"),
     )
+    # Completions are cut before they meet the selection, so what crosses the exchange is bounded per rollout.
+    completions = completions.select(*PROMPT, "rollout_idx", A.truncate(F.col("token_ids"), max_tokens).alias("token_ids"))
     rows = (
         selected.join(table, [*batch, *PROMPT])
         .withColumn("position", (F.col("sel_rank") * F.col("_prompts") + F.col("_rank")).cast("bigint"))

@@ -1,4 +1,4 @@
-"""Benchmark evaluation: grading, per-problem and summary tables, progress, nested report."""
+"""Benchmark evaluation: grading, per-problem and summary tables, progress, report."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from rolltally.operators.ordering import running
 from rolltally.operators.vote import majority_vote_raw, with_answers
 
 PROBLEM = ["dataset", "problem_id"]
-NEST = 256
 
 
 def grade(rollouts: DataFrame, truth: str = "ground_truth") -> DataFrame:
@@ -83,26 +82,30 @@ def graded_texts(rollouts: DataFrame, truth: str = "ground_truth") -> DataFrame:
     return grade(rows, truth)
 
 
-def generations(rows: DataFrame, part_size: int = NEST) -> DataFrame:
-    """Nested generations per problem, in sampling order, from ``graded_texts``.
-
-    A problem's list is cut into parts of ``part_size`` rollouts (``part`` 0, 1, ...), so that one row stays
-    bounded for any number of samples; with up to ``part_size`` samples there is exactly one part.
-    """
-    item = F.struct(
-        F.col("rollout_idx"),
+def generations(rows: DataFrame) -> DataFrame:
+    """One row per generation, keyed by problem and rollout, from ``graded_texts``. A problem may have any number."""
+    return rows.select(
+        *PROBLEM,
+        "rollout_idx",
         shown_answer().alias("predicted_answer"),
         F.col("completion").alias("full_generation"),
-        F.col("correct"),
-        F.col("formatted"),
+        "correct",
+        "formatted",
     )
-    part = F.floor(F.col("rollout_idx") / part_size).cast("bigint")
-    return rows.groupBy(*PROBLEM, part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("generations"))
 
 
-def report(problems: DataFrame, nested: DataFrame) -> DataFrame:
-    """Per-problem results with their generations, ready for a JSON sink."""
-    return problems.join(nested, PROBLEM)
+def report(problems: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per problem: totals, text, truth, number of samples and the first generation, ready for a JSON sink.
+
+    ``rows`` are ``graded_texts`` with ``problem`` and ``ground_truth``. All generations are a table of their own.
+    """
+    first = rows.groupBy(*PROBLEM).agg(
+        F.min_by(F.struct("problem", "ground_truth", F.col("completion").alias("full_generation")), "rollout_idx").alias("_first")
+    )
+    return problems.join(first, PROBLEM).select(
+        *PROBLEM, "_first.problem", "_first.ground_truth", F.col("n_solutions").alias("val_n"), "num_correct", "pass_at_n",
+        "majority_vote_correct", "predicted_answer", "_first.full_generation", "correct", "formatted",
+    )
 
 
 def running_metrics(problems: DataFrame, seq: str = "seq", rows_per_block: int = 1 << 16) -> DataFrame:

@@ -74,12 +74,12 @@ def numbered(
     """Add the 0-based position of each row in its group's order; ``order`` must be total.
 
     Only groups above ``hot_rows`` are cut into blocks, so ordinary groups cost one window. The list
-    of hot groups is broadcast: it cannot be longer than the row count over ``hot_rows``.
+    of hot groups cannot be longer than the row count over ``hot_rows``; Spark broadcasts it if it is small.
     """
     hot = hot_groups(df, group, hot_rows).select(*group, F.lit(True).alias("_hot"))
     none = F.struct(*[F.lit(0).cast("bigint").alias(f"b{i}") for i, _ in enumerate(_fields(block))])
     parts = F.struct(*[b.cast("bigint").alias(f"b{i}") for i, b in enumerate(_fields(block))])
-    tagged = df.join(F.broadcast(hot), group, "left").withColumn(
+    tagged = df.join(hot, group, "left").withColumn(
         _BLOCK, F.when(F.col("_hot"), parts).otherwise(none)
     )
     earlier = Window.partitionBy(*group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)

@@ -5,31 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolltally.operators.ordering import HOT_ROWS, hot_groups, running
+from rolltally.operators.ordering import running
 
 
-def exact_percentiles(
-    df: DataFrame, keys: list[str], values: list[str], q: float, hot_rows: int = HOT_ROWS, accuracy: int = 10000
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], values: list[str], q: float, accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated percentile ``q`` of each value column per group, with its minimum.
 
-    One row per group: ``<value>_at`` and ``<value>_min``. ``percentile`` keeps all distinct values of a group in one
-    task's memory, which is right for groups of ordinary size. Groups above ``hot_rows`` go another way with
-    the same result; their list is broadcast and at most (rows / hot_rows) long.
-    """
-    hot = F.broadcast(hot_groups(df, keys, hot_rows).select(*keys))
-    columns = [c for v in values for c in (F.percentile(v, F.lit(q)).alias(f"{v}_at"), F.min(v).alias(f"{v}_min"))]
-    ordinary = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*columns)
-    return ordinary.unionByName(large_group_percentiles(df.join(hot, keys, "left_semi"), keys, values, q, accuracy))
-
-
-def large_group_percentiles(df: DataFrame, keys: list[str], values: list[str], q: float, accuracy: int = 10000) -> DataFrame:
-    """The same for groups that fit no single task.
-
-    All columns are handled in one pass as (group, column, value) rows. A mergeable sketch brackets the wanted
-    rank; values below the bracket are only counted, those above it dropped, and equal values are merged before
-    the exchange, so roughly 2 of every 1000 values are sorted. A bracket that misses the rank raises an
-    error instead of returning a wrong figure.
+    One row per group: ``<value>_at`` and ``<value>_min``. All columns are handled in one pass as (group, column, value) rows, and
+    groups of every size in the same way. A mergeable sketch brackets the wanted rank, ten times wider than its error bound; values
+    below the bracket are only counted, those above it dropped, and equal values are merged before the exchange, so roughly 2 of every 1000
+    values are sorted.
     """
     slack = 10.0 / accuracy
     low, high = q - slack, q + slack

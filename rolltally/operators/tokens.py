@@ -48,10 +48,12 @@ def token_scores(tokens: DataFrame, params: LossParams = LossParams(), engine: s
     cost built-in array functions some twenty sweeps with boxed values; numpy on Arrow batches measured four to six
     times faster at 64 and at 1,024 entries, so that is the default. ``builtin`` stays inside the JVM.
     """
+    beta = params.kl_mode if 0 < params.kl_mode < 1 else None
     if engine == "arrow":
         kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
-        schema = ", ".join([f"{c} {kinds[c]}" for c in CARRIED] + [f"{c} double" for c in SCORES])
-        run = score_batches(CARRIED, params.temperature, params.clip, params.clip_mode)
+        names = SCORES + ["jsd_clipped"] * (beta is not None)
+        schema = ", ".join([f"{c} {kinds[c]}" for c in CARRIED] + [f"{c} double" for c in names])
+        run = score_batches(CARRIED, params.temperature, params.clip, params.clip_mode, beta)
         return tokens.select(*CARRIED, "student", "teacher").mapInArrow(run, schema)
     if engine != "builtin":
         raise ValueError("engine must be 'arrow' or 'builtin'")
@@ -70,6 +72,7 @@ def token_scores(tokens: DataFrame, params: LossParams = LossParams(), engine: s
         V.sampled_logp(ls, F.col("label")).alias("logp"),
         V.sampled_logp(ls, F.col("token_id")).alias("student_logp"),
         V.sampled_logp(lt, F.col("token_id")).alias("teacher_logp"),
+        *([V.clipped_sum(V.jsd_terms(ls, lt, beta), params.clip, params.clip_mode).alias("jsd_clipped")] if beta is not None else []),
     )
 
 
@@ -93,16 +96,34 @@ def masked_reduction(tokens: DataFrame, beta: float, params: LossParams, top_k:
     )
 
 
-def direction_kl(scores: DataFrame, mode: int = -1) -> DataFrame:
-    """Forward divergence for one direction, reverse for the other; mean of per-sample means."""
-    if mode not in (-1, -2):
-        raise ValueError("mode must be -1 or -2")
-    forward = (F.col("direction_sign") > 0) if mode == -1 else (F.col("direction_sign") <= 0)
-    value = F.when(forward, F.col("fkl_clipped")).otherwise(F.col("rkl_clipped"))
-    per_sample = scores.groupBy(*SAMPLE).agg(
-        (F.sum(F.when(valid(), value).otherwise(0.0)) / F.greatest(F.count_if(valid()), F.lit(1))).alias("loss")
-    )
-    return per_sample.agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n_samples"))
+def divergence_of(params: LossParams) -> Column:
+    """Clipped divergence of a position under ``kl_mode``: [0, 1] forward to reverse for all samples, -1 forward for the
+    positive direction and reverse for the other, -2 the other way round. Other modes have no single divergence."""
+    mode, positive = params.kl_mode, F.col("direction_sign") > 0
+    if mode in (-1, -2):
+        toward = positive if mode == -1 else ~positive
+        return F.when(toward, F.col("fkl_clipped")).otherwise(F.col("rkl_clipped"))
+    if mode == 0:
+        return F.col("fkl_clipped")
+    if mode == 1:
+        return F.col("rkl_clipped")
+    if 0 < mode < 1:
+        return F.col("jsd_clipped")
+    raise ValueError(f"kl_mode {mode} mixes divergence and policy gradient: use hybrid_samples")
+
+
+def divergence_loss(weighted: DataFrame, params: LossParams) -> DataFrame:
+    """Mean over samples of the token-weighted divergence, for the modes in [0, 1], -1 and -2; a sample without valid tokens counts as 0."""
+    value = weighted.withColumn("_value", divergence_of(params))
+    per = weighted.select(*SAMPLE).distinct().join(weighted_kl(value, params.retention, "_value"), SAMPLE, "left")
+    return per.agg(F.avg(F.coalesce("kl_loss", F.lit(0.0))).alias("loss"), F.count(F.lit(1)).alias("n_samples"))
+
+
+def loss(weighted: DataFrame, params: LossParams, masked: DataFrame | None = None) -> DataFrame:
+    """The loss of any mode. ``masked`` (see ``token_mask``) is needed for the hybrid modes with token masking."""
+    if params.kl_mode in (-3, -4):
+        return hybrid_loss(hybrid_samples(weighted, masked, params))
+    return divergence_loss(weighted, params)
 
 
 def trajectory_kl(scores: DataFrame, max_tokens: int) -> DataFrame:
@@ -173,9 +194,9 @@ def weighted_kl(weighted: DataFrame, retention: float, value: str = "fkl_clipped
 
 
 def weight_monitor(weighted: DataFrame, retention: float, value: str = "fkl_clipped") -> DataFrame:
-    """Share of low weights, mean weight, and mean divergence of kept and dropped tokens."""
+    """Share of low weights, mean weight, and mean divergence of kept and dropped tokens (null at retention 0, which drops none)."""
     marked = retained_tokens(weighted, retention)
-    kl = F.col(value)
+    kl = F.col(value) if retention > 0 else F.lit(None).cast("double")
     return marked.agg(
         F.avg((F.col("weight") < 0.1).cast("double")).alias("low_weight_share"),
         F.avg("weight").alias("mean_weight"),
@@ -209,7 +230,9 @@ def masked_policy_gradient(masked: DataFrame) -> DataFrame:
 
 
 def hybrid_samples(weighted: DataFrame, masked: DataFrame | None, params: LossParams) -> DataFrame:
-    """Per sample: direction, divergence loss, policy-gradient loss and the one that counts."""
+    """Per sample: direction, divergence loss, policy-gradient loss and the one that counts, for the modes -3 and -4."""
+    if params.kl_mode not in (-3, -4):
+        raise ValueError(f"kl_mode {params.kl_mode} is no hybrid mode: use divergence_loss")
     signs = weighted.groupBy(*SAMPLE).agg(F.first("direction_sign").alias("direction_sign"))
     kl = weighted_kl(weighted, params.retention)
     pg = masked_policy_gradient(masked) if params.use_token_masking else policy_gradient(weighted)
@@ -226,7 +249,7 @@ def hybrid_loss(samples: DataFrame) -> DataFrame:
 
 
 def branch_monitor(samples: DataFrame, masked: DataFrame, params: LossParams) -> DataFrame:
-    """Unweighted mean loss of each direction, and mean log-probability of masked-in and of all negative tokens."""
+    """For the modes -3 and -4: unweighted mean loss of each direction, and mean log-probability of masked-in and of all negative tokens."""
     positive, negative = F.col("direction_sign") > 0, F.col("direction_sign") < 0
     pos_loss, neg_loss = ("kl_loss", "pg_loss") if params.kl_mode == -3 else ("pg_loss", "kl_loss")
     losses = samples.agg(

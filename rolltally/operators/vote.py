@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolltally.functions import answers as A
+from rolltally.functions.prompts import merge_repair
 
 PROMPT = ["prompt_id"]
 
@@ -31,6 +32,31 @@ def with_answers(rollouts: DataFrame, text: str = "completion", rule: str = "fir
     )
 
 
+def with_repairs(answers: DataFrame, continuation: str = "continuation", text_form=A.normalize_answer) -> DataFrame:
+    """Fold forced continuations into answers before anything votes on them.
+
+    ``answer`` becomes the forced one where extraction found nothing, ``answer_key`` is made anew for these rows, ``extracted`` and
+    ``recovered`` say where an answer came from; the continuation is dropped.
+    """
+    found = A.has_answer(F.col("answer"))
+    merged = answers.withColumn("extracted", found).withColumn("answer", merge_repair(F.col("answer"), F.col(continuation)))
+    recovered = ~F.col("extracted") & A.has_answer(F.col("answer"))
+    merged = merged.withColumn("recovered", recovered).withColumn("_bare", A.bare_form(F.col("answer")))
+    key = F.when(F.col("recovered"), A.key_of(F.col("answer"), F.col("_bare"), text_form)).otherwise(F.col("answer_key"))
+    return merged.withColumn("answer_key", key).drop("_bare", continuation)
+
+
+def repair_rates(answers: DataFrame) -> DataFrame:
+    """Share of rollouts with an extracted answer, of the others with a recovered one (null if there are none), and of all with an answer."""
+    missing = F.count_if(~F.col("extracted"))
+    return answers.agg(
+        F.count(F.lit(1)).alias("n_rollouts"),
+        F.avg(F.col("extracted").cast("double")).alias("extraction_rate"),
+        F.try_divide(F.count_if("recovered"), missing).alias("recovery_rate"),
+        F.avg((F.col("extracted") | F.col("recovered")).cast("double")).alias("answer_rate"),
+    )
+
+
 def majority_vote(answers: DataFrame, prompt: list[str] = PROMPT, idx: str = "rollout_idx") -> DataFrame:
     """One row per prompt: ``pseudo_label, label_key, consensus_count, n_rollouts``.
 
@@ -153,16 +179,13 @@ def sample_expand(prompts: DataFrame, k_train: int) -> DataFrame:
 
 
 def vote_by_text(rollouts: DataFrame, text: str, order: list[str], truth: str = "ground_truth") -> DataFrame:
-    """Vote where identical prompt texts from different sources form one group; truth comes from its first row."""
-    position = F.struct(*order)
-    tagged = rollouts.withColumn("_at", position)
-    votes = majority_vote(tagged, [text], "_at")
-    # Truths of one text are merged per value before their first positions meet.
-    truths = (
-        tagged.groupBy(text, truth)
-        .agg(F.min("_at").alias("_at"))
-        .groupBy(text)
-        .agg(F.min_by(F.struct(truth), "_at").alias("_t"))
-        .select(text, F.col(f"_t.{truth}").alias(truth))
+    """Vote where identical prompt texts from different sources form one group; text and truth come from its first row.
+
+    Groups go by the text's digest, so texts are no shuffle keys: one of each travels per task.
+    """
+    tagged = rollouts.withColumn("_at", F.struct(*order)).withColumn("_key", F.sha2(text, 256))
+    votes = majority_vote(tagged.drop(text), ["_key"], "_at")
+    first = tagged.groupBy("_key").agg(F.min_by(F.struct(text, truth), "_at").alias("_first"))
+    return votes.join(first, "_key").select(
+        F.col(f"_first.{text}").alias(text), *[c for c in votes.columns if c != "_key"], F.col(f"_first.{truth}").alias(truth)
     )
-    return votes.join(truths, text)

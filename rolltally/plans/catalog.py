@@ -7,6 +7,7 @@ sides of a comparison have plain columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from rolltally.functions import prompts as P
 from rolltally.functions import vectors as V
 from rolltally.operators import assemble, evaluation, quality, reports, rewards, sampling, select, series, vote
 from rolltally.operators import tokens as T
+from rolltally.operators.ordering import numbered_all
 from rolltally.plans.session import configure
 from rolltally.sources import problems as problem_sets
 from rolltally.sources import runs, sinks, views
@@ -126,7 +128,9 @@ def train_eval_split(spark, d):
 
 @query
 def shard_interleaved(spark, d):
-    return sampling.shard_interleaved(views.problems(spark, d).select("prompt_id"), "prompt_id", 8)
+    rows = views.problems(spark, d).select("prompt_id")
+    rows = numbered_all(rows, ["prompt_id"], F.floor(F.col("prompt_id") / (1 << 16)), "_row")
+    return sampling.shard_interleaved(rows, "_row", 8).drop("_row")
 
 
 def _log(spark, d):
@@ -151,15 +155,18 @@ def write_rollout_log(spark, d):
 
 @query
 def write_eval_report(spark, d):
-    """The report is written as JSON, read back and flattened."""
+    """The report is written as JSON, read back, and its generations are counted."""
     per = evaluation.per_problem(views.graded(spark, d))
-    results = evaluation.report(per, evaluation.generations(evaluation.graded_texts(views.eval_rollouts(spark, d))))
+    rows = evaluation.graded_texts(views.eval_rollouts(spark, d))
+    results, flat = evaluation.report(per, rows), evaluation.generations(rows)
     path = new_path(spark, "eval-report")
-    sinks.write_eval_report(evaluation.summary(per), results, path)
+    sinks.write_eval_report(evaluation.summary(per), results, flat, path)
     back = spark.read.schema(results.schema).json(f"{path}/results")
-    return back.select(
-        "dataset", "problem_id", "part", "num_correct", "majority_vote_correct", F.size("generations").cast("bigint").alias("n_generations"),
-        F.element_at("generations", 1)["full_generation"].alias("first_generation"),
+    counts = spark.read.schema(flat.schema).json(f"{path}/generations").groupBy(*evaluation.PROBLEM)
+    counts = counts.agg(F.count(F.lit(1)).alias("n_generations"), F.count_if("correct").alias("n_correct"))
+    return back.join(counts, evaluation.PROBLEM).select(
+        "dataset", "problem_id", "problem", "ground_truth", "val_n", "num_correct", "majority_vote_correct", "n_generations", "n_correct",
+        F.col("full_generation").alias("first_generation"),
     )
 
 
@@ -278,16 +285,12 @@ def repair_queue(spark, d):
 
 @query
 def merge_repairs(spark, d):
-    answers = views.answers(spark, d).select("prompt_id", "rollout_idx", "answer")
-    forced = views.rollouts(spark, d).select("prompt_id", "rollout_idx", "continuation").where("continuation is not null")
-    joined = answers.join(forced, ["prompt_id", "rollout_idx"], "left")
-    merged = P.merge_repair(F.col("answer"), F.col("continuation"))
-    return joined.select(
-        "prompt_id",
-        "rollout_idx",
-        merged.alias("answer"),
-        (~A.has_answer(F.col("answer")) & A.has_answer(merged)).alias("recovered"),
-    )
+    return views.answers(spark, d).select("prompt_id", "rollout_idx", "answer", "answer_key", "recovered")
+
+
+@query
+def repair_rates(spark, d):
+    return vote.repair_rates(views.answers(spark, d))
 
 
 # --- joins
@@ -342,7 +345,7 @@ def majority_vote_raw(spark, d):
 
 @query
 def gt_route(spark, d):
-    known = views.answers(spark, d).withColumn("ground_truth", F.when(A.has_answer(F.col("ground_truth")), F.col("ground_truth")).otherwise("0"))
+    known = views.answers(spark, d).where(A.has_answer(F.col("ground_truth")))
     return vote.route_ground_truth(known).drop("label_key")
 
 
@@ -374,8 +377,7 @@ def eval_per_problem(spark, d):
 
 @query
 def eval_generations_nested(spark, d):
-    nested = evaluation.generations(evaluation.graded_texts(views.eval_rollouts(spark, d)))
-    return nested.select("dataset", "problem_id", F.inline("generations"))
+    return evaluation.generations(evaluation.graded_texts(views.eval_rollouts(spark, d)))
 
 
 @query
@@ -461,8 +463,7 @@ def generation_throughput(spark, d):
 def greedy_extraction_rate(spark, d):
     """Greedy answers are the first rollout of each prompt, after repair."""
     rows = views.rollouts(spark, d).where(F.col("rollout_idx") == 0)
-    repaired = vote.with_answers(rows).withColumn("answer", P.merge_repair(F.col("answer"), F.col("continuation")))
-    return quality.greedy_extraction_rate(repaired)
+    return quality.greedy_extraction_rate(vote.with_repairs(vote.with_answers(rows)))
 
 
 # --- ranking and selection
@@ -606,14 +607,13 @@ def sample_n(spark, d):
 
 @query
 def group_duplicate_prompts(spark, d):
-    texts = views.rollouts(spark, d).select("prompt_id", "rollout_idx", "problem")
-    rows = views.answers(spark, d).join(texts, ["prompt_id", "rollout_idx"])
+    rows = views.answers(spark, d).join(views.problems(spark, d).select("prompt_id", "problem"), "prompt_id")
     return vote.vote_by_text(rows, "problem", ["prompt_id", "rollout_idx"]).drop("label_key")
 
 
 # --- token statistics
 
-AT = ["seq_id", "pos"]
+AT = ["seq_id", "sample_id", "pos"]
 
 
 def _log_probs(spark, d, top_k=None):
@@ -676,14 +676,29 @@ def masked_reduction(spark, d):
     return T.masked_reduction(views.tokens(spark, d), 0.5, LOSS)
 
 
+def _losses(spark, d, name, cases):
+    """Mean loss for several parameters, one row each."""
+    rows = [T.divergence_loss(views.weighted(spark, d), params).select(F.lit(value).alias(name), "loss", "n_samples") for value, params in cases]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query
 def direction_kl(spark, d):
-    return T.direction_kl(views.scores(spark, d), -1)
+    return _losses(spark, d, "retention", [(r, LossParams(kl_mode=-1, retention=r)) for r in (0.0, 0.3, 1.0)])
 
 
 @query
 def direction_kl_swapped(spark, d):
-    return T.direction_kl(views.scores(spark, d), -2)
+    return _losses(spark, d, "retention", [(r, LossParams(kl_mode=-2, retention=r)) for r in (0.0, 0.3, 1.0)])
+
+
+@query
+def weighted_jsd(spark, d):
+    rows = [
+        T.divergence_loss(views.weighted(spark, d, LossParams(kl_mode=beta)), LossParams(kl_mode=beta)).select(F.lit(beta).alias("beta"), "loss", "n_samples")
+        for beta in (0.0, 0.5, 1.0)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query
@@ -815,7 +830,7 @@ def stream_metric_window(spark, d):
     schema = views.table(spark, d, "events").schema
     log = jobs.read_stream(spark, d, schema, "events.parquet")
     log = log.select("ts", F.col("event_type").alias("name"), views.cents())
-    windows = jobs.drain(jobs.metric_windows(log, "1 day", "0 seconds"), "metric-windows")
+    windows = jobs.metric_windows(jobs.drain_partials(log, lambda b: jobs.metric_partials(b, "1 day"), "metric-windows"))
     return windows.select(
         F.date_format("window.start", "yyyy-MM-dd").alias("day"), "name", "mean_value", "n_values"
     )
@@ -824,23 +839,19 @@ def stream_metric_window(spark, d):
 @query
 def stream_vote(spark, d):
     items = jobs.read_stream(spark, d, views.table(spark, d, "lineitem").schema, "lineitem.parquet")
-    rows = vote.with_answers(views.rollouts_of(items, views.ORDER))
-    start = F.lit("2024-01-01").cast("timestamp")
-    timed = rows.withColumn("ts", start + F.make_dt_interval(mins=F.col("prompt_id").cast("int")))
-    result = jobs.drain(jobs.vote(timed, "1 hour", "0 seconds", views.ORDER), "stream-vote")
-    return result.select("prompt_id", "pseudo_label", "consensus_count", "n_rollouts")
+    # A file with one row group would be read, and its texts searched, in one task.
+    spread = items.select(*views.ITEM).repartition(spark.sparkContext.defaultParallelism)
+    rows = vote.with_repairs(vote.with_answers(views.rollouts_of(spread, views.ORDER)))
+    partials = jobs.drain_partials(rows, lambda b: jobs.vote_partials(b, views.ORDER), "stream-vote")
+    return jobs.vote(partials).select("prompt_id", "pseudo_label", "consensus_count", "n_rollouts")
 
 
 @query
 def stream_dedup(spark, d):
+    """Ship dates say nothing about arrival, so no watermark fits: each micro-batch appends its distinct keys, and reading merges them."""
     items = jobs.read_stream(spark, d, views.table(spark, d, "lineitem").schema, "lineitem.parquet")
-    rows = items.select(
-        F.col("l_partkey").alias("prompt_id"),
-        F.col("l_linenumber").alias("rollout_idx"),
-        F.col("l_shipdate").cast("timestamp").alias("ts"),
-    )
-    unique = jobs.drain(jobs.dedup(rows, ["prompt_id", "rollout_idx"], "3650 days"), "stream-dedup")
-    return unique.select("prompt_id", "rollout_idx")
+    rows = items.select(F.col("l_partkey").alias("prompt_id"), F.col("l_linenumber").alias("rollout_idx"))
+    return jobs.drain_partials(rows, lambda b: b.distinct(), "stream-dedup").distinct()
 
 
 @query

@@ -103,7 +103,11 @@ LAST = f"""SELECT * EXCLUDE (seg), CASE WHEN contains(completion, chr(92) || 'bo
 
 TRUTH_KEY = "CASE WHEN coalesce(ground_truth, '') = '' THEN NULL ELSE 'n:' || ground_truth || '.000000' END"
 
-part("an", keyed(FIRST, "answer"), "ro")
+part("raw", keyed(FIRST, "answer"), "ro")
+MERGED = """SELECT * EXCLUDE (answer_key) REPLACE (CASE WHEN extracted THEN answer
+  ELSE coalesce(nullif(trim(rtrim(continuation, '}')), ''), answer) END AS answer)
+  FROM (SELECT *, coalesce(answer, '') <> '' AS extracted FROM raw)"""
+part("an", keyed(MERGED, "answer"), "raw")
 part("answers", f"SELECT *, coalesce(answer, '') <> '' AS has, {TRUTH_KEY} AS truth_key FROM an", "an")
 part("ev", keyed(LAST, "answer"), "ro")
 part(
@@ -209,8 +213,9 @@ part(
 part(
     "tok",
     """SELECT CAST(a.label AS BIGINT) AS seq_id, a.vec_id % 4 AS sample_id,
-  row_number() OVER (PARTITION BY a.label ORDER BY a.vec_id) - 1 AS pos, a.vec_id % 64 AS token_id,
-  a.embedding AS st, b.embedding AS te FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+  row_number() OVER (PARTITION BY a.label, a.vec_id % 4 ORDER BY a.vec_id) - 1 AS pos, a.vec_id % 64 AS token_id,
+  a.embedding AS st, coalesce(b.embedding, (SELECT arg_min(embedding, vec_id) FROM embeddings)) AS te
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 )
 part(
     "el",
@@ -222,7 +227,7 @@ part(
 part(
     "lp",
     f"""SELECT *, s / {TAU} - ln(sum(exp(s / {TAU})) OVER w) AS ls, t / {TAU} - ln(sum(exp(t / {TAU})) OVER w) AS lt
-  FROM el WINDOW w AS (PARTITION BY seq_id, pos)""",
+  FROM el WINDOW w AS (PARTITION BY seq_id, sample_id, pos)""",
     "el",
 )
 part(
@@ -276,7 +281,7 @@ check("scan_problems", "SELECT p_partkey AS prompt_id, p_name AS problem, p_size
 check(
     "benchmark_registry",
     "\nUNION ALL\n".join(
-        f"""SELECT '{name}' AS dataset, {'CAST(item_id AS VARCHAR)' if ident else 'CAST(NULL AS VARCHAR)'} AS problem_id, text AS problem,
+        f"""SELECT '{name}' AS dataset, {'CAST(item_id AS VARCHAR)' if ident else 'CAST(row_number() OVER (ORDER BY text) - 1 AS VARCHAR)'} AS problem_id, text AS problem,
   {'CAST(item_id * 3 AS VARCHAR)' if answer else 'CASE WHEN item_id % 4 = 0 THEN text ELSE CAST(item_id AS VARCHAR) END'} AS ground_truth FROM benchmark"""
         for name, (_, _, answer, ident) in BENCHMARKS.items()
     ),
@@ -292,7 +297,7 @@ check(
     f"""SELECT p_partkey AS prompt_id, CASE WHEN substr(md5('42:' || p_partkey), 1, 8) < '{int(0.007 * 16**8):08x}' THEN 'test'
   ELSE 'train' END AS split FROM part""",
 )
-check("shard_interleaved", "SELECT p_partkey AS prompt_id, p_partkey % 8 AS shard FROM part")
+check("shard_interleaved", "SELECT p_partkey AS prompt_id, (row_number() OVER (ORDER BY p_partkey) - 1) % 8 AS shard FROM part")
 LOG = """SELECT prompt_id // 8 AS step, l.prompt_id, problem AS prompt, completion, l.rollout_idx, coalesce(l.answer, '') AS answer,
   coalesce(l.ground_truth, '') AS ground_truth, c.sel_rank IS NOT NULL AS is_selected, l.is_majority,
   coalesce(c.direction_sign, 0) AS direction_sign FROM lab l LEFT JOIN
@@ -302,10 +307,12 @@ FLUSH = "CAST(greatest(ceil((prompt_id // 8) / 5.0) * 5, 5) AS BIGINT)"
 check("write_rollout_log", f"SELECT {FLUSH} AS flush_step, count(*) AS num_samples FROM ro GROUP BY 1", "ro")
 check(
     "write_eval_report",
-    """SELECT dataset, problem_id, rollout_idx // 256 AS part, num_correct, majority_vote_correct, count(*) AS n_generations,
-  arg_min(completion, rollout_idx) AS first_generation FROM graded JOIN perproblem USING (dataset, problem_id) GROUP BY ALL""",
+    """SELECT g.dataset, g.problem_id, p.problem, p.ground_truth, q.n_solutions AS val_n, q.num_correct, q.majority_vote_correct,
+  count(*) AS n_generations, count(*) FILTER (g.correct) AS n_correct, arg_min(completion, rollout_idx) AS first_generation
+  FROM graded g JOIN perproblem q ON q.dataset = g.dataset AND q.problem_id = g.problem_id JOIN prob p ON p.prompt_id = g.problem_id GROUP BY ALL""",
     "graded",
     "perproblem",
+    "prob",
 )
 check(
     "latest_checkpoint",
@@ -351,7 +358,7 @@ check(
   {REASON} || p_brand || {LINE} || {quoted(P.TRANSITION)} || {LINE} || {ASK} AS teaching_prompt FROM part""",
 )
 ROW = "prompt_id, rollout_idx"
-check("extract_boxed_first", f"SELECT {ROW}, answer FROM an", "an")
+check("extract_boxed_first", f"SELECT {ROW}, answer FROM raw", "raw")
 check("extract_boxed_last", f"SELECT {ROW}, answer FROM ev", "ev")
 check(
     "ratio_to_fraction",
@@ -371,13 +378,15 @@ check(
     "repair_queue",
     f"""SELECT {ROW}, 'Problem: ' || problem || {GAP} || {ASK} || completion ||
   CASE WHEN contains(completion, '</think>') THEN '' ELSE '</think>' END || {GAP} || chr(92) || 'boxed{{' AS prefix
-  FROM answers WHERE NOT has""",
+  FROM answers WHERE NOT extracted""",
     "answers",
 )
+check("merge_repairs", f"SELECT {ROW}, answer, answer_key, has AND NOT extracted AS recovered FROM answers", "answers")
 check(
-    "merge_repairs",
-    f"""SELECT {ROW}, CASE WHEN has THEN answer ELSE coalesce(nullif(trim(rtrim(continuation, '}}')), ''), answer) END AS answer,
-  NOT has AND coalesce(trim(rtrim(continuation, '}}')), '') <> '' AS recovered FROM answers""",
+    "repair_rates",
+    """SELECT count(*) AS n_rollouts, round(avg(CASE WHEN extracted THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS extraction_rate,
+  round(count(*) FILTER (has AND NOT extracted) / count(*) FILTER (NOT extracted), 6) AS recovery_rate,
+  round(avg(CASE WHEN has THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS answer_rate FROM answers""",
     "answers",
 )
 
@@ -408,9 +417,8 @@ check(
 )
 check(
     "gt_route",
-    """SELECT prompt_id, coalesce(nullif(ground_truth, ''), '0') AS pseudo_label,
-  count(*) FILTER (answer_key = 'n:' || coalesce(nullif(ground_truth, ''), '0') || '.000000') AS consensus_count, count(*) AS n_rollouts
-  FROM answers GROUP BY prompt_id, ground_truth""",
+    """SELECT prompt_id, ground_truth AS pseudo_label, count(*) FILTER (answer_key = 'n:' || ground_truth || '.000000') AS consensus_count,
+  count(*) AS n_rollouts FROM answers WHERE nullif(ground_truth, '') IS NOT NULL GROUP BY prompt_id, ground_truth""",
     "answers",
 )
 check("consensus_gate", f"SELECT prompt_id, consensus_count FROM vote WHERE consensus_count >= {THRESHOLD}", "vote")
@@ -552,7 +560,7 @@ check(
 )
 check(
     "greedy_extraction_rate",
-    """SELECT round(avg(CASE WHEN has OR coalesce(trim(rtrim(continuation, '}')), '') <> '' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS greedy_extraction_rate
+    """SELECT round(avg(CASE WHEN has THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS greedy_extraction_rate
   FROM answers WHERE rollout_idx = 0""",
     "answers",
 )
@@ -643,7 +651,7 @@ check(
 
 # --- token statistics
 
-check("log_softmax", "SELECT seq_id, pos, CAST(i AS INTEGER) AS entry, round(ls, 6) AS log_prob FROM lp", "lp")
+check("log_softmax", "SELECT seq_id, sample_id, pos, CAST(i AS INTEGER) AS entry, round(ls, 6) AS log_prob FROM lp", "lp")
 for name, column in (("token_entropy", "ent_eps"), ("token_entropy_plain", "ent_s")):
     check(
         name,
@@ -651,9 +659,9 @@ for name, column in (("token_entropy", "ent_eps"), ("token_entropy_plain", "ent_
   round(avg(ent_t) - avg({column}), 6) AS entropy_gap, count(*) AS n_tokens FROM sc WHERE valid""",
         "sc",
     )
-check("sampled_logp", "SELECT seq_id, pos, round(logp, 6) AS logp FROM sc", "sc")
-check("forward_kl", "SELECT seq_id, pos, round(fkl, 6) AS kl FROM sc", "sc")
-check("reverse_kl", "SELECT seq_id, pos, round(rkl, 6) AS kl FROM sc", "sc")
+check("sampled_logp", "SELECT seq_id, sample_id, pos, round(logp, 6) AS logp FROM sc", "sc")
+check("forward_kl", "SELECT seq_id, sample_id, pos, round(fkl, 6) AS kl FROM sc", "sc")
+check("reverse_kl", "SELECT seq_id, sample_id, pos, round(rkl, 6) AS kl FROM sc", "sc")
 
 
 def jsd(beta: float) -> str:
@@ -663,40 +671,60 @@ def jsd(beta: float) -> str:
 
 check(
     "generalized_jsd",
-    f"SELECT seq_id, pos, round(sum({jsd(0.3)}), 6) AS jsd_03, round(sum({jsd(0.5)}), 6) AS jsd_05 FROM lp GROUP BY ALL",
+    f"SELECT seq_id, sample_id, pos, round(sum({jsd(0.3)}), 6) AS jsd_03, round(sum({jsd(0.5)}), 6) AS jsd_05 FROM lp GROUP BY ALL",
     "lp",
 )
-check("divergence_clip", "SELECT seq_id, pos, round(fklc, 6) AS per_element, round(least(fkl, 2.0), 6) AS per_token FROM sc", "sc")
+check("divergence_clip", "SELECT seq_id, sample_id, pos, round(fklc, 6) AS per_element, round(least(fkl, 2.0), 6) AS per_token FROM sc", "sc")
 check(
     "topk_renorm_jsd",
-    f"""SELECT seq_id, pos, round(sum({jsd(0.5)}), 6) AS jsd FROM (
-  SELECT seq_id, pos, s / {TAU} - ln(sum(exp(s / {TAU})) OVER w) AS ls, t / {TAU} - ln(sum(exp(t / {TAU})) OVER w) AS lt
-  FROM (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY seq_id, pos ORDER BY t DESC, i) <= 8)
-  WINDOW w AS (PARTITION BY seq_id, pos)) GROUP BY ALL""",
+    f"""SELECT seq_id, sample_id, pos, round(sum({jsd(0.5)}), 6) AS jsd FROM (
+  SELECT seq_id, sample_id, pos, s / {TAU} - ln(sum(exp(s / {TAU})) OVER w) AS ls, t / {TAU} - ln(sum(exp(t / {TAU})) OVER w) AS lt
+  FROM (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY seq_id, sample_id, pos ORDER BY t DESC, i) <= 8)
+  WINDOW w AS (PARTITION BY seq_id, sample_id, pos)) GROUP BY ALL""",
     "el",
 )
 check(
     "masked_reduction",
     f"""SELECT round(sum(v) / count(*), 6) AS batchmean, round(sum(v), 6) AS total, round(sum(v) / sum(entries), 6) AS mean FROM (
-  SELECT sum(least({jsd(0.5)}, {CLIP})) AS v, count(*) AS entries FROM lp WHERE label <> -100 GROUP BY seq_id, pos)""",
+  SELECT sum(least({jsd(0.5)}, {CLIP})) AS v, count(*) AS entries FROM lp WHERE label <> -100 GROUP BY seq_id, sample_id, pos)""",
     "lp",
 )
+def mean_loss(value: str, retention: float) -> str:
+    """Mean over samples of the token-weighted mean of ``value``."""
+    term, taken = {0.0: (f"{value} * weight", "true"), 1.0: (value, "true")}.get(retention, (value, "kept"))
+    return f"""SELECT round(avg(loss), 6) AS loss, count(*) AS n_samples FROM (
+  SELECT seq_id, sample_id, sum({term}) FILTER ({taken}) / count(*) FILTER ({taken}) AS loss FROM kept GROUP BY ALL)"""
+
+
 for name, sign in (("direction_kl", ">"), ("direction_kl_swapped", "<")):
+    toward = f"CASE WHEN direction_sign {sign} 0 THEN fklc ELSE rklc END"
     check(
         name,
-        f"""SELECT round(avg(loss), 6) AS loss, count(*) AS n_samples FROM (SELECT seq_id, sample_id,
-  coalesce(sum(CASE WHEN direction_sign {sign} 0 THEN fklc ELSE rklc END) FILTER (valid), 0) / greatest(count(*) FILTER (valid), 1) AS loss
-  FROM sc GROUP BY ALL)""",
-        "sc",
+        "\nUNION ALL\n".join(f"SELECT {r}::DOUBLE AS retention, * FROM ({mean_loss(toward, r)})" for r in (0.0, 0.3, 1.0)),
+        "kept",
     )
+part(
+    "js",
+    f"""SELECT seq_id, sample_id, pos, sum(least({jsd(0.5)}, {CLIP})) AS jsc FROM lp GROUP BY ALL""",
+    "lp",
+)
+check(
+    "weighted_jsd",
+    "\nUNION ALL\n".join(
+        f"SELECT {beta}::DOUBLE AS beta, * FROM ({mean_loss(value, 0.0).replace('FROM kept', 'FROM kept JOIN js USING (seq_id, sample_id, pos)')})"
+        for beta, value in ((0.0, "fklc"), (0.5, "jsc"), (1.0, "rklc"))
+    ),
+    "kept",
+    "js",
+)
 check(
     "trajectory_kl",
     "SELECT seq_id, sample_id, round(coalesce(avg(fkl) FILTER (pos < 30), CAST('-inf' AS DOUBLE)), 6) AS kl_score FROM sc GROUP BY ALL",
     "sc",
 )
 check("trajectory_logp", f"SELECT {ROW}, round(logp_score, 6) AS logp_score FROM base", "base")
-check("quantile_minmax", "SELECT seq_id, pos, round(h, 6) AS scaled FROM we", "we")
-check("soft_or_weight", "SELECT seq_id, pos, round(weight, 6) AS weight FROM we", "we")
+check("quantile_minmax", "SELECT seq_id, sample_id, pos, round(h, 6) AS scaled FROM we", "we")
+check("soft_or_weight", "SELECT seq_id, sample_id, pos, round(weight, 6) AS weight FROM we", "we")
 check(
     "weighted_kl",
     """SELECT seq_id, sample_id, round(sum(fklc * weight) / count(*), 6) AS kl_loss, round(sum(fklc) FILTER (kept) / count(*) FILTER (kept), 6) AS top_share_loss,
@@ -710,7 +738,7 @@ check(
     "kept",
 )
 check("policy_gradient_term", "SELECT seq_id, sample_id, round(avg(-advantage * logp), 6) AS pg_loss FROM sc WHERE valid GROUP BY ALL", "sc")
-check("token_mask", "SELECT seq_id, pos, round(mask_score, 6) AS mask_score, masked_in FROM ma", "ma")
+check("token_mask", "SELECT seq_id, sample_id, pos, round(mask_score, 6) AS mask_score, masked_in FROM ma", "ma")
 check(
     "hybrid_loss",
     "SELECT round(avg(CASE WHEN direction_sign > 0 THEN kl_loss ELSE 0.1::DOUBLE * pg_loss END), 6) AS loss, count(*) AS n_samples FROM samples",
@@ -785,17 +813,15 @@ check(
     "train",
 )
 
-# --- streaming: a window is emitted once the latest event has passed its end
+# --- streaming
 
 check(
     "stream_metric_window",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS name, round(avg(round(value * 100)), 6) AS mean_value, count(*) AS n_values FROM events
-  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL""",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS name, round(avg(round(value * 100)), 6) AS mean_value, count(*) AS n_values FROM events GROUP BY ALL""",
 )
 check(
     "stream_vote",
-    """SELECT prompt_id, pseudo_label, consensus_count, n_rollouts FROM vote
-  WHERE (prompt_id // 60 + 1) * 60 <= (SELECT max(prompt_id) FROM vote)""",
+    "SELECT prompt_id, pseudo_label, consensus_count, n_rollouts FROM vote",
     "vote",
 )
 check("stream_dedup", "SELECT DISTINCT l_partkey AS prompt_id, l_linenumber AS rollout_idx FROM lineitem")

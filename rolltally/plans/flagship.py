@@ -1,4 +1,4 @@
-"""The end-to-end job: texts to answers to votes to a report against ground truth."""
+"""The end-to-end job: texts to repaired answers to votes to a report against ground truth."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolltally.functions.answers import answer_key, has_answer
-from rolltally.operators.vote import majority_vote, with_answers
+from rolltally.operators.vote import majority_vote, with_answers, with_repairs
 from rolltally.sources import views
 
 
@@ -15,7 +15,7 @@ def vote_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Nothing is staged: the text is scanned once, and only keys and answers reach the exchanges.
     """
-    answers = with_answers(views.build_rollouts(spark, sf_dir)).select("prompt_id", "rollout_idx", "answer", "answer_key")
+    answers = with_repairs(with_answers(views.build_rollouts(spark, sf_dir))).select("prompt_id", "rollout_idx", "answer", "answer_key")
     votes = majority_vote(answers)
     truth = views.problems(spark, sf_dir).select("prompt_id", "ground_truth")
     right = F.coalesce(F.col("label_key") == answer_key(F.col("ground_truth")), F.lit(False))

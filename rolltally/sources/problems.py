@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolltally.functions.answers import ground_truth_or_solution
+from rolltally.operators.ordering import numbered_all
 
 # Name -> split, problem field, answer field, id field. Without an answer field the
-# answer is the boxed one of "solution"; without an id field problems are numbered by the caller.
+# answer is the boxed one of "solution"; without an id field problems are numbered.
 BENCHMARKS = {
     "math500": ("test", "problem", None, None),
     "amo-bench": ("test", "prompt", "answer", "question_id"),
@@ -51,11 +52,13 @@ def normalize_fields(df: DataFrame, keep: list[str] = []) -> DataFrame:
     if problem is None:
         raise ValueError(f"no problem field in {df.columns}")
     answer = _present(df, ANSWER_FIELDS)
-    columns: list[Column] = [F.col(k) for k in keep] + [F.col(problem).alias("problem")]
-    columns.append((F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
-    if "solution" in df.columns:
-        columns.append(F.col("solution"))
-    return df.select(*columns)
+    at = {name: f"_{i}" for i, name in enumerate(df.columns)}
+    rows = df.toDF(*at.values())  # by position: names that differ in case only are one name to Spark
+    columns: list[Column] = [F.col(at[k]).alias(k) for k in keep] + [F.col(at[problem]).alias("problem")]
+    columns.append((F.col(at[answer]).cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
+    if "solution" in at:
+        columns.append(F.col(at["solution"]).alias("solution"))
+    return rows.select(*columns)
 
 
 def map_benchmark(df: DataFrame, name: str) -> DataFrame:
@@ -65,9 +68,15 @@ def map_benchmark(df: DataFrame, name: str) -> DataFrame:
         raise ValueError(f"unknown benchmark {name!r}; known: {', '.join(BENCHMARKS)}")
     _, problem, answer, ident = BENCHMARKS[key]
     truth = F.col(answer).cast("string") if answer else ground_truth_or_solution(F.col("solution"))
-    problem_id = F.col(ident).cast("string") if ident and ident in df.columns else F.lit(None).cast("string")
+    if ident and ident in df.columns:
+        problem_id = F.col(ident)
+    else:
+        # A set without ids is numbered in the order of its problems' texts; equal texts are told apart by their number only.
+        block = F.pmod(F.ascii(F.col(problem)), F.lit(1 << 21))
+        df = numbered_all(df, [F.col(problem)], block, "_number")
+        problem_id = F.col("_number")
     return df.select(
-        F.lit(key).alias("dataset"), problem_id.alias("problem_id"), F.col(problem).alias("problem"), truth.alias("ground_truth")
+        F.lit(key).alias("dataset"), problem_id.cast("string").alias("problem_id"), F.col(problem).alias("problem"), truth.alias("ground_truth")
     )
 
 

@@ -18,13 +18,17 @@ def base_name(path: Column) -> Column:
 
 
 def run_key(dataset: Column, model: Column, checkpoint_dir: Column, thinking: Column, temperature: Column, val_n: Column) -> Column:
-    """Report name; without a checkpoint its two parts are left out (null parts are skipped)."""
-    run = F.element_at(F.split(checkpoint_dir, "/"), -2)
+    """Report name; without a checkpoint its two parts are left out (null parts are skipped).
+
+    Slashes at the end of a path don't count. A checkpoint folder without a parent leaves the run's part empty.
+    """
+    checkpoint_dir = F.regexp_replace(checkpoint_dir, "/+$", "")
+    run = F.when(checkpoint_dir.isNotNull(), F.coalesce(F.try_element_at(F.split(checkpoint_dir, "/"), F.lit(-2)), F.lit("")))
     return F.concat_ws(
         "_",
         F.lit("eval_results"),
         dataset,
-        base_name(model),
+        base_name(F.regexp_replace(model, "/+$", "")),
         run,
         base_name(checkpoint_dir),
         F.when(thinking, "thinking").otherwise("nonthinking"),

@@ -48,7 +48,8 @@ def log_samples(log: DataFrame) -> DataFrame:
     return log.groupBy("flush_step").agg(F.count(F.lit(1)).alias("num_samples"))
 
 
-def write_eval_report(summary: DataFrame, results: DataFrame, path: str, fmt: str = "json") -> None:
-    """Summary and nested per-problem results side by side under ``path``."""
+def write_eval_report(summary: DataFrame, results: DataFrame, generations: DataFrame, path: str, fmt: str = "json") -> None:
+    """Summary, per-problem results and generations side by side under ``path``."""
     summary.write.mode("overwrite").format(fmt).save(f"{path}/summary")
-    results.hint("rebalance", "dataset").write.mode("overwrite").partitionBy("dataset").format(fmt).save(f"{path}/results")
+    for name, table in (("results", results), ("generations", generations)):
+        table.hint("rebalance", "dataset").write.mode("overwrite").partitionBy("dataset").format(fmt).save(f"{path}/{name}")

@@ -14,7 +14,7 @@ from rolltally.config import LossParams
 from rolltally.operators import tokens as T
 from rolltally.operators.evaluation import grade
 from rolltally.operators.ordering import numbered
-from rolltally.operators.vote import with_answers
+from rolltally.operators.vote import with_answers, with_repairs
 from rolltally.sources.staging import staged
 
 B = "\\boxed{"
@@ -92,15 +92,17 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "rollouts", lambda: build_rollouts(spark, sf_dir))
 
 
-ANSWER_COLUMNS = ["prompt_id", "rollout_idx", "n_tokens", "kl_score", "logp_score", "ground_truth", "answer", "answer_key"]
+ANSWER_COLUMNS = [
+    "prompt_id", "rollout_idx", "n_tokens", "kl_score", "logp_score", "ground_truth", "answer", "answer_key", "extracted", "recovered"
+]
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The narrow table voting and selection work on: completions read once, then left behind."""
+    """The narrow table voting and selection work on: completions read once, then left behind; repaired before any vote."""
 
     def build() -> DataFrame:
         rows = rollouts(spark, sf_dir).withColumn("logp_score", T.trajectory_logp(F.col("logprobs")))
-        return with_answers(rows).select(*ANSWER_COLUMNS)
+        return with_repairs(with_answers(rows)).select(*ANSWER_COLUMNS)
 
     return staged(spark, sf_dir, "answers", build)
 
@@ -113,6 +115,7 @@ def eval_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "prompt_id",
         "rollout_idx",
         "completion",
+        "problem",
         "ground_truth",
     )
 
@@ -125,16 +128,20 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_tokens(spark: SparkSession, sf_dir: str, hot_rows: int = 1 << 20) -> DataFrame:
+    """Every vector is a position. Its teacher is the vector of the next id; one without a successor takes the first vector of the table."""
     vectors = table(spark, sf_dir, "embeddings")
     scaled = lambda name: F.transform(F.col(name), lambda x: x.cast("double") * 20)
-    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), scaled("embedding").alias("teacher"))
-    rows = vectors.select("vec_id", F.col("label").alias("seq_id"), scaled("embedding").alias("student")).join(following, "vec_id")
-    block = F.floor(F.col("vec_id") / 4096)
-    rows = numbered(rows, ["seq_id"], ["vec_id"], block, "pos", hot_rows)
+    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), scaled("embedding").alias("next"))
+    first = vectors.agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.lit(0).alias("_one"), scaled("embedding").alias("first"))
+    rows = vectors.select("vec_id", F.col("label").alias("seq_id"), scaled("embedding").alias("student"), F.lit(0).alias("_one"))
+    rows = rows.join(following, "vec_id", "left").join(first, "_one").withColumn("teacher", F.coalesce("next", "first"))
     sample = F.col("vec_id") % 4
+    rows = rows.drop("_one", "next", "first").withColumn("sample_id", sample)
+    block = F.floor(F.col("vec_id") / 4096)
+    rows = numbered(rows, ["seq_id", "sample_id"], ["vec_id"], block, "pos", hot_rows)
     return rows.select(
         F.col("seq_id").cast("bigint").alias("seq_id"),
-        sample.alias("sample_id"),
+        "sample_id",
         "pos",
         (F.col("vec_id") % 64).alias("token_id"),
         F.when(F.col("pos") % 9 == 0, -100).otherwise(F.col("vec_id") % 64).cast("bigint").alias("label"),
@@ -152,12 +159,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str, params: LossParams = LossParams()) -> DataFrame:
     """Numbers per token position, the input of every batch-level statistic."""
-    name = f"scores-{params.clip}-{params.clip_mode}"
+    name = f"scores-{params.clip}-{params.clip_mode}" + (f"-{params.kl_mode}" if 0 < params.kl_mode < 1 else "")
     return staged(spark, sf_dir, name, lambda: T.token_scores(tokens(spark, sf_dir), params))
 
 
-def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, sf_dir, "weighted", lambda: T.soft_or_weights(scores(spark, sf_dir)))
+def weighted(spark: SparkSession, sf_dir: str, params: LossParams = LossParams()) -> DataFrame:
+    name = "weighted" + (f"-{params.kl_mode}" if 0 < params.kl_mode < 1 else "")
+    return staged(spark, sf_dir, name, lambda: T.soft_or_weights(scores(spark, sf_dir, params)))
 
 
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,20 @@
-"""Structured Streaming jobs. Each takes a streaming DataFrame and returns one; ``drain`` runs it to a table."""
+"""Structured Streaming jobs.
+
+Row-wise jobs and dedup return a streaming DataFrame, which ``drain`` runs to a table. Aggregates come in two halves: a
+partial one per micro-batch, appended by ``drain_partials``, and a merge of all partials. They need neither state nor a
+watermark: no row is ever too late, no window stays open, and the result does not depend on how the input is cut
+into files. A micro-batch that runs again overwrites its own partials.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolltally.functions.answers import strip
-from rolltally.operators.vote import with_answers
+from rolltally.operators.vote import with_answers, with_repairs
 from rolltally.sources.sinks import flush_step
 from rolltally.sources.staging import new_path
 
@@ -27,36 +35,59 @@ def drain(stream: DataFrame, name: str, partition_by: list[str] | None = None) -
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def metric_windows(log: DataFrame, window: str, delay: str, ts: str = "ts") -> DataFrame:
-    """Mean of each metric per tumbling window, emitted once the watermark has passed its end."""
-    timed = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return timed.groupBy(F.window(ts, window), "name").agg(
-        F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n_values")
+def drain_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Process what is available and return the partial aggregates of all micro-batches."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    empty = partial(spark.createDataFrame([], stream.schema))
+    empty.write.parquet(f"{path}/batch=-1")  # so that an empty source has a table, too
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(sink).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}-progress").start().awaitTermination()
+    return spark.read.schema(empty.schema).parquet(path).select(*empty.columns)
+
+
+def metric_partials(log: DataFrame, window: str, ts: str = "ts") -> DataFrame:
+    """Sum and count of each metric per tumbling window, for a micro-batch or a whole table."""
+    return log.groupBy(F.window(F.col(ts).cast("timestamp"), window), "name").agg(
+        F.sum("value").alias("sum_value"), F.count("value").alias("n_value"), F.count(F.lit(1)).alias("n_values")
     )
 
 
-def vote(rollouts: DataFrame, window: str, delay: str, order: list[str], ts: str = "ts") -> DataFrame:
-    """Majority vote per prompt and window as rollouts arrive.
+def metric_windows(partials: DataFrame) -> DataFrame:
+    """Mean of each metric per window, the latest one included."""
+    total = partials.groupBy("window", "name").agg(*[F.sum(c).alias(c) for c in ("sum_value", "n_value", "n_values")])
+    mean = F.when(F.col("n_value") > 0, F.col("sum_value") / F.col("n_value"))
+    return total.select("window", "name", mean.alias("mean_value"), "n_values")
 
-    Two chained aggregations, both with state per key only: answers are counted per cluster, then the clusters of
-    a closed window compete. No list of rollouts is ever kept, so a prompt may have any number of them.
-    """
-    timed = rollouts.withWatermark(ts, delay)
-    clusters = timed.groupBy(F.window(ts, window), "prompt_id", "answer_key").agg(
+
+def vote_partials(rollouts: DataFrame, order: list[str]) -> DataFrame:
+    """Size and first answer of each (prompt, answer) cluster, for a micro-batch or a whole table."""
+    return rollouts.groupBy("prompt_id", "answer_key").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order, "answer")).alias("_first")
     )
+
+
+def vote(partials: DataFrame) -> DataFrame:
+    """Majority vote per prompt over all rollouts that have arrived.
+
+    Clusters of all micro-batches are merged, then the clusters of a prompt compete. No list of rollouts is ever kept, so a prompt may
+    have any number of them.
+    """
+    clusters = partials.groupBy("prompt_id", "answer_key").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     rank = F.when(
         F.col("answer_key").isNotNull(),
         F.struct(
             (-F.col("_n")).alias("n"), F.length(strip(F.col("_first.answer"))).alias("size"), F.col("_first").alias("first")
         ),
     )
-    best = F.min(rank)
     return (
-        clusters.groupBy("window", "prompt_id")
-        .agg(best.alias("_best"), F.sum("_n").alias("n_rollouts"))
+        clusters.groupBy("prompt_id")
+        .agg(F.min(rank).alias("_best"), F.sum("_n").alias("n_rollouts"))
         .select(
-            "window",
             "prompt_id",
             F.col("_best.first.answer").alias("pseudo_label"),
             F.coalesce(-F.col("_best.n"), F.lit(0)).alias("consensus_count"),
@@ -71,9 +102,12 @@ def dedup(rollouts: DataFrame, keys: list[str], delay: str, ts: str = "ts") -> D
 
 
 def rollout_log(rollouts: DataFrame, step, every: int = 5) -> DataFrame:
-    """Log rows with their answer and flush step, for an append sink partitioned by ``flush_step``."""
+    """Log rows with their answer (repaired where there is a ``continuation``) and flush step, for an append sink partitioned by ``flush_step``."""
     texts = rollouts.withColumn("text", F.col("completion"))
-    rows = with_answers(texts, "text").withColumn("step", step.cast("bigint"))
+    rows = with_answers(texts, "text")
+    if "continuation" in rows.columns:
+        rows = with_repairs(rows)
+    rows = rows.withColumn("step", step.cast("bigint"))
     return rows.withColumn("flush_step", flush_step(F.col("step"), every)).select(
         "flush_step", "step", "prompt_id", "rollout_idx", "completion", F.coalesce("answer", F.lit("")).alias("answer")
     )

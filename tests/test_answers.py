@@ -56,24 +56,53 @@ def keys(spark, values, build=A.answer_key):
     return [r.k for r in df.select("i", build(F.col("a")).alias("k")).orderBy("i").collect()]
 
 
-@pytest.mark.parametrize(
-    "same",
-    [
-        ["3", "3.0", " 3 ", "6:2", "\\frac{6}{2}", "6/2", "$3$", "+3", "3.", "\\dfrac{6}{2}"],
-        ["-1/2", "-0.5", "\\frac{-1}{2}", "-\\frac{1}{2}", "-1:2", "\\frac{1}{-2}"],
-        ["1,234,567", "1234567", "1\\,234\\,567"],
-        ["1/3", "0.3333333", "\\tfrac{1}{3}"],
-        ["E", " e "],
-        ["X + 1", "x+1"],
-    ],
-)
+SAME = [
+    ["3", "3.0", " 3 ", "6:2", "\\frac{6}{2}", "6/2", "$3$", "+3", "3.", "\\dfrac{6}{2}", "\\frac62", "x=3", "x = 3", "\\text{3}", "3^{1}", "\\sqrt{9}", "03"],
+    ["-1/2", "-0.5", "\\frac{-1}{2}", "-\\frac{1}{2}", "-1:2", "\\frac{1}{-2}", "-\\frac12", "-.5"],
+    ["1,234,567", "1234567", "1\\,234\\,567", "1{,}234{,}567", "$1,234,567$"],
+    ["1/3", "0.3333333", "\\tfrac{1}{3}", "\\frac13", "\\frac{1}3", "\\frac1{3}"],
+    ["2\\frac{1}{3}", "7/3", "2\\frac13", "\\frac{7}{3}", "2 \\frac{1}{3}"],
+    ["-2\\frac{1}{2}", "-2.5", "-\\frac{5}{2}"],
+    ["50\\%", "50%", "50 \\%"],
+    ["90^\\circ", "90", "90^{\\circ}", "90°", "90\\degree"],
+    ["10^3", "1\\times 10^3", "1000", "10^{3}", "1 \\cdot 10^{3}", "1,000"],
+    ["2.5\\times10^{-2}", "0.025", "1/40"],
+    ["-2^{3}", "-8"],
+    ["\\text{Monday}", "Monday", "\\mathrm{monday}", "\\textbf{Monday}"],
+    ["\\left(1,2\\right)", "(1, 2)", "(1,2)", "(1.0, 4/2)", "\\left( 1, \\frac{4}{2} \\right)"],
+    ["\\{1,2\\}", "\\{2, 1\\}", "{1,2}", "\\left\\{2,1\\right\\}"],
+    ["1, 234", "1,  234"],
+    ["[0, \\frac12)", "[0,0.5)"],
+    ["2\\sqrt{3}", "\\sqrt{12}", "2\\sqrt3", "2 \\cdot \\sqrt{3}"],
+    ["\\frac{\\sqrt{3}}{2}", "\\frac{1}{2}\\sqrt{3}", "\\frac{\\sqrt3}{2}"],
+    ["-\\sqrt{2}", "-1\\sqrt{2}"],
+    ["\\frac{\\pi}{1}", "\\pi", "1\\pi"],
+    ["\\frac{\\pi}{2}", "\\frac{1}{2}\\pi", "0.5\\pi", "\\frac{2\\pi}{4}"],
+    ["-3\\pi", "-3 \\pi"],
+    ["E", " e ", "\\text{E}"],
+    ["X + 1", "x+1"],
+    ["9" * 60, "+" + "9" * 60, "0" + "9" * 60, "9" * 60 + ".0"],
+    ["123456789012345678901/123456789012345678901", "1"],
+    ["1/0.0000001", "10000000"],
+]
+
+
+@pytest.mark.parametrize("same", SAME, ids=lambda s: s[0][:20])
 def test_equivalent_answers_share_a_key(spark, same):
     got = keys(spark, same)
-    assert len(set(got)) == 1 and got[0] is not None
+    assert len(set(got)) == 1 and got[0] is not None, dict(zip(same, got))
+
+
+def test_different_answers_have_different_keys(spark):
+    """The first of each row above, and some that must not be merged with any."""
+    odd = ["1/0", "nan", "inf", "Infinity", "1" * 60, "1e5", "(1,234)", "0:0", "1:2:3", "\\frac{1}{0}", "(2,1)", "[1,2]", "1234", "\\sqrt{3}", "2^x", "\\pi r", "50", "a=b=c"]
+    values = [s[0] for s in SAME if s[0] not in ("123456789012345678901/123456789012345678901",)] + odd
+    got = keys(spark, values)
+    assert None not in got and len(set(got)) == len(values), sorted(zip(got, values))
 
 
 def test_keys_of_odd_answers(spark):
-    odd = ["1/0", "nan", "inf", "Infinity", "1" * 60, "1e5", "(1,234)", "0:0", "1:2:3", "\\frac{1}{0}"]
+    odd = ["1/0", "nan", "inf", "Infinity", "1e5", "0:0", "1:2:3", "\\frac{1}{0}"]
     got = keys(spark, odd)
     assert all(k.startswith("t:") for k in got) and len(set(got)) == len(odd)
     assert keys(spark, [None, "", " \n"]) == [None, None, None]

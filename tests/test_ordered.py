@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rolltally.operators import series
 from rolltally.operators.ordering import numbered, numbered_all, running, top_rows
-from rolltally.operators.quantiles import exact_percentiles, large_group_percentiles
+from rolltally.operators.quantiles import exact_percentiles
 
 
 @pytest.fixture(scope="module")
@@ -55,10 +55,8 @@ def test_running(table, include):
 def test_percentiles(table, q):
     pdf, df = table
     want = pdf.groupby("g").agg(x=("x", lambda s: s.quantile(q)), y=("y", lambda s: s.quantile(q)), low=("x", "min"))
-    for got in (
-        exact_percentiles(df, ["g"], ["x", "y"], q, hot_rows=300, accuracy=1000),
-        large_group_percentiles(df, ["g"], ["x", "y"], q, accuracy=1000),
-    ):
+    for accuracy in (1000, 10000):
+        got = exact_percentiles(df, ["g"], ["x", "y"], q, accuracy)
         got = got.toPandas().set_index("g").sort_index()
         assert np.allclose(got.x_at, want.x) and np.allclose(got.y_at, want.y) and np.allclose(got.x_min, want.low)
 

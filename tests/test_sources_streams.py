@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rolltally.functions import arrays as R
 from rolltally.functions.answers import answer_key
 from rolltally.operators import assemble, sampling, vote
+from rolltally.operators.ordering import numbered_all
 from rolltally.plans import catalog
 from rolltally.sources import problems, runs, sinks, views
 from rolltally.sources.staging import new_path, stage
@@ -130,9 +131,30 @@ def test_stream_vote_over_several_batches(spark):
     path = write_batches(spark, "vote-in", batches, schema)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     rows = rows.withColumn("answer_key", answer_key(F.col("answer")))
-    got = jobs.drain(jobs.vote(rows, "1 hour", "10 minutes", ["rollout_idx"]), "vote-out")
-    # The window of prompts 1 and 2 was closed by then, so their last row is late. Prompt 9 is still open.
-    assert {(r.prompt_id, r.pseudo_label, r.consensus_count, r.n_rollouts) for r in got.collect()} == {(1, "3", 3, 4), (2, "7", 1, 2)}
+    got = jobs.vote(jobs.drain_partials(rows, lambda b: jobs.vote_partials(b, ["rollout_idx"]), "vote-out"))
+    want = {(1, "3", 3, 5), (2, "7", 1, 2), (9, "1", 3, 3)}
+    assert {(r.prompt_id, r.pseudo_label, r.consensus_count, r.n_rollouts) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_streams_do_not_depend_on_files(spark, sf_dir, files):
+    """Vote and metric windows over the whole table, in any number of micro-batches, equal the batch job."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*views.ITEM)
+    path = new_path(spark, "files-in")
+    items.repartition(files).write.parquet(path)
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = lambda df: vote.with_answers(views.rollouts_of(df, views.ORDER))
+    got = jobs.vote(jobs.drain_partials(rows(stream), lambda b: jobs.vote_partials(b, views.ORDER), "files-out"))
+    want = jobs.vote(jobs.vote_partials(rows(items), views.ORDER))
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() == items.select("l_partkey").distinct().count()
+    assert got.agg(F.sum("n_rollouts")).first()[0] == items.count()
+
+
+def test_empty_stream(spark):
+    path = new_path(spark, "empty-in")
+    spark.createDataFrame([], "prompt_id long, rollout_idx long, answer string, answer_key string").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    assert jobs.vote(jobs.drain_partials(stream, lambda b: jobs.vote_partials(b, ["rollout_idx"]), "empty-out")).collect() == []
 
 
 def test_stream_dedup_over_batches(spark):
@@ -143,15 +165,15 @@ def test_stream_dedup_over_batches(spark):
     assert sorted((r.prompt_id, r.rollout_idx) for r in got.collect()) == [(1, 0), (1, 1)]
 
 
-def test_stream_metrics_equal_batch_on_closed_windows(spark):
+def test_stream_metrics_equal_batch(spark):
     schema = "name string, value double, ts timestamp"
     rows = [(n, float(m % 7), minute(m)) for m in range(0, 300, 3) for n in ("a", "b")]
-    path = write_batches(spark, "mw-in", [rows[:80], rows[80:]], schema)
-    stream = spark.readStream.schema(schema).parquet(path)
-    got = {(r.window.start, r.name): (r.mean_value, r.n_values) for r in jobs.drain(jobs.metric_windows(stream, "1 hour", "0 seconds"), "mw").collect()}
+    path = write_batches(spark, "mw-in", [rows[80:], rows[:80]], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    windows = jobs.metric_windows(jobs.drain_partials(stream, lambda b: jobs.metric_partials(b, "1 hour"), "mw"))
+    got = {(r.window.start, r.name): (r.mean_value, r.n_values) for r in windows.collect()}
     batch = spark.read.schema(schema).parquet(path).groupBy(F.window("ts", "1 hour"), "name").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    want = {(r.window.start, r.name): (r.m, r.n) for r in batch.collect() if r.window.end <= max(x[2] for x in rows)}
-    assert got == want and len(got) == 8
+    assert got == {(r.window.start, r.name): (r.m, r.n) for r in batch.collect()} and len(got) == 10
 
 
 def test_views_do_not_depend_on_hot_groups(spark, sf_dir):
@@ -161,9 +183,47 @@ def test_views_do_not_depend_on_hot_groups(spark, sf_dir):
     steps, split = views.build_steps(spark, sf_dir), views.build_steps(spark, sf_dir, hot_rows=2)
     assert steps.exceptAll(split.select(steps.columns)).isEmpty()
     tokens, cut = views.build_tokens(spark, sf_dir), views.build_tokens(spark, sf_dir, hot_rows=2)
-    assert tokens.select("seq_id", "pos", "token_id").exceptAll(cut.select("seq_id", "pos", "token_id")).isEmpty()
+    columns = ["seq_id", "sample_id", "pos", "token_id"]
+    assert tokens.select(columns).exceptAll(cut.select(columns)).isEmpty()
 
 
 def test_sample_expand(spark):
     got = vote.sample_expand(spark.range(3).withColumnRenamed("id", "prompt_id"), 2)
     assert sorted(map(tuple, got.collect())) == [(p, k) for p in range(3) for k in range(2)]
+
+
+def test_benchmarks_without_ids_are_numbered(spark):
+    """Two problems of a set without ids stay two problems in the report."""
+    rows = spark.createDataFrame([("b", "so \\boxed{2}"), ("a", "so \\boxed{1}"), ("a", "so \\boxed{3}")], "problem string, solution string")
+    got = problems.map_benchmark(rows, "math500").collect()
+    assert sorted(r.problem_id for r in got) == ["0", "1", "2"] and {r.ground_truth for r in got if r.problem == "b"} == {"2"}
+
+
+def test_fields_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([(1, "q", "5", "6")], "id long, question string, Answer string, other string").toDF("id", "question", "Answer", "answer")
+    assert problems.normalize_fields(df, keep=["id"]).collect() == [(1, "q", "5")]
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [("out/run/checkpoint-25", "run_checkpoint-25"), ("a/checkpoint-25/", "a_checkpoint-25"), ("checkpoint-25", "_checkpoint-25"), (None, None)],
+)
+def test_run_key_of_odd_paths(spark, path, want):
+    df = spark.createDataFrame([(path,)], "p string")
+    key = runs.run_key(F.lit("d"), F.lit("org/m/"), F.col("p"), F.lit(True), F.lit(0.6), F.lit(4))
+    middle = "" if want is None else f"_{want}"
+    assert df.select(key).first()[0] == f"eval_results_d_m{middle}_thinking_temp0.6_valn4"
+
+
+def test_shards_go_by_row_position(spark):
+    df = spark.createDataFrame([(i,) for i in (10, 20, 30, 40)], "id long")
+    rows = numbered_all(df, ["id"], F.lit(0), "row")
+    assert {r.id: r.shard for r in sampling.shard_interleaved(rows, "row", 2).collect()} == {10: 0, 20: 1, 30: 0, 40: 1}
+
+
+def test_tokens_keep_every_vector(spark, sf_dir):
+    tokens = views.build_tokens(spark, sf_dir)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert tokens.count() == vectors.count() and tokens.where("teacher is null").isEmpty()
+    per = tokens.groupBy("seq_id", "sample_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.countDistinct("pos").alias("k"))
+    assert per.where("last <> n - 1 or k <> n").isEmpty()

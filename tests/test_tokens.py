@@ -150,7 +150,7 @@ def test_extreme_scores_stay_finite(spark):
     assert row.ls == pytest.approx([0.0, -2000.0, -1000.0]) and row.j == pytest.approx(np.log(2)) and row.e == pytest.approx(0.0)
 
 
-def test_reductions(tokens, scores, spec_rows):
+def test_reductions(tokens, scores, weighted, spec_rows):
     ok = [r for r in spec_rows if r["ok"]]
     row = T.masked_reduction(tokens, 0, LossParams()).first()
     assert row.total == pytest.approx(sum(r["fklc"] for r in ok))
@@ -161,7 +161,12 @@ def test_reductions(tokens, scores, spec_rows):
             sum(r[first if r["direction_sign"] > 0 else other] for r in rows if r["ok"]) / max(1, sum(r["ok"] for r in rows))
             for rows in samples(spec_rows).values()
         ]
-        assert T.direction_kl(scores, mode).first().loss == pytest.approx(np.mean(per))
+        assert T.loss(weighted, LossParams(kl_mode=mode, retention=1.0)).first().loss == pytest.approx(np.mean(per))
+        soft = [
+            sum(r["w"] * r[first if r["direction_sign"] > 0 else other] for r in rows if r["ok"]) / max(1, sum(r["ok"] for r in rows))
+            for rows in samples(spec_rows).values()
+        ]
+        assert T.loss(weighted, LossParams(kl_mode=mode)).first().loss == pytest.approx(np.mean(soft))
     kl = {(r.seq_id, r.sample_id): r.kl_score for r in T.trajectory_kl(scores.where("pos > 2"), 6).collect()}
     for k, rows in samples([r for r in spec_rows if r["pos"] > 2]).items():
         early = [r["fkl"] for r in rows if r["pos"] < 6]
@@ -215,6 +220,39 @@ def test_hybrid_loss(weighted, spec_rows, mode, retention):
     assert T.hybrid_loss(rows).first().loss == pytest.approx(np.mean(losses))
 
 
+@pytest.mark.parametrize("engine", ["arrow", "builtin"])
+@pytest.mark.parametrize("beta", [0.0, 0.3, 0.5, 1.0])
+def test_mixture_loss(tokens, spec_rows, beta, engine):
+    params = LossParams(kl_mode=beta, retention=1.0)
+    weighted = T.soft_or_weights(T.token_scores(tokens, params, engine))
+    per = []
+    for rows in samples(spec_rows).values():
+        total = 0.0
+        for r in rows:
+            if r["ok"]:
+                s, t = np.array(r["ls"]), np.array(r["lt"])
+                if beta in (0, 1):
+                    terms = np.exp(t) * (t - s) if beta == 0 else np.exp(s) * (s - t)
+                else:
+                    m = np.log((1 - beta) * np.exp(s) + beta * np.exp(t))
+                    terms = beta * np.exp(t) * (t - m) + (1 - beta) * np.exp(s) * (s - m)
+                total += np.minimum(terms, params.clip).sum()
+        per.append(total / max(1, sum(r["ok"] for r in rows)))
+    assert T.loss(weighted, params).first().loss == pytest.approx(np.mean(per), abs=1e-9)
+
+
+def test_modes_are_not_mixed_up(weighted):
+    with pytest.raises(ValueError, match="no hybrid mode"):
+        T.hybrid_samples(weighted, None, LossParams(kl_mode=0.5))
+    with pytest.raises(ValueError, match="mixes divergence"):
+        T.divergence_loss(weighted, LossParams(kl_mode=-4))
+
+
+def test_monitor_without_retention(weighted):
+    row = T.weight_monitor(weighted, 0.0).first()
+    assert row.kept_kl_mean is None and row.dropped_kl_mean is None and row.mean_weight > 0
+
+
 def test_policy_terms(scores, spec_rows):
     ok = [r for r in spec_rows if r["ok"]]
     gain = [r["lt"][r["token_id"]] - r["ls"][r["token_id"]] for r in ok]

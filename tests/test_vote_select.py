@@ -233,7 +233,29 @@ def test_evaluation_placeholder_votes_and_empty_boxes(spark):
     assert (got[1].num_correct, got[1].num_formatted, got[1].pass_at_n, got[1].majority_vote_correct) == (1, 3, True, False)
     assert got[1].predicted_answer == "[No boxed answer found]" and got[1].formatted and not got[2].formatted
     assert not got[2].majority_vote_correct and got[2].num_formatted == 0
-    parts = evaluation.generations(graded.withColumn("completion", F.lit("c")), 2)
-    assert {(r.problem_id, r.part, tuple(g.rollout_idx for g in r.generations)) for r in parts.collect()} == {
-        (1, 0, (0, 1)), (1, 1, (2, 3)), (2, 0, (0,)),
-    }
+    flat = evaluation.generations(graded.withColumn("completion", F.lit("c")))
+    assert sorted((r.problem_id, r.rollout_idx) for r in flat.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+
+
+def test_report_of_a_problem_with_many_samples(spark):
+    """One row per problem, however many generations it has."""
+    rows = [("d", "p", i, "\\boxed{5}" if i % 3 else "none", "text", "5") for i in range(600)]
+    rows = spark.createDataFrame(rows, "dataset string, problem_id string, rollout_idx long, completion string, problem string, ground_truth string")
+    texts = evaluation.graded_texts(rows)
+    got = evaluation.report(evaluation.per_problem(texts), texts).collect()
+    assert len(got) == 1 and got[0].val_n == 600 and got[0].num_correct == 400
+    assert (got[0].problem, got[0].ground_truth, got[0].full_generation, got[0].formatted) == ("text", "5", "none", False)
+    assert evaluation.generations(texts).count() == 600
+
+
+def test_repairs_vote_with_the_others(spark):
+    rows = [(1, 0, "\\boxed{2}", None), (1, 1, "cut off", "6/2}}"), (1, 2, "cut off", " 3 }"), (1, 3, "cut off", " }"), (1, 4, "\\boxed{2}", "9}")]
+    df = spark.createDataFrame(rows, "prompt_id long, rollout_idx long, completion string, continuation string")
+    answers = vote.with_repairs(vote.with_answers(df))
+    assert "continuation" not in answers.columns
+    got = {r.rollout_idx: (r.answer, r.answer_key, r.extracted, r.recovered) for r in answers.collect()}
+    assert got[1] == ("6/2", "n:3.000000", False, True) and got[2][1] == "n:3.000000" and got[3] == (None, None, False, False)
+    assert got[4] == ("2", "n:2.000000", True, False)
+    assert vote.majority_vote(answers).first().consensus_count == 2
+    rates = vote.repair_rates(answers).first()
+    assert (rates.extraction_rate, rates.recovery_rate, rates.answer_rate) == (0.4, pytest.approx(2 / 3), 0.8)
