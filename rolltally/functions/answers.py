@@ -127,7 +127,8 @@ def bare_form(answer: Column) -> Column:
         return F.when(bare.rlike(r"[\\=°^]|[a-z)}]\.\z"), _cleaned(bare)).otherwise(bare)
 
     joined = _let(text, lambda t: F.when(t.rlike(thousands), F.translate(t, ",", "")).otherwise(t))
-    return _let(F.regexp_replace(joined, r"(?U)\s+", ""), tidy)
+    full = _let(F.regexp_replace(joined, r"(?U)\s+", ""), tidy)
+    return F.when(answer.rlike(r"^[A-Za-z0-9+/:-]*(?:\.\d+)?\z"), answer).otherwise(full)  # most answers need none of it
 
 
 _PLAIN = r"^[+-]?(?:\d+\.?\d*|\.\d+)\z"
@@ -199,7 +200,12 @@ def key_of(answer: Column, bare: Column, text_form=normalize_answer) -> Column:
     items = F.transform(F.split(F.regexp_extract(bare, listed, 2), ","), lambda x: F.coalesce(_scalar(x, F.lower(x)), F.lit("t:")))
     items = F.when(opened == "{", F.array_sort(F.array_distinct(items))).otherwise(items)
     several = F.concat(F.lit("l:"), opened, F.array_join(items, ","), closed)
-    return F.when(bare.contains(",") & bare.rlike(listed), several).otherwise(_scalar(bare, text))
+    plain = F.concat(F.lit("n:"), bare.try_cast("decimal(38,6)").cast("string"))
+    return (
+        F.when(bare.rlike(r"^[+-]?\d{1,30}(?:\.\d{1,6})?\z"), plain)  # most numbers, without the rest
+        .when(bare.contains(",") & bare.rlike(listed), several)
+        .otherwise(_scalar(bare, text))
+    )
 
 
 def answer_key(answer: Column, text_form=normalize_answer) -> Column:

@@ -41,7 +41,7 @@ def with_repairs(answers: DataFrame, continuation: str = "continuation", text_fo
     found = A.has_answer(F.col("answer"))
     merged = answers.withColumn("extracted", found).withColumn("answer", merge_repair(F.col("answer"), F.col(continuation)))
     recovered = ~F.col("extracted") & A.has_answer(F.col("answer"))
-    merged = merged.withColumn("recovered", recovered).withColumn("_bare", A.bare_form(F.col("answer")))
+    merged = merged.withColumn("recovered", recovered).withColumn("_bare", F.when(F.col("recovered"), A.bare_form(F.col("answer"))))
     key = F.when(F.col("recovered"), A.key_of(F.col("answer"), F.col("_bare"), text_form)).otherwise(F.col("answer_key"))
     return merged.withColumn("answer_key", key).drop("_bare", continuation)
 
