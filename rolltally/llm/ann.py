@@ -35,7 +35,7 @@ BLOCK, LEAST_BLOCK, BLOCKS_PER_CORE = 2048, 128, 4
 LOT = 128
 #: New links that a vector gets from one list and from one block in one round at most; the nearest come first, others in later rounds.
 PER_CENTER, PER_BLOCK = 5, 16
-BEAM, STEPS = 80, 4
+BEAM, STEPS = 128, 4
 QUERY_BLOCK = 64
 
 _LINK = "u long, w long, d float"
