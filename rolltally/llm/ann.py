@@ -2,9 +2,10 @@
 
 The graph starts from random-hyperplane buckets. In each round every vector's neighbours and reverse neighbours are compared with each other, if at
 least one of the two is new to the list, and each vector keeps its best. Vectors are dealt into blocks of similar ones; a block gets the
-lists of its vectors and every vector named there once, so vectors don't travel once per pair. Long reverse lists are dealt into lots, each of which meets the
-forward list. A query starts at its own node and expands the best nodes found so far, on links in both directions, until none of them is new or the
-rounds are over. What is returned is scored again in double precision on the original vectors.
+lists of its vectors and every vector named there once, so vectors don't travel once per pair. A block hands on as many links per vector as a vector
+can keep, so that none is lost on the way. Long reverse lists are dealt into lots anew in each round; each lot meets the forward list, and there old pairs are
+compared again, since they may have been in different lots. Rounds end when hardly a link is new. A query starts at its own node and expands the best nodes
+found so far, on links in both directions, until none of them is open. What is returned is scored again in double precision on the original vectors.
 
 Equal vectors are folded and unfolded at the end: of each group only its smallest ids can be among the nearest.
 
@@ -26,16 +27,14 @@ from rolltally.llm.store import store
 from rolltally.llm.vectors import common_size, lists, matrix, usable
 
 DEGREE = 36
-ROUNDS = 8
+ROUNDS = 30
 #: Rounds end when a smaller share of all links is new.
-SETTLED = 0.05
+SETTLED = 0.002
 TABLES, BUCKET, FIRST = 3, 256, 20
 #: Vectors per block; smaller ones, down to the second figure, where there would be fewer blocks than keep all cores busy.
 BLOCK, LEAST_BLOCK, BLOCKS_PER_CORE = 2048, 128, 4
 LOT = 128
-#: New links that a vector gets from one list and from one block in one round at most; the nearest come first, others in later rounds.
-PER_CENTER, PER_BLOCK = 5, 16
-BEAM, STEPS = 128, 4
+BEAM = 128
 QUERY_BLOCK = 64
 
 _LINK = "u long, w long, d float"
@@ -77,8 +76,8 @@ def _within(table: pa.Table, size: int) -> pa.Table:
     return _links(np.repeat(ids, most), ids[near].reshape(-1), np.take_along_axis(d, near, axis=1).reshape(-1), most)
 
 
-def _joined(table: pa.Table, size: int) -> pa.Table:
-    """One block: memberships (center, lot, member, fresh) and the vectors of all members with their worst kept distance."""
+def _joined(table: pa.Table, size: int, degree: int) -> pa.Table:
+    """One block: memberships (center, lot, member, fresh, split) and the vectors of all members with their worst kept distance."""
     is_vector = _plain(table, "is_vector").astype(bool)
     members = table.filter(pa.array(~is_vector))
     vectors = table.filter(pa.array(is_vector))
@@ -89,14 +88,15 @@ def _joined(table: pa.Table, size: int) -> pa.Table:
     worst = _plain(vectors, "worst")[by_id].astype(np.float32)
     at = np.searchsorted(ids, _plain(members, "member"))
     center, lot, fresh = _plain(members, "center"), _plain(members, "lot"), _plain(members, "fresh").astype(bool)
+    split = _plain(members, "split").astype(bool)
     order = np.lexsort((~fresh, at, lot, center))
-    at, center, lot, fresh = at[order], center[order], lot[order], fresh[order]
+    at, center, lot, fresh, split = at[order], center[order], lot[order], fresh[order], split[order]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (center[1:] != center[:-1]) | (lot[1:] != lot[:-1])
     bounds = np.append(np.flatnonzero(new), len(at))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        if not fresh[lo:hi].any():
+        if not (split[lo] or fresh[lo:hi].any()):
             continue
         m, one = np.unique(at[lo:hi], return_index=True)
         if len(m) < 2:
@@ -104,8 +104,9 @@ def _joined(table: pa.Table, size: int) -> pa.Table:
         old = np.flatnonzero(~fresh[lo:hi][one])
         d = _squared(x[m], x[m])
         np.fill_diagonal(d, np.inf)
-        d[old[:, None], old[None, :]] = np.inf  # met before
-        most = min(PER_CENTER, len(m) - 1)
+        if not split[lo]:
+            d[old[:, None], old[None, :]] = np.inf  # met before
+        most = min(degree, len(m) - 1)
         near = np.argpartition(d, most - 1, axis=1)[:, :most]
         v = np.take_along_axis(d, near, axis=1)
         i, j = np.nonzero(v < worst[m][:, None])
@@ -114,7 +115,7 @@ def _joined(table: pa.Table, size: int) -> pa.Table:
     if not out:
         return _links(*_EMPTY, 1)
     u, w, d = (np.concatenate(c) for c in zip(*out, strict=True))
-    return _links(ids[u], ids[w], d, PER_BLOCK)
+    return _links(ids[u], ids[w], d, degree)
 
 
 def _measured(table: pa.Table, size: int) -> pa.Table:
@@ -150,7 +151,7 @@ def graph(points: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUN
         found = dealt.select("code", "lot", "id", "vector").groupBy("code", "lot").applyInArrow(lambda t: _within(t, size), _LINK)
         links = found if links is None else links.unionByName(found)
     links = store(_best(links.withColumn("fresh", F.lit(True)), degree), "ann-links")
-    for _ in range(rounds):
+    for turn in range(rounds):
         out = links.groupBy(F.col("u").alias("id")).agg(F.max("fresh").alias("fresh_out"), F.max("d").alias("last"), F.max("rank").alias("held"))
         back = links.groupBy(F.col("w").alias("id")).agg(F.max("fresh").alias("fresh_back"), F.count(F.lit(1)).alias("backs"))
         worst = F.when(F.col("held") >= degree, F.col("last")).otherwise(F.lit(float("inf"))).cast("float")
@@ -162,16 +163,16 @@ def graph(points: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUN
         both = links.select(F.col("u").alias("center"), F.col("w").alias("member"), "fresh", F.lit(False).alias("back")).unionByName(
             links.select(F.col("w").alias("center"), F.col("u").alias("member"), "fresh", F.lit(True).alias("back"))
         )
-        lots = F.when(F.col("back"), F.array(F.pmod(F.xxhash64("member"), F.col("lots")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("lots") - 1))
+        lots = F.when(F.col("back"), F.array(F.pmod(F.xxhash64("member", F.lit(turn)), F.col("lots")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("lots") - 1))
         centers = nodes.where("active").select(F.col("id").alias("center"), "block", "lots")
-        members = store(both.join(centers, "center").select("block", "center", "member", "fresh", F.explode(lots).alias("lot")), "ann-members")
+        members = store(both.join(centers, "center").select("block", "center", "member", "fresh", (F.col("lots") > 1).alias("split"), F.explode(lots).alias("lot")), "ann-members")
         wanted = members.select("block", "member").distinct().join(nodes.select(F.col("id").alias("member"), "vector", "worst"), "member")
         empty = F.lit(None)
-        rows = members.select("block", F.lit(False).alias("is_vector"), "center", "lot", "member", "fresh", empty.cast("array<float>").alias("vector"), empty.cast("float").alias("worst"))
+        rows = members.select("block", F.lit(False).alias("is_vector"), "center", "lot", "member", "fresh", "split", empty.cast("array<float>").alias("vector"), empty.cast("float").alias("worst"))
         rows = rows.unionByName(
-            wanted.select("block", F.lit(True).alias("is_vector"), F.lit(-1).cast("long").alias("center"), F.lit(-1).alias("lot"), "member", F.lit(False).alias("fresh"), "vector", "worst")
+            wanted.select("block", F.lit(True).alias("is_vector"), F.lit(-1).cast("long").alias("center"), F.lit(-1).alias("lot"), "member", F.lit(False).alias("fresh"), F.lit(False).alias("split"), "vector", "worst")
         )
-        found = rows.groupBy("block").applyInArrow(lambda t: _joined(t, size), _LINK)
+        found = rows.groupBy("block").applyInArrow(lambda t: _joined(t, size, degree), _LINK)
         old = links.select("u", "w", "d", F.lit(False).alias("fresh"))
         links = store(_best(old.unionByName(found.withColumn("fresh", F.lit(True))), degree), "ann-links")
         share = links.agg(F.avg(F.col("fresh").cast("int"))).first()[0]
@@ -200,14 +201,14 @@ def _distances(pairs: DataFrame, points: DataFrame, size: int, blocks: int) -> D
     return rows.groupBy("block").applyInArrow(lambda t: _measured(t, size), _LINK)
 
 
-def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """``query`` (ids of nodes) -> the best nodes met, ``query, node, d``, up to ``beam`` each."""
+def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, beam: int = BEAM) -> DataFrame:
+    """``query`` (ids of nodes) -> the best nodes met, ``query, node, d``, up to ``beam`` each; ends when no node among these is open."""
     both = store(links.select("u", "w").union(links.select("w", "u")).distinct(), "ann-both")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    met = queries.select("query", F.col("query").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"))
+    met = queries.select("query", F.col("query").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(1).alias("rank"))
     order = Window.partitionBy("query").orderBy("d", "node")
     frontier = met
-    for _ in range(steps):
+    while not frontier.isEmpty():
         reached = frontier.join(both, frontier.node == both.u).select("query", F.col("w").alias("node")).distinct()
         reached = reached.join(met.select("query", "node"), ["query", "node"], "left_anti")
         found = _distances(reached, points, size, blocks).select(F.col("u").alias("query"), F.col("w").alias("node"), "d", F.lit(False).alias("done"))
@@ -215,8 +216,6 @@ def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, b
         old = met.join(done, ["query", "node"], "left").select("query", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         met = store(old.unionByName(found).withColumn("rank", F.row_number().over(order)), "ann-met")
         frontier = met.where((F.col("rank") <= beam) & ~F.col("done")).select("query", "node")
-        if frontier.isEmpty():
-            break
     return met.where(F.col("rank") <= beam).select("query", "node", "d")
 
 

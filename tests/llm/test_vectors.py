@@ -4,6 +4,7 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,30 @@ def test_neighbours(spark, seed):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_a_block_hands_on_all_links_that_can_be_kept():
+    n, degree = 30, 36
+    ids, x = np.arange(n), np.random.default_rng(1).normal(size=(n, 4)).astype(np.float32)
+
+    def rows(fresh, split):
+        blank = [None] * n
+        members = {"is_vector": [False] * n, "center": [0] * n, "lot": [0] * n, "member": ids, "fresh": [fresh] * n, "split": [split] * n, "vector": blank, "worst": blank}
+        vectors = {"is_vector": [True] * n, "center": [-1] * n, "lot": [-1] * n, "member": ids, "fresh": [False] * n, "split": [False] * n, "vector": x.tolist(), "worst": [float("inf")] * n}
+        kinds = {"is_vector": pa.bool_(), "center": pa.int64(), "lot": pa.int32(), "member": pa.int64(), "fresh": pa.bool_(), "split": pa.bool_(), "vector": pa.list_(pa.float32()), "worst": pa.float32()}
+        return pa.concat_tables([pa.table({k: pa.array(part[k], t) for k, t in kinds.items()}) for part in (members, vectors)])
+
+    assert ann._joined(rows(True, False), 4, degree).num_rows == n * (n - 1)
+    assert ann._joined(rows(True, False), 4, 7).num_rows == n * 7
+    assert ann._joined(rows(False, False), 4, degree).num_rows == 0  # met before
+    assert ann._joined(rows(False, True), 4, degree).num_rows == n * (n - 1)  # dealt into lots, so perhaps not
+
+
+def test_greedy_search_walks_to_the_end(spark):
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)], "u long, w long, d float")
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "id long, vector array<float>")
+    got = ann.greedy(spark.createDataFrame([(0,)], "query long"), links, points, 2)
+    assert sorted((r.query, r.node, r.d) for r in got.collect()) == [(0, i, float(i * i)) for i in range(10)]
+
+
 def test_few_neighbours(spark):
     data = [(0, [1.0, 0.0], 0), (100, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (200, None, 0)]
     got = [tuple(r) for r in ann.op9_neighbours(spark.createDataFrame(data, SCHEMA)).collect()]
