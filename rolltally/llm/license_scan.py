@@ -2,10 +2,10 @@
 
 The index is over licence templates: word -> (template, position). A first pass over the texts keeps of each document only the places of
 template words (and nothing of a document without a rare one). From these come the document frequencies of all rare
-template words over the whole corpus, so the words with the highest inverse document frequency of each template: its anchors. A
-document's anchor places are intersected by relative position: two anchors that agree on where the template would begin make a candidate. A
-candidate counts if all words of the template's mandatory key phrases stand where they belong; its score is the share of
-all template words that do. The phrases of the base labels are counted everywhere.
+template words over the whole corpus. Each document looks templates up by the words it holds itself, those of the highest inverse document frequency first:
+its rarest word in a template's key phrases is the anchor, and each place of it says where the template would begin. Such a
+candidate counts if all words of the template's mandatory key phrases stand where they belong, in the words around the anchor; its score is the share of
+all template words that do. So a document's labels depend on its own text only. The phrases of the base labels are counted everywhere.
 
 Defined cases: a null or empty text has no words and no labels ('' and score 0); repeated rows are scanned each; equal document frequencies are ordered
 by the word; other columns are ignored; an empty table gives no rows.
@@ -82,12 +82,12 @@ def license_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
-def anchors(found: DataFrame) -> list[list[str]]:
-    """Per template its words of the highest inverse document frequency over all documents of ``found``; the counts are one row per rare template word."""
+def rarest_first(found: DataFrame) -> list[str]:
+    """The rare template words by falling inverse document frequency over all documents of ``found``; the counts are one row per word."""
     rare = F.array(*[F.lit(_CODE[w]) for w in RARE])
     held = found.where("hits is not null").select(F.explode(F.array_intersect(F.transform("hits", lambda h: h["w"]), rare)).alias("w"))
     frequency = {VOCABULARY[r["w"] - 1]: r["count"] for r in held.groupBy("w").count().collect()}
-    return [sorted({w for w in words if w in RARE}, key=lambda w: (frequency.get(w, 0), w))[:ANCHORS] for _, words, _ in _PARSED]
+    return sorted(RARE, key=lambda w: (frequency.get(w, 0), w))
 
 
 def _standing(hits: Column, phrase: str) -> Column:
@@ -104,26 +104,27 @@ def _standing(hits: Column, phrase: str) -> Column:
     return F.filter(F.transform(hits, at), lambda p: p.isNotNull())
 
 
-def _best(hits: Column, words: list[str], must: list[bool], picked: list[str]) -> Column:
-    """Best score of a template in a document, null where no candidate has all key phrases."""
+def _best(hits: Column, own: Column, words: list[str], must: list[bool]) -> Column:
+    """Best score of a template in a document, null where no candidate has all key phrases; ``own``: codes of the document's rare words, rarest first."""
     codes = F.array(*[F.lit(_CODE[w]) for w in words])
     needed = F.array(*[F.lit(m) for m in must])
-    posting = {_CODE[a]: [i for i, w in enumerate(words) if w == a] for a in picked}
-    at = F.filter(hits, lambda h: h["w"].isin(*posting)) if posting else F.slice(hits, 1, 0)
-    begins = F.flatten(
+    posting = {_CODE[w]: [i for i, x in enumerate(words) if x == w and must[i]] for w, m in zip(words, must, strict=True) if m and w in RARE}
+    anchor = F.get(F.array_intersect(own, F.array(*[F.lit(c) for c in posting])), F.lit(0))
+    at = F.filter(F.transform(hits, lambda h, i: F.when(h["w"] == anchor, F.struct(h["p"].alias("p"), i.alias("i"), h["w"].alias("w")))), lambda a: a.isNotNull())
+    candidates = F.flatten(
         F.transform(
             at,
-            lambda h: F.coalesce(*[F.when(h["w"] == code, F.array(*[h["p"] - F.lit(i) for i in places])) for code, places in posting.items()])
-            if posting
-            else F.array(h["p"]),
+            lambda a: F.coalesce(
+                *[F.when(a["w"] == code, F.array(*[F.struct((a["p"] - F.lit(place)).alias("begin"), a["i"].alias("i")) for place in places])) for code, places in posting.items()]
+            ),
         )
     )
-    ordered = F.array_sort(begins)
-    agreeing = min(AGREEING, sum(len(p) for p in posting.values()))
-    candidates = F.array_distinct(F.filter(F.transform(ordered, lambda b, i: F.when(F.get(ordered, i + (agreeing - 1)) == b, b)), lambda b: b.isNotNull()))
+    reach = len(words) - 1
 
-    def score(begin: Column) -> Column:
-        there = F.filter(hits, lambda h: (h["p"] >= begin) & F.coalesce(F.get(codes, h["p"] - begin) == h["w"], F.lit(False)))
+    def score(c: Column) -> Column:
+        begin = c["begin"]
+        near = F.slice(hits, F.greatest(c["i"] - F.lit(reach), F.lit(0)) + F.lit(1), F.lit(2 * reach + 1))  # hits are at different places
+        there = F.filter(near, lambda h: (h["p"] >= begin) & F.coalesce(F.get(codes, h["p"] - begin) == h["w"], F.lit(False)))
         complete = F.size(F.filter(there, lambda h: F.get(needed, h["p"] - begin))) == sum(must)
         return F.when(complete, F.size(there) / F.lit(float(len(words))))
 
@@ -133,13 +134,14 @@ def _best(hits: Column, words: list[str], must: list[bool], picked: list[str]) -
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per row of ``docs``."""
     found = store(license_words(docs, doc_id, text), "license-words")
-    picked = anchors(found)
+    by_idf = F.array(*[F.lit(_CODE[w]) for w in rarest_first(found)])
+    found = found.withColumn("own", F.array_intersect(by_idf, F.transform("hits", lambda h: h["w"])))
     hits = F.col("hits")
     base = found.select("*", *[F.coalesce(_standing(hits, phrase), F.array().cast("array<int>")).alias(f"base_{i}") for i, phrase in enumerate(BASE)])
     scored = base.select(
         "doc_id", "n_words", F.array_sort(F.concat(*[F.col(f"base_{i}") for i in range(len(BASE))])).alias("starts"),
         F.array_compact(F.array(*[F.when(F.size(f"base_{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())])).alias("base"),
-        F.array(*[F.when(hits.isNotNull(), _best(hits, words, must, picked[i])) for i, (_, words, must) in enumerate(_PARSED)]).alias("scores"),
+        F.array(*[F.when(hits.isNotNull(), _best(hits, F.col("own"), words, must)) for _, words, must in _PARSED]).alias("scores"),
     )
     own = F.filter(F.transform(_strings([label for label, *_ in _PARSED]), lambda label, i: F.when(F.get("scores", i).isNotNull(), label)), lambda x: x.isNotNull())
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -246,6 +246,28 @@ def test_license_template_with_a_wrong_key_phrase(spark):
     assert got[4].n_base == 0
 
 
+def test_license_by_its_key_phrase_alone(spark):
+    """Labels and scores against brute force on texts that hold key phrases without the rest of their templates."""
+    templates = [(label, *license_scan.parsed(text)) for label, text in license_scan.TEMPLATES]
+    phrases = [" ".join(w for w, m in zip(words, must, strict=True) if m) for _, words, must in templates]
+    texts = ["x " + p + " y" for p in phrases] + ["Redistribution and use in source and binary forms", "GNU Lesser General Public License", "mit " * 50 + "mit license", "redistribution and use in source or binary forms"]
+    texts += [" ".join(w if m else "x" for w, m in zip(words, must, strict=True)) for _, words, must in templates]
+    texts += ["y " + " ".join(words) + " " + " ".join(words[2:]) for _, words, _ in templates]
+    got = {r.doc_id: r for r in license_scan.op2_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        here = re.findall(license_scan.WORD, text.lower())
+        labels, best = set(), 0.0
+        for label, words, must in templates:
+            for begin in range(-len(words), len(here)):
+                there = [0 <= begin + j < len(here) and here[begin + j] == w for j, w in enumerate(words)]
+                if all(t for t, m in zip(there, must, strict=True) if m):
+                    labels.add(label)
+                    best = max(best, sum(there) / len(words))
+        labels |= {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in f" {' '.join(here)} "}
+        assert (got[i].labels, got[i].score) == (",".join(sorted(labels)), best), text
+    assert got[len(phrases)].labels == "bsd" and got[len(phrases) + 1].labels == "gpl,lgpl"
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.op1_language(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
