@@ -1,7 +1,8 @@
 """HTML extraction by two-pass block rules.
 
 Pass 1 cuts a page into blocks and decides each one that can be decided: by the markup it stands in (menus, footers, adverts,
-comments and so on are boilerplate; where a page has an article or main element, what stands outside it is too), by link density,
+comments and so on are boilerplate; where a page has an article or main element, what stands outside it is too; a class or id alone
+can't make a container boilerplate that holds the article or most of the page's long blocks with few links), by link density,
 and by length together with stop-word density. Pass 2 lets every undecided short block inherit the label of its nearest decided
 neighbour (content on a tie inside an article, boilerplate outside).
 
@@ -59,6 +60,10 @@ PARTS = frozenset(
     """.split()
 )
 
+# Parts made of what readers wrote, and words by which a name says something of a part that stands elsewhere.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+MODIFIERS = frozenset("closed collapsed disabled enabled has hidden hide no not open with without".split())
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Za-z0-9]+")
@@ -67,22 +72,29 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _is_part(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no article text."""
+def _is_part(name: str, attributes: str, inside: bool) -> tuple[bool, str | None]:
+    """Whether an element's markup says that it holds no article text, and the kind of part (``comments``, ``part`` or none) that its class or id names."""
     if name in BOILERPLATE or (name == "header" and not inside):
-        return True
+        return True, None
     if not attributes or attributes.isspace():
-        return False
+        return False, None
+    named = None
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body"):
-            if any(w.lower() in PARTS for w in _WORDS.findall(_CAMEL.sub(" ", value))):
-                return True
-            if key == "role" and value.lower() in ("alert", "alertdialog", "form"):
-                return True
-    return False
+            return True, None
+        if key == "role" and name not in ("html", "body"):
+            if value.lower() in ("alert", "alertdialog", "form") or any(w.lower() in PARTS for w in _WORDS.findall(_CAMEL.sub(" ", value))):
+                return True, None
+        if key in ("class", "id") and name not in ("html", "body"):
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", one))}
+                if words & PARTS and not words & MODIFIERS:
+                    named = "comments" if words & COMMENTS or named == "comments" else "part"
+    return False, named
+
+
+_OUTSIDE = ("", False, False, -1, -1)
 
 
 class _Blocks:
@@ -90,7 +102,11 @@ class _Blocks:
 
     def __init__(self) -> None:
         self.found: list[tuple[str, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # name, boilerplate from here on, article from here on
+        # Name, boilerplate by markup from here on, article from here on, innermost named part (or -1), innermost article (or -1).
+        self.open: list[tuple[str, bool, bool, int, int]] = []
+        self.named: list[tuple[int, str]] = []  # parts by class or id: the part around it, kind
+        self.articles: list[tuple[str, int]] = []  # name, named part that it stands in or is itself
+        self.where: list[tuple[int, int]] = []  # named part and article of each block
         self.pieces: list[str] = []
         self.linked = self.links = 0
 
@@ -105,8 +121,9 @@ class _Blocks:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                _, part, inside = self.open[-1] if self.open else ("", False, False)
+                _, part, inside, named, article = self.open[-1] if self.open else _OUTSIDE
                 self.found.append((text, self.linked, part, inside))
+                self.where.append((named, article))
             self.pieces, self.linked = [], 0
 
     def start(self, name: str, attributes: str) -> None:
@@ -121,14 +138,21 @@ class _Blocks:
             self.links = 1
             return
         if name in CONTENT:  # an article never stands in an unclosed menu, header or the like
-            while any(part and n in (*BOILERPLATE, "header") for n, part, _ in self.open):
+            while any(part and n in (*BOILERPLATE, "header") for n, part, *_ in self.open):
                 self.open.pop()
         elif name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             if self.open and self.open[-1][0] == name:
                 self.open.pop()
         if name in BLOCK or name in BOILERPLATE or attributes.strip():
-            _, part, inside = self.open[-1] if self.open else ("", False, False)
-            self.open.append((name, part or _is_part(name, attributes, inside), inside or name in CONTENT))
+            _, part, inside, named, article = self.open[-1] if self.open else _OUTSIDE
+            hard, kind = _is_part(name, attributes, inside)
+            if kind:
+                self.named.append((named, kind))
+                named = len(self.named) - 1
+            if name in CONTENT:
+                self.articles.append((name, named))
+                article = len(self.articles) - 1
+            self.open.append((name, part or hard, inside or name in CONTENT, named, article))
 
     def end(self, name: str) -> None:
         if name in BLOCK:
@@ -145,6 +169,47 @@ class _Blocks:
                     return
 
 
+    def around(self, named: int) -> list[int]:
+        """A named part and those around it, innermost first."""
+        out = []
+        while named >= 0:
+            out.append(named)
+            named = self.named[named][0]
+        return out
+
+    def judged(self) -> list[tuple[str, int, bool, bool]]:
+        """Blocks with named parts taken into account: a part is lifted if it holds an article to be judged afresh or most of the page's long blocks."""
+        if not self.named:
+            return self.found
+        size = [len(text) if len(text) >= LONG and not part and linked <= LINK_DENSITY * (len(text) - text.count(" ")) else 0 for text, linked, part, _ in self.found]
+        around = [self.around(i) for i in range(len(self.named))]
+        comments = [any(self.named[j][1] == "comments" for j in x) for x in around]
+        held, total, open_text = [0] * len(self.named), sum(size), 0
+        filled, long = set(), set()  # articles with any text, and with a long block
+        for (named, article), n, (_, _, part, _) in zip(self.where, size, self.found, strict=True):
+            if article >= 0 and not part:
+                filled.add(article)
+                if n:
+                    long.add(article)
+            for j in around[named] if named >= 0 else []:
+                held[j] += n
+            if named < 0 or not comments[named]:
+                open_text += n
+        plain = any(named < 0 and i in filled for i, (_, named) in enumerate(self.articles))
+        lifted = set()
+        outside_comments = open_text > 0 or any(i in filled and (named < 0 or not comments[named]) for i, (_, named) in enumerate(self.articles))
+        for i, (name, named) in enumerate(self.articles):
+            if named >= 0 and i in filled and not comments[named] and (name == "main" or i in long or not plain):
+                lifted |= set(around[named])
+        for j in range(len(self.named)):
+            if held[j] * 2 > total and (not comments[j] or not outside_comments):
+                lifted.add(j)
+        return [
+            (text, linked, part or (named >= 0 and any(j not in lifted for j in around[named])), inside)
+            for (text, linked, part, inside), (named, _) in zip(self.found, self.where, strict=True)
+        ]
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     out, at, size = _Blocks(), 0, len(page)
     while at < size:
@@ -176,7 +241,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             out.text("<")
             at = lt + 1
     out.flush()
-    return out.found
+    return out.judged()
 
 
 def stop_density(text: str) -> float:

@@ -33,6 +33,25 @@ CASES = {
 }
 
 
+LONG_TEXT = (PARAGRAPH * 2).strip()
+WRAPPED = {
+    "modifiers": (f"<div class='layout has-sidebar nav-open with-comments no-banner'><p>{LONG_TEXT}</p></div>", LONG_TEXT),
+    "wrapper of the article": (f"<div id='sidebar'><article><p>{LONG_TEXT}</p><p>Short.</p></article><div class='widget'>Buy this</div></div>", f"{LONG_TEXT} Short."),
+    "wrapper of a short main": ("<div class='banner'><main><p>Short.</p></main></div>", "Short."),
+    "wrapper of most long blocks": (f"<div class='widget'><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><div class='sidebar'><p>{LONG_TEXT}</p></div>", f"{LONG_TEXT} {LONG_TEXT}"),
+    "article that names a part": (f"<article class='post sponsored'><p>{LONG_TEXT}</p></article>", LONG_TEXT),
+    "comments stay out": (f"<article><p>Text.</p></article><div class='comments'><article><p>{LONG_TEXT}</p></article><p>{LONG_TEXT}</p></div>", "Text."),
+    "related cards stay out": ("<article><p>Text.</p></article><div class='related'><article><p>Card</p></article></div>", "Text."),
+    "sidebar stays out": (f"<div><p>{LONG_TEXT}</p></div><div class='site-sidebar'><p>{PARAGRAPH}</p></div>", LONG_TEXT),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_container_that_a_class_names_a_part(name):
+    html, want = WRAPPED[name]
+    assert html_extract.main_text(page(html)) == want
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_page(name):
     html, want = CASES[name]
