@@ -3,7 +3,8 @@
 Pass 1 cuts a page into blocks and decides each one that can be decided: by the markup it stands in (menus, footers, adverts,
 comments and so on are boilerplate; where a page has an article or main element, what stands outside it is too; a class or id alone
 can't make a container boilerplate that holds the article or most of the page's long blocks with few links), by link density,
-and by length together with stop-word density. Pass 2 lets every undecided short block inherit the label of its nearest decided
+and by length together with stop-word density. Stop words count only where they can tell: not on a page none of whose long blocks is rich in the known
+ones, not for a block mostly in other scripts than Latin, in pre or in a table; there length, links and markup decide. Pass 2 lets every undecided short block inherit the label of its nearest decided
 neighbour (content on a tie inside an article, boilerplate outside).
 
 Defined cases: null or empty html, or a page without content, gives an empty text; unclosed and cut-off tags end with the page; other columns are
@@ -70,6 +71,7 @@ _WORDS = re.compile(r"[A-Za-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00AA\u00BA\u00C0-\u024F\u1E00-\u1EFF]")
 
 
 def _is_part(name: str, attributes: str, inside: bool) -> tuple[bool, str | None]:
@@ -98,10 +100,10 @@ _OUTSIDE = ("", False, False, -1, -1)
 
 
 class _Blocks:
-    """Blocks of one page: text, characters in links, whether in a boilerplate part, whether in an article."""
+    """Blocks of one page: text, characters in links, whether in a boilerplate part, whether in an article, whether in pre or a table."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[str, int, bool, bool]] = []
+        self.found: list[tuple[str, int, bool, bool, bool]] = []
         # Name, boilerplate by markup from here on, article from here on, innermost named part (or -1), innermost article (or -1).
         self.open: list[tuple[str, bool, bool, int, int]] = []
         self.named: list[tuple[int, str]] = []  # parts by class or id: the part around it, kind
@@ -122,7 +124,7 @@ class _Blocks:
             text = " ".join("".join(self.pieces).split())
             if text:
                 _, part, inside, named, article = self.open[-1] if self.open else _OUTSIDE
-                self.found.append((text, self.linked, part, inside))
+                self.found.append((text, self.linked, part, inside, any(n in ("pre", "table") for n, *_ in self.open)))
                 self.where.append((named, article))
             self.pieces, self.linked = [], 0
 
@@ -177,16 +179,16 @@ class _Blocks:
             named = self.named[named][0]
         return out
 
-    def judged(self) -> list[tuple[str, int, bool, bool]]:
+    def judged(self) -> list[tuple[str, int, bool, bool, bool]]:
         """Blocks with named parts taken into account: a part is lifted if it holds an article to be judged afresh or most of the page's long blocks."""
         if not self.named:
             return self.found
-        size = [len(text) if len(text) >= LONG and not part and linked <= LINK_DENSITY * (len(text) - text.count(" ")) else 0 for text, linked, part, _ in self.found]
+        size = [len(text) if len(text) >= LONG and not part and linked <= LINK_DENSITY * (len(text) - text.count(" ")) else 0 for text, linked, part, *_ in self.found]
         around = [self.around(i) for i in range(len(self.named))]
         comments = [any(self.named[j][1] == "comments" for j in x) for x in around]
         held, total, open_text = [0] * len(self.named), sum(size), 0
         filled, long = set(), set()  # articles with any text, and with a long block
-        for (named, article), n, (_, _, part, _) in zip(self.where, size, self.found, strict=True):
+        for (named, article), n, (_, _, part, *_) in zip(self.where, size, self.found, strict=True):
             if article >= 0 and not part:
                 filled.add(article)
                 if n:
@@ -205,12 +207,12 @@ class _Blocks:
             if held[j] * 2 > total and (not comments[j] or not outside_comments):
                 lifted.add(j)
         return [
-            (text, linked, part or (named >= 0 and any(j not in lifted for j in around[named])), inside)
-            for (text, linked, part, inside), (named, _) in zip(self.found, self.where, strict=True)
+            (text, linked, part or (named >= 0 and any(j not in lifted for j in around[named])), inside, preset)
+            for (text, linked, part, inside, preset), (named, _) in zip(self.found, self.where, strict=True)
         ]
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     out, at, size = _Blocks(), 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -249,19 +251,28 @@ def stop_density(text: str) -> float:
     return sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def _other_script(text: str) -> bool:
+    """Whether most letters aren't Latin."""
+    return not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(len, _LETTERS.findall(text)))
+
+
+def labels(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """Content or not, for each block."""
-    in_article = any(inside and not part for _, _, part, inside in found)
+    in_article = any(inside and not part for _, _, part, inside, _ in found)
+    # Density that a block needs on this page: none where no long block has it, less where even the richest has little more.
+    letters_of = [len(text) - text.count(" ") for text, *_ in found]
+    long = (text for (text, linked, part, *_), n in zip(found, letters_of, strict=True) if not part and len(text) >= LONG and linked <= LINK_DENSITY * n)
+    richest = 0.0 if in_article else max(map(stop_density, long), default=0.0)
+    needed = min(STOP_DENSITY, richest / 2) if richest >= STOP_DENSITY else 0.0
     decided: list[bool | None] = []
-    for text, linked, part, inside in found:
-        letters = len(text) - text.count(" ")
+    for (text, linked, part, inside, preset), letters in zip(found, letters_of, strict=True):
         if part or (in_article and not inside) or linked > LINK_DENSITY * letters:
             decided.append(False)
         elif len(text) < SHORT:
             decided.append(None)
         elif in_article:
             decided.append(True)
-        elif stop_density(text) >= STOP_DENSITY:
+        elif preset or stop_density(text) >= needed or _other_script(text):
             decided.append(True if len(text) >= LONG else None)
         else:
             decided.append(False if len(text) < LONG else None)

@@ -52,6 +52,36 @@ def test_container_that_a_class_names_a_part(name):
     assert html_extract.main_text(page(html)) == want
 
 
+PROSE = {
+    "ru": "Река стояла высоко почти всю неделю, и никто в деревне не знал, когда можно будет перейти старый мост. ",
+    "pl": "Rzeka przez cały tydzień stała wysoko, dlatego nikt we wsi nie wiedział, kiedy będzie można przejść stary most. ",
+    "tr": "Nehir bütün hafta boyunca yüksek kaldı, köyde kimse eski köprüden karşıya ne zaman geçilebileceğini bilmiyordu. ",
+    "zh": "整整一个星期河水都很高村里没有人知道什么时候才能安全地走过那座古老的石桥回到对岸。",
+    "ja": "一週間ずっと川の水が高く、村の誰もいつ古い橋を渡って向こう岸へ帰れるのか分からなかった。",
+    "ar": "ظل النهر مرتفعا طوال الأسبوع ولم يعرف أحد في القرية متى يمكن عبور الجسر القديم إلى الضفة الأخرى بأمان. ",
+    "el": "Το ποτάμι ήταν ψηλά όλη την εβδομάδα και κανείς στο χωριό δεν ήξερε πότε θα περάσει την παλιά γέφυρα. ",
+}
+
+
+@pytest.mark.parametrize("language", PROSE)
+@pytest.mark.parametrize("english", [False, True])
+def test_page_without_article_in_other_languages(language, english):
+    text = (PROSE[language] * 6).strip()
+    if english and language in ("pl", "tr"):
+        pytest.skip("a page's languages in Latin script share its density")
+    lead = f"<p>{LONG_TEXT}</p>" if english else ""
+    menu = "<div><a href='/'>" + text + "</a></div>"
+    got = html_extract.main_text(page(f"{menu}{lead}<p>{text}</p><p>{text[:30].strip()}</p><p>{text}</p>{menu}"))
+    assert got == " ".join([LONG_TEXT] * english + [text, text[:30].strip(), text])
+
+
+def test_code_and_tables_among_english_prose():
+    code, cell = "x = frobnicate(y) ; " * 20, "alpha 12 beta 34 gamma 56 " * 12
+    keywords = "cheap flights hotels cars insurance loans " * 3
+    got = html_extract.main_text(page(f"<p>{LONG_TEXT}</p><pre>{code}</pre><table><tr><td>{cell}</td></tr></table><p>{LONG_TEXT}</p><div>{keywords}</div>"))
+    assert got == " ".join([LONG_TEXT, code.strip(), cell.strip(), LONG_TEXT])
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_page(name):
     html, want = CASES[name]
