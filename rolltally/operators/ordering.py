@@ -100,17 +100,17 @@ def numbered(
 def numbered_all(df: DataFrame, order: list[Column | str], block: Column, name: str) -> DataFrame:
     """Add the 0-based position in the whole table; ``block`` cuts its order into pieces of bounded size.
 
-    Only the list of block sizes meets in one task, the rows are numbered inside their blocks.
+    Only the list of block sizes meets in one task, the rows are numbered inside their blocks. Rows without a block come first.
     """
     tagged = df.withColumn(_BLOCK, block.cast("bigint"))
     earlier = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     sizes = tagged.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    carried = sizes.select(_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    carried = sizes.select(F.col(_BLOCK).alias("_same"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(_BLOCK).orderBy(*order)
     return (
-        tagged.join(carried, _BLOCK)
+        tagged.join(carried, F.col(_BLOCK).eqNullSafe(F.col("_same")))
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop(_BLOCK, "_before")
+        .drop(_BLOCK, "_same", "_before")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolltally.functions.answers import ground_truth_or_solution
 from rolltally.operators.ordering import numbered_all
+from rolltally.sources.staging import stage
 
 # Name -> split, problem field, answer field, id field. Without an answer field the
 # answer is the boxed one of "solution"; without an id field problems are numbered.
@@ -71,9 +72,12 @@ def map_benchmark(df: DataFrame, name: str) -> DataFrame:
     if ident and ident in df.columns:
         problem_id = F.col(ident)
     else:
-        # A set without ids is numbered in the order of its problems' texts; equal texts are told apart by their number only.
-        block = F.pmod(F.ascii(F.col(problem)), F.lit(1 << 21))
-        df = numbered_all(df, [F.col(problem)], block, "_number")
+        # A set without ids is numbered in the order of its problems' texts, nulls last; equal texts are told apart by their number only.
+        # Blocks are ranges of the texts between sampled quantiles; staged, since another run of the sampling could cut elsewhere.
+        order = [F.col(problem).asc_nulls_last(), F.col("_place")]
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+        df = numbered_all(stage(ranges.withColumn("_range", F.spark_partition_id()), "benchmark"), order, F.col("_range"), "_number")
         problem_id = F.col("_number")
     return df.select(
         F.lit(key).alias("dataset"), problem_id.cast("string").alias("problem_id"), F.col(problem).alias("problem"), truth.alias("ground_truth")

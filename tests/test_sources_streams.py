@@ -199,6 +199,20 @@ def test_benchmarks_without_ids_are_numbered(spark):
     assert sorted(r.problem_id for r in got) == ["0", "1", "2"] and {r.ground_truth for r in got if r.problem == "b"} == {"2"}
 
 
+def test_benchmark_without_ids_keeps_null_problems(spark):
+    """No row is lost, texts that begin alike or are equal go into many ranges, numbers follow the texts with nulls last."""
+    texts = [f"What is {i:04d}?" for i in range(900)] + ["What is it?"] * 600 + [None, None]
+    rows = spark.createDataFrame([(t, "so \\boxed{1}") for t in texts], "problem string, solution string").repartition(5)
+    got = sorted(problems.map_benchmark(rows, "math500").collect(), key=lambda r: int(r.problem_id))
+    assert [int(r.problem_id) for r in got] == list(range(len(texts)))
+    assert [r.problem for r in got] == texts
+
+
+def test_numbering_keeps_rows_without_a_block(spark):
+    df = spark.createDataFrame([(i, None if i < 2 else i // 2) for i in range(6)], "id int, block int")
+    assert sorted((r.id, r.n) for r in numbered_all(df, ["id"], F.col("block"), "n").collect()) == [(i, i) for i in range(6)]
+
+
 def test_fields_that_differ_in_case_only(spark):
     df = spark.createDataFrame([(1, "q", "5", "6")], "id long, question string, Answer string, other string").toDF("id", "question", "Answer", "answer")
     assert problems.normalize_fields(df, keep=["id"]).collect() == [(1, "q", "5")]
