@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolltally.llm import ann, embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, sharding, substring_dedup
+from rolltally.llm import (
+    ann, embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, role_repair, sharding, substring_dedup,
+)
 from rolltally.plans.session import configure
 
 
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": _table("documents", sharding.op8_shards),
     "op9_neighbours": _table("embeddings", ann.op9_neighbours),
     "op10_html": _table("pages", html_extract.op10_html),
+    "op13_conversations": _table("conversations", role_repair.op13_conversations),
 }
 
 ORACLES: dict[str, str] = {
