@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rolltally.llm import (
-    ann, embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, role_repair, sharding, substring_dedup,
+    ann, embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, periodic_runs, pii, role_repair, sharding, substring_dedup,
 )
 from rolltally.plans.session import configure
 
@@ -31,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": _table("documents", sharding.op8_shards),
     "op9_neighbours": _table("embeddings", ann.op9_neighbours),
     "op10_html": _table("pages", html_extract.op10_html),
+    "op11_pii": _table("documents", pii.op11_pii),
+    "op12_runs": _table("documents", periodic_runs.op12_runs),
     "op13_conversations": _table("conversations", role_repair.op13_conversations),
 }
 
