@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from rolltally.functions import terms
 
 # Markers in model output and the text shown when there is no answer.
 THINK_END = "</think>"
@@ -90,137 +94,46 @@ def normalize_answer_eval(answer: Column) -> Column:
     return strip(F.lower(F.translate(answer, "$ ", "")))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _cleaned(text: Column) -> Column:
-    """Notation without meaning taken away: sizes of brackets, text wrappers, degree signs, an ``x =`` in front, short fractions and roots."""
-    for pattern, to in (
-        (r"\\left(?![a-z])|\\right(?![a-z])|\\displaystyle", ""),
-        (r"\\(?:text|textbf|textit|mathrm|mathbf|operatorname)\{([^{}]*)\}", "$1"),
-        (r"\^\{?(?:\\circ|\\degree)\}?|\\degree|°", ""),
-        (r"\\%", "%"),
-        (r"\\[dtc]frac", r"\\frac"),
-        (r"\\frac(\d)(\d)", r"\\frac{$1}{$2}"),
-        (r"\\frac(\d)\{", r"\\frac{$1}{"),
-        (r"\\frac\{([^{}]*)\}(\d)", r"\\frac{$1}{$2}"),
-        (r"\\sqrt(\d)", r"\\sqrt{$1}"),
-        (r"\\(?:cdot|times)", "*"),
-        (r"^[a-zA-Z](?:_\{?\w+\}?)?=(?=[^=])", ""),
-        (r"(?<=[)}\w])\.\z", ""),
-    ):
-        text = F.regexp_replace(text, pattern, to)
-    return text
+#: Answers whose key needs no parsing: numbers of up to six decimals, and words of letters.
+_NUMERAL = r"^[+-]?\d{1,30}(?:\.\d{1,6})?\z"
+_LETTERS = r"^[A-Za-z]+\z"
 
 
-def bare_form(answer: Column) -> Column:
-    """Answer without white space, dollar signs, thin spaces, thousands separators and notation without meaning.
+def _keys(texts: pa.Array, evaluation: bool) -> pa.Array:
+    found = texts.dictionary_encode()
+    keys = [None if x is None else terms.answer_key(x, evaluation) for x in found.dictionary.to_pylist()]
+    return pa.array(keys, pa.string()).take(found.indices)
 
-    Commas separate thousands only where the whole answer is such a number without white space.
-    """
-    text = strip(F.regexp_replace(F.replace(answer, F.lit("{,}"), F.lit(",")), r"\\[!,;: ]|\$", ""))
-    thousands = r"^[+-]?\d{1,3}(?:,\d{3})++(?:\.\d+)?\z"
-
-    def tidy(bare: Column) -> Column:
-        return F.when(bare.rlike(r"[\\=°^]|[a-z)}]\.\z"), _cleaned(bare)).otherwise(bare)
 
-    joined = _let(text, lambda t: F.when(t.rlike(thousands), F.translate(t, ",", "")).otherwise(t))
-    full = _let(F.regexp_replace(joined, r"(?U)\s+", ""), tidy)
-    return F.when(answer.rlike(r"^[A-Za-z0-9+/:-]*(?:\.\d+)?\z"), answer).otherwise(full)  # most answers need none of it
+@F.arrow_udf(StringType())
+def term_keys(texts: pa.Array) -> pa.Array:
+    """Keys of the distinct texts of a batch, from their normal form."""
+    return _keys(texts, False)
 
 
-_PLAIN = r"^[+-]?(?:\d+\.?\d*|\.\d+)\z"
-_SIGNED = rf"[+-]?{_NUMBER}"
+@F.arrow_udf(StringType())
+def term_keys_eval(texts: pa.Array) -> pa.Array:
+    return _keys(texts, True)
 
 
-def numeric_value(bare: Column) -> Column:
-    """Value of a bare integer, decimal, fraction, ratio, mixed number, power or ``a * 10^b`` as ``decimal(38,6)``, else null.
+def answer_key(answer: Column, parsed: Callable[[Column], Column] = term_keys) -> Column:
+    """Canonical key: two answers are equivalent exactly when their keys are equal.
 
-    Six decimals are the precision at which two numbers count as equal. Parts of a quotient are divided as they are, not rounded before.
-    Division by zero and everything that isn't a number give null rather than an error.
+    Numbers compare by value (``n:``), sums of products by their normal form (``e:``), tuples, intervals, sets and lists element by element (``l:``), all
+    else by its normalised text (``t:``). Null for a missing or empty answer, which therefore never matches. Numerals and words are keyed with built-in
+    functions; only what is neither is handed on to be parsed, once per distinct text of a batch. General algebra is not attempted.
     """
-    quotient = F.regexp_replace(bare, rf"^({_SIGNED})[:/]({_SIGNED})\z", r"+;0;$1;$2")
-    quotient = F.regexp_replace(quotient, rf"^([+-]?)(\d*)\\frac\{{({_SIGNED})\}}\{{({_SIGNED})\}}\z", r"$1;0$2;$3;$4")
-
-    def divided(parts: Column) -> Column:
-        part = lambda i, kind: F.get(parts, F.lit(i)).try_cast(kind)
-        short = F.greatest(F.length(F.get(parts, F.lit(2))), F.length(F.get(parts, F.lit(3)))) <= 15
-        value = F.when(short, F.try_divide(part(2, "double"), part(3, "double")).try_cast("decimal(38,6)")).otherwise(
-            F.try_divide(part(2, "decimal(28,6)"), part(3, "decimal(28,6)")).try_cast("decimal(38,6)")
-        )
-        value = (part(1, "decimal(28,0)") + value).try_cast("decimal(38,6)")
-        return (value * F.when(F.get(parts, F.lit(0)) == "-", -1).otherwise(1)).try_cast("decimal(38,6)")
-
-    power = rf"^([+-]?)(?:({_NUMBER})\*)?({_NUMBER})\^(?:\{{([+-]?\d+)\}}|(\d+))\z"
-    group = lambda i: F.regexp_extract(bare, power, i)
-    exponent = F.concat(group(4), group(5)).try_cast("int")
-    factor = F.coalesce(F.nullif(group(2), F.lit("")).try_cast("double"), F.lit(1.0)) * F.when(group(1) == "-", -1).otherwise(1)
-    raised = (factor * F.pow(group(3).try_cast("double"), exponent)).try_cast("decimal(38,6)")
+    numeral, word = answer.rlike(_NUMERAL), answer.rlike(_LETTERS)
     return (
-        F.when(bare.rlike(_PLAIN), bare.try_cast("decimal(38,6)"))
-        .when(bare.contains("^"), F.when(bare.rlike(power) & (F.abs(exponent) <= 400), raised))
-        .when(bare.rlike(r"[:/\\]"), _let(F.split(quotient, ";"), divided))
+        F.when(numeral, F.concat(F.lit("n:"), answer.try_cast("decimal(38,6)").cast("string")))
+        .when(word, F.concat(F.lit("t:"), F.lower(answer)))
+        .otherwise(parsed(F.when(~(numeral | word), answer)))
     )
 
 
-def _without_factor(bare: Column, factor: str) -> Column:
-    """What multiplies ``factor``: the text with it taken out, or with a 1 in its place where nothing else stands."""
-    return F.regexp_replace(F.regexp_replace(bare, rf"(?<=[\d}}])\*?{factor}", ""), factor, "1")
-
-
-def _scalar(bare: Column, text: Column) -> Column:
-    """Key of an answer that is no list."""
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"^\+|(?<=^-|^)0+(?=\d)", ""), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
-    number = _let(numeric_value(bare), lambda n: F.coalesce(n.cast("string"), F.when(bare.rlike(_PLAIN), digits)))
-    under, pi = r"\\sqrt\{(\d{1,9})\}", r"(?:\\pi(?![a-z])|π)"
-
-    def surd(f: Column) -> Column:
-        square = (f * f * F.regexp_extract(bare, under, 1).try_cast("double")).try_cast("decimal(38,6)")
-        root = F.sqrt(square.cast("double"))
-        sign = F.when((f < 0) & (square > 0), "-").otherwise("")
-        exact = F.concat(F.lit("n:"), sign, root.try_cast("decimal(38,6)").cast("string"))
-        return F.when(root == F.floor(root), exact).otherwise(F.concat(F.lit("s:"), sign, square.cast("string")))
-
-    once = lambda what: F.size(F.split(bare, what)) == 2
-    special = F.when(bare.rlike(under) & once(r"\\sqrt"), _let(numeric_value(_without_factor(bare, under)).cast("double"), surd)).when(
-        once(pi), F.concat(F.lit("p:"), numeric_value(_without_factor(bare, pi)).cast("string"))
-    )
-    return F.coalesce(F.concat(F.lit("n:"), number), F.when(bare.rlike(r"\\|π"), special), F.concat(F.lit("t:"), F.nullif(text, F.lit(""))))
-
-
-def key_of(answer: Column, bare: Column, text_form=normalize_answer) -> Column:
-    """Key from an answer and its bare form, for callers that hold the latter as a column of its own."""
-    marked = answer.rlike(r"[\\=°$]")
-    text = text_form(F.when(marked, _cleaned(answer)).otherwise(answer))
-    listed = r"^(\(|\[|\\?\{|)([^()\[\]]*,[^()\[\]]*?)(\)|\]|\\?\}|)\z"
-    opened = F.replace(F.regexp_extract(bare, listed, 1), F.lit("\\"), F.lit(""))
-    closed = F.replace(F.regexp_extract(bare, listed, 3), F.lit("\\"), F.lit(""))
-    items = F.transform(F.split(F.regexp_extract(bare, listed, 2), ","), lambda x: F.coalesce(_scalar(x, F.lower(x)), F.lit("t:")))
-    items = F.when(opened == "{", F.array_sort(F.array_distinct(items))).otherwise(items)
-    several = F.concat(F.lit("l:"), opened, F.array_join(items, ","), closed)
-    plain = F.concat(F.lit("n:"), bare.try_cast("decimal(38,6)").cast("string"))
-    return (
-        F.when(bare.rlike(r"^[+-]?\d{1,30}(?:\.\d{1,6})?\z"), plain)  # most numbers, without the rest
-        .when(bare.contains(",") & bare.rlike(listed), several)
-        .otherwise(_scalar(bare, text))
-    )
-
-
-def answer_key(answer: Column, text_form=normalize_answer) -> Column:
-    """Canonical key: two answers are equivalent exactly when their keys are equal.
-
-    Numbers compare by value (``n:``), a multiple of one square root by its square (``s:``), multiples of pi by the factor (``p:``), tuples,
-    intervals, sets and lists element by element (``l:``), all else by its normalised text (``t:``). Null for a missing
-    or empty answer, which therefore never matches. General algebra is not attempted.
-    """
-    return _let(bare_form(answer), lambda bare: key_of(answer, bare, text_form))
-
-
 def answer_key_eval(answer: Column) -> Column:
     """Key with the evaluation's text form."""
-    return answer_key(answer, normalize_answer_eval)
+    return answer_key(answer, term_keys_eval)
 
 
 def ground_truth_or_solution(solution: Column) -> Column:

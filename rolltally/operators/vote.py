@@ -16,34 +16,39 @@ PROMPT = ["prompt_id"]
 
 
 def with_answers(rollouts: DataFrame, text: str = "completion", rule: str = "first") -> DataFrame:
-    """Replace the text column by ``answer`` and ``answer_key``.
+    """Replace the text column by ``answer`` and ``answer_key``."""
+    key = A.answer_key if rule == "first" else A.answer_key_eval
+    return with_texts(rollouts, text, rule).withColumn("answer_key", key(F.col("answer")))
+
+
+def with_texts(rollouts: DataFrame, text: str = "completion", rule: str = "first") -> DataFrame:
+    """Replace the text column by ``answer``, not keyed yet.
 
     ``rule``: ``first`` box after the thinking (voting) or ``last`` box anywhere (evaluation). Each step is its
     own projection so that no long text expression is evaluated twice.
     """
     body = A.after_first_box if rule == "first" else A.after_last_box
-    text_form = A.normalize_answer if rule == "first" else A.normalize_answer_eval
     return (
         rollouts.withColumn("_body", body(F.col(text)))
         .withColumn("answer", A.strip(A.brace_content(F.col("_body"))))
-        .withColumn("_bare", A.bare_form(F.col("answer")))
-        .withColumn("answer_key", A.key_of(F.col("answer"), F.col("_bare"), text_form))
-        .drop("_body", "_bare", text)
+        .drop("_body", text)
     )
 
 
-def with_repairs(answers: DataFrame, continuation: str = "continuation", text_form=A.normalize_answer) -> DataFrame:
+def with_repairs(answers: DataFrame, continuation: str = "continuation", key=A.answer_key) -> DataFrame:
     """Fold forced continuations into answers before anything votes on them.
 
-    ``answer`` becomes the forced one where extraction found nothing, ``answer_key`` is made anew for these rows, ``extracted`` and
-    ``recovered`` say where an answer came from; the continuation is dropped.
+    ``answer`` becomes the forced one where extraction found nothing, ``extracted`` and ``recovered`` say where an answer came from; the continuation is
+    dropped. Where answers are keyed already, ``answer_key`` is made anew for recovered rows; else keys come after.
     """
     found = A.has_answer(F.col("answer"))
     merged = answers.withColumn("extracted", found).withColumn("answer", merge_repair(F.col("answer"), F.col(continuation)))
     recovered = ~F.col("extracted") & A.has_answer(F.col("answer"))
-    merged = merged.withColumn("recovered", recovered).withColumn("_bare", F.when(F.col("recovered"), A.bare_form(F.col("answer"))))
-    key = F.when(F.col("recovered"), A.key_of(F.col("answer"), F.col("_bare"), text_form)).otherwise(F.col("answer_key"))
-    return merged.withColumn("answer_key", key).drop("_bare", continuation)
+    merged = merged.withColumn("recovered", recovered).drop(continuation)
+    if "answer_key" not in answers.columns:
+        return merged
+    again = key(F.when(F.col("recovered"), F.col("answer")))
+    return merged.withColumn("answer_key", F.when(F.col("recovered"), again).otherwise(F.col("answer_key")))
 
 
 def repair_rates(answers: DataFrame) -> DataFrame:
@@ -61,14 +66,17 @@ def majority_vote(answers: DataFrame, prompt: list[str] = PROMPT, idx: str = "ro
     """One row per prompt: ``pseudo_label, label_key, consensus_count, n_rollouts``.
 
     The biggest group of equivalent answers wins; ties go to the shorter representative (its first member's
-    text), then to the group seen first. Null label and 0 votes without a single answer. Two combinable
-    aggregates, the second on one row per answer group, so a hot prompt is reduced inside the map tasks.
+    text), then to the group seen first. Null label and 0 votes without a single answer. Combinable aggregates, the
+    last on one row per answer group, so a hot prompt is reduced inside the map tasks. Answers without
+    keys are counted by their text first, and only the distinct texts of a prompt are keyed.
     """
-    clusters = (
-        answers.groupBy(*prompt, "answer_key")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min_by("answer", idx).alias("_rep"), F.min(idx).alias("_first"))
-        .withColumn("_size", F.length(A.strip(F.col("_rep"))))
-    )
+    if "answer_key" in answers.columns:
+        groups = answers.groupBy(*prompt, "answer_key").agg(F.count(F.lit(1)).alias("_n"), F.min_by("answer", idx).alias("_rep"), F.min(idx).alias("_first"))
+    else:
+        texts = answers.groupBy(*prompt, "answer").agg(F.count(F.lit(1)).alias("_n"), F.min(idx).alias("_first"))
+        keyed = texts.withColumn("answer_key", A.answer_key(F.col("answer")))
+        groups = keyed.groupBy(*prompt, "answer_key").agg(F.sum("_n").alias("_n"), F.min_by("answer", "_first").alias("_rep"), F.min("_first").alias("_first"))
+    clusters = groups.withColumn("_size", F.length(A.strip(F.col("_rep"))))
     # One ordered struct: "_first" is unique, so what follows it never decides.
     rank = F.when(
         F.col("answer_key").isNotNull(), F.struct((-F.col("_n")).alias("_lost"), "_size", "_first", "_rep", "answer_key")

@@ -825,33 +825,57 @@ def build_training_set(spark, d):
 # --- streaming
 
 
+#: How long after its event time a step's metric still counts.
+DELAY = "2 days"
+
+
+def metric_log(events: DataFrame) -> DataFrame:
+    """Events as a metric log with arrival times: most come hours later, every fiftieth after three days."""
+    hours = F.when(F.col("event_id") % 50 == 0, 72).otherwise(F.col("event_id") % 7)
+    ts = F.col("ts").cast("timestamp")
+    return events.select(ts.alias("ts"), (ts + F.make_dt_interval(hours=hours.cast("int"))).alias("arrived"), F.col("event_type").alias("name"), views.cents())
+
+
 @query
 def stream_metric_window(spark, d):
-    schema = views.table(spark, d, "events").schema
-    log = jobs.read_stream(spark, d, schema, "events.parquet")
-    log = log.select("ts", F.col("event_type").alias("name"), views.cents())
-    windows = jobs.metric_windows(jobs.drain_partials(log, lambda b: jobs.metric_partials(b, "1 day"), "metric-windows"))
-    return windows.select(
-        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "name", "mean_value", "n_values"
-    )
+    """Windows closed by the watermark, and those still open at the end."""
+    log = metric_log(jobs.read_stream(spark, d, views.table(spark, d, "events").schema, "events.parquet"))
+    closed, state = jobs.drained(jobs.metric_windows(log, "1 day", DELAY), "metric-windows")
+    parts = [(closed, True), (jobs.open_windows(spark, state), False)]
+    both = [jobs.window_means(w).withColumn("closed", F.lit(done)) for w, done in parts]
+    return both[0].unionByName(both[1]).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "name", "mean_value", "n_values", "closed")
+
+
+@query
+def stream_late_metrics(spark, d):
+    """What came too late for its window."""
+    log = metric_log(jobs.read_stream(spark, d, views.table(spark, d, "events").schema, "events.parquet"))
+    late = jobs.drain(jobs.late_rows(log, DELAY), "late-metrics")
+    return late.groupBy("name").agg(F.count(F.lit(1)).alias("n_late"), F.sum("value").alias("sum_value"))
+
+
+def expected_rollouts(spark: SparkSession, d: str) -> DataFrame:
+    """How many rollouts were asked for, per prompt."""
+    return views.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("prompt_id")).agg(F.count(F.lit(1)).alias("expected"))
 
 
 @query
 def stream_vote(spark, d):
+    """Votes as prompts get complete."""
     items = jobs.read_stream(spark, d, views.table(spark, d, "lineitem").schema, "lineitem.parquet")
     # A file with one row group would be read, and its texts searched, in one task.
     spread = items.select(*views.ITEM).repartition(spark.sparkContext.defaultParallelism)
     rows = vote.with_repairs(vote.with_answers(views.rollouts_of(spread, views.ORDER)))
-    partials = jobs.drain_partials(rows, lambda b: jobs.vote_partials(b, views.ORDER), "stream-vote")
-    return jobs.vote(partials).select("prompt_id", "pseudo_label", "consensus_count", "n_rollouts")
+    rows = rows.join(expected_rollouts(spark, d), "prompt_id")
+    return jobs.drain(jobs.vote_on_arrival(rows, views.ORDER), "stream-vote").drop("complete")
 
 
 @query
 def stream_dedup(spark, d):
-    """Ship dates say nothing about arrival, so no watermark fits: each micro-batch appends its distinct keys, and reading merges them."""
+    """Line items by ship date as time of arrival; the delay is longer than all dates are apart."""
     items = jobs.read_stream(spark, d, views.table(spark, d, "lineitem").schema, "lineitem.parquet")
-    rows = items.select(F.col("l_partkey").alias("prompt_id"), F.col("l_linenumber").alias("rollout_idx"))
-    return jobs.drain_partials(rows, lambda b: b.distinct(), "stream-dedup").distinct()
+    rows = items.select(F.col("l_partkey").alias("prompt_id"), F.col("l_linenumber").alias("rollout_idx"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return jobs.drain(jobs.dedup(rows, ["prompt_id", "rollout_idx"], "20000 days"), "stream-dedup").drop("ts")
 
 
 @query

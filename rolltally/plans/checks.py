@@ -70,7 +70,11 @@ part(
     "ro",
     """SELECT base.*, problem, ground_truth,
   CASE v WHEN 6 THEN 'work so' ELSE 'work ' || chr(92) || 'boxed{' || (a + 1) || '} so</think> ans ' || chr(92) || 'boxed{' ||
-    CASE WHEN v IN (0, 1, 2) THEN CASE WHEN a = 5 AND v = 1 THEN 'x+1' WHEN a = 5 AND v = 2 THEN 'X + 1' ELSE CAST(a AS VARCHAR) END || '} done'
+    CASE WHEN v IN (0, 1, 2) THEN CASE WHEN a = 5 AND v = 1 THEN 'x+1' WHEN a = 5 AND v = 2 THEN 'X + 1'
+        WHEN a = 4 AND v = 1 THEN '1+' || chr(92) || 'sqrt{2}' WHEN a = 4 AND v = 2 THEN chr(92) || 'sqrt{2} + 1'
+        WHEN a = 3 AND v = 1 THEN chr(92) || 'frac{x}{2}' WHEN a = 3 AND v = 2 THEN '0.5x'
+        WHEN a = 2 AND v = 1 THEN chr(92) || 'pi^2' WHEN a = 2 AND v = 2 THEN chr(92) || 'frac{1}{' || chr(92) || 'pi}'
+        ELSE CAST(a AS VARCHAR) END || '} done'
       WHEN v = 3 THEN ' ' || a || '.0 } done'
       WHEN v = 4 THEN chr(92) || 'frac{' || (2 * a) || '}{2}} done'
       WHEN v = 5 THEN (2 * a) || ':2} done'
@@ -87,9 +91,12 @@ def keyed(source: str, answer: str) -> str:
     """Answers with the equivalence key of the notations the views contain."""
     number = f"""CASE WHEN regexp_full_match({answer}, '\\d+(\\.\\d+)?') THEN try_cast({answer} AS DOUBLE)
     WHEN regexp_full_match({answer}, '\\d+:\\d+') THEN try_cast(split_part({answer}, ':', 1) AS DOUBLE) / try_cast(split_part({answer}, ':', 2) AS DOUBLE)
-    WHEN {answer} LIKE '%frac{{%' THEN try_cast(regexp_extract({answer}, 'frac\\{{(\\d+)\\}}\\{{(\\d+)\\}}', 1) AS DOUBLE)
+    WHEN regexp_matches({answer}, 'frac\\{{\\d') AND NOT contains({answer}, 'pi') THEN try_cast(regexp_extract({answer}, 'frac\\{{(\\d+)\\}}\\{{(\\d+)\\}}', 1) AS DOUBLE)
       / try_cast(regexp_extract({answer}, 'frac\\{{(\\d+)\\}}\\{{(\\d+)\\}}', 2) AS DOUBLE) END"""
     return f"""SELECT * EXCLUDE (number), CASE WHEN {answer} IS NULL OR {answer} = '' THEN NULL
+    WHEN replace(lower({answer}), ' ', '') = 'x+1' THEN 'e:1+1*x'
+    WHEN contains({answer}, 'sqrt{{2}}') THEN 'e:1+1*√2' WHEN {answer} = '0.5x' OR contains({answer}, 'frac{{x}}') THEN 'e:1/2*x'
+    WHEN contains({answer}, 'pi^2') THEN 'e:1*pi^2' WHEN contains({answer}, 'pi}}') THEN 'e:1*pi^-1'
     WHEN number IS NOT NULL THEN 'n:' || CAST(CAST(number AS DECIMAL(18, 6)) AS VARCHAR)
     ELSE 't:' || lower(replace({answer}, ' ', '')) END AS answer_key FROM (SELECT *, {number} AS number FROM ({source}))"""
 
@@ -817,7 +824,13 @@ check(
 
 check(
     "stream_metric_window",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS name, round(avg(round(value * 100)), 6) AS mean_value, count(*) AS n_values FROM events GROUP BY ALL""",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS name, round(avg(round(value * 100)), 6) AS mean_value, count(*) AS n_values,
+  date_trunc('day', ts) + INTERVAL 3 DAY <= (SELECT max(ts) FROM events WHERE event_id % 50 <> 0) AS closed
+  FROM events WHERE event_id % 50 <> 0 GROUP BY date_trunc('day', ts), event_type""",
+)
+check(
+    "stream_late_metrics",
+    "SELECT event_type AS name, count(*) AS n_late, sum(round(value * 100)) AS sum_value FROM events WHERE event_id % 50 = 0 GROUP BY 1",
 )
 check(
     "stream_vote",

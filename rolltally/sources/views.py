@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolltally.config import LossParams
+from rolltally.functions.answers import answer_key
 from rolltally.operators import tokens as T
 from rolltally.operators.evaluation import grade
 from rolltally.operators.ordering import numbered
-from rolltally.operators.vote import with_answers, with_repairs
+from rolltally.operators.vote import with_answers, with_repairs, with_texts
 from rolltally.sources.staging import staged
 
 B = "\\boxed{"
@@ -37,8 +38,20 @@ ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 ITEM = [*ORDER, "l_partkey", "l_quantity", "l_discount", "l_tax"]
 
 
+#: Answers that are no numbers, by ``a``: two ways of writing one term, but two terms for 2.
+TERMS = {5: ("x+1", "X + 1"), 4: (r"1+\sqrt{2}", r"\sqrt{2} + 1"), 3: (r"\frac{x}{2}", "0.5x"), 2: (r"\pi^2", r"\frac{1}{\pi}")}
+
+
+def written(n: Column, pre: Column, plain: Column) -> Column:
+    out = plain
+    for a, forms in TERMS.items():
+        form = F.when(n == 1, F.lit(forms[0])).otherwise(F.lit(forms[1]))
+        out = F.when(F.col("a") == a, F.concat(pre, form, F.lit("} done"))).otherwise(out)
+    return out
+
+
 def rollouts_of(items: DataFrame, keep: list[str]) -> DataFrame:
-    """Completions with seven notations of an answer, a decoy before the end of thinking, two ways of missing."""
+    """Completions with seven notations of an answer, terms written in two ways each, a decoy before the end of thinking, two ways of missing."""
     a = F.floor("l_quantity") % 5 + F.col("l_suppkey") % 2
     v = (F.col("l_suppkey") * 3 + F.col("l_linenumber") + F.col("l_orderkey")) % 10
     text = lambda c: c.cast("string")
@@ -47,8 +60,7 @@ def rollouts_of(items: DataFrame, keep: list[str]) -> DataFrame:
     n, double_a = F.col("v"), text(F.col("a") * 2)
     completion = (
         F.when(n == 0, plain)
-        .when(n == 1, F.when(F.col("a") == 5, F.concat(pre, F.lit("x+1} done"))).otherwise(plain))
-        .when(n == 2, F.when(F.col("a") == 5, F.concat(pre, F.lit("X + 1} done"))).otherwise(plain))
+        .when(n.isin(1, 2), written(n, pre, plain))
         .when(n == 3, F.concat(pre, F.lit(" "), text(F.col("a")), F.lit(".0 } done")))
         .when(n == 4, F.concat(pre, F.lit("\\frac{"), double_a, F.lit("}{2}} done")))
         .when(n == 5, F.concat(pre, double_a, F.lit(":2} done")))
@@ -102,7 +114,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         rows = rollouts(spark, sf_dir).withColumn("logp_score", T.trajectory_logp(F.col("logprobs")))
-        return with_repairs(with_answers(rows)).select(*ANSWER_COLUMNS)
+        repaired = with_repairs(with_texts(rows))
+        return repaired.withColumn("answer_key", answer_key(F.col("answer"))).select(*ANSWER_COLUMNS)
 
     return staged(spark, sf_dir, "answers", build)
 

@@ -165,15 +165,89 @@ def test_stream_dedup_over_batches(spark):
     assert sorted((r.prompt_id, r.rollout_idx) for r in got.collect()) == [(1, 0), (1, 1)]
 
 
-def test_stream_metrics_equal_batch(spark):
-    schema = "name string, value double, ts timestamp"
-    rows = [(n, float(m % 7), minute(m)) for m in range(0, 300, 3) for n in ("a", "b")]
-    path = write_batches(spark, "mw-in", [rows[80:], rows[:80]], schema)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    windows = jobs.metric_windows(jobs.drain_partials(stream, lambda b: jobs.metric_partials(b, "1 hour"), "mw"))
-    got = {(r.window.start, r.name): (r.mean_value, r.n_values) for r in windows.collect()}
-    batch = spark.read.schema(schema).parquet(path).groupBy(F.window("ts", "1 hour"), "name").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    assert got == {(r.window.start, r.name): (r.m, r.n) for r in batch.collect()} and len(got) == 10
+def metric_rows(n=300):
+    """(name, value, ts, arrived) in order of arrival: most come within the hour, some two hours later, some after a day."""
+    rows = [(name, float(m % 7), minute(m), minute(m + {0: 1500, 1: 100}.get(m % 11, m % 13))) for m in range(0, n, 3) for name in ("a", "b")]
+    return sorted(rows, key=lambda r: r[3])
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 5, 25])
+def test_metric_windows_with_disorder_inside_and_outside_the_delay(spark, cuts):
+    schema = "name string, value double, ts timestamp, arrived timestamp"
+    rows = metric_rows()
+    size = -(-len(rows) // cuts)
+    path = write_batches(spark, "mw-in", [rows[i : i + size] for i in range(0, len(rows), size)], schema)
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    closed, state = jobs.drained(jobs.metric_windows(read(), "1 hour", "2 hours"), "mw")
+    still = jobs.open_windows(spark, state)
+    late = jobs.drain(jobs.late_rows(read(), "2 hours"), "mw-late")
+    on_time = [r for r in rows if r[3] - r[2] <= dt.timedelta(hours=2)]
+    assert 0 < len(on_time) < len(rows)
+    assert sorted(map(tuple, late.collect())) == sorted(r for r in rows if r not in on_time)
+    want = {}
+    for name, value, ts, _ in on_time:
+        want.setdefault((ts.replace(minute=0), name), []).append(value)
+    latest = max(r[2] for r in on_time)
+    ends = lambda start: start + dt.timedelta(hours=3) <= latest
+    means = lambda df: {(r.window.start, r.name): (r.mean_value, r.n_values) for r in jobs.window_means(df).collect()}
+    mean = lambda v: (sum(v) / len(v), len(v))
+    assert means(closed) == {k: mean(v) for k, v in want.items() if ends(k[0])} and means(closed)
+    assert means(still) == {k: mean(v) for k, v in want.items() if not ends(k[0])} and means(still)
+
+
+def states(query):
+    return [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+
+
+def run_memory(stream, name):
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [tuple(r) for r in stream.sparkSession.table(name).collect()], states(query)
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_votes_are_emitted_once_and_forgotten(spark, sf_dir, files):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*views.ITEM)
+    path = new_path(spark, "arrive-in")
+    items.repartition(files, "l_orderkey").write.option("maxRecordsPerFile", 10_000).parquet(path)
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = lambda df: vote.with_answers(views.rollouts_of(df, views.ORDER))
+    asked = items.groupBy(F.col("l_partkey").alias("prompt_id")).agg(F.count("*").alias("expected"))
+    got, kept = run_memory(jobs.vote_on_arrival(rows(stream).join(asked, "prompt_id"), views.ORDER), f"votes_{files}")
+    want = jobs.vote(jobs.vote_partials(rows(items), views.ORDER)).collect()
+    assert sorted((p, label, n, m) for p, label, n, m, _ in got) == sorted(map(tuple, want)) and all(r[-1] for r in got)
+    assert kept[-1] == 0 and (files == 1 or max(kept) > 0)
+
+
+def test_votes_when_the_time_is_up(spark):
+    """Prompt 1 gets complete, 2 never does, 3 gets a straggler after its time; 9 moves the watermark."""
+    schema = "prompt_id long, rollout_idx long, answer string, ts timestamp, expected long"
+    batches = [
+        [(1, 0, "2", minute(0), 3), (1, 1, "1+1", minute(1), 3), (2, 0, "x+1", minute(0), 4), (3, 0, None, minute(0), 2)],
+        [(2, 1, "1+x", minute(5), 4), (1, 2, "4", minute(6), 3)],
+        [(9, 0, "0", minute(60), 9)],
+        [(1, 3, "4", minute(61), 3)],
+        [(9, 1, "0", minute(300), 9)],
+        [(9, 2, "0", minute(301), 9)],
+    ]
+    path = write_batches(spark, "up-in", batches, schema)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("answer_key", answer_key(F.col("answer")))
+    got, kept = run_memory(jobs.vote_on_arrival(rows, ["rollout_idx"], "10 minutes"), "votes_up")
+    assert sorted(r for r in got if r[0] < 9) == [(1, "2", 2, 3, True), (2, "x+1", 2, 2, False), (3, None, 0, 1, False)]
+    assert kept[-1] <= 1  # only prompt 9 may be open
+
+
+def test_rows_of_a_prompt_are_combined_before_the_exchange(spark):
+    n = 30_000
+    path = new_path(spark, "hot-in")
+    spark.range(n).select(F.lit(1).alias("prompt_id"), F.col("id").alias("rollout_idx"), F.lit("2").alias("answer"), F.lit("n:2.000000").alias("answer_key"), F.lit(n).alias("expected")).coalesce(3).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    query = jobs.vote_on_arrival(stream, ["rollout_idx"]).writeStream.format("memory").queryName("hot").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("hot").collect()] == [(1, "2", n, n, True)]
+    assert max(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) <= 1
+    plan = query._jsq.explainInternal(False) if hasattr(query._jsq, "explainInternal") else ""
+    assert not plan or plan.index("MapInArrow") > plan.index("FlatMapGroupsInPandasWithState")
 
 
 def test_views_do_not_depend_on_hot_groups(spark, sf_dir):
