@@ -35,6 +35,8 @@ TABLES, BUCKET, FIRST = 3, 256, 20
 BLOCK, LEAST_BLOCK, BLOCKS_PER_CORE = 2048, 128, 4
 LOT = 128
 BEAM = 128
+#: Open nodes that a query expands at a time.
+STEP = 24
 QUERY_BLOCK = 64
 
 _LINK = "u long, w long, d float"
@@ -76,12 +78,18 @@ def _within(table: pa.Table, size: int) -> pa.Table:
     return _links(np.repeat(ids, most), ids[near].reshape(-1), np.take_along_axis(d, near, axis=1).reshape(-1), most)
 
 
-def _joined(table: pa.Table, size: int, degree: int) -> pa.Table:
+def _two_tables(work):
+    """The two-argument function that a cogroup asks for."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return work(left, right)
+
+    return both
+
+
+def _joined(members: pa.Table, vectors: pa.Table, size: int, degree: int) -> pa.Table:
     """One block: memberships (center, lot, member, fresh, split) and the vectors of all members with their worst kept distance."""
-    is_vector = _plain(table, "is_vector").astype(bool)
-    members = table.filter(pa.array(~is_vector))
-    vectors = table.filter(pa.array(is_vector))
-    ids = _plain(vectors, "member")
+    ids = _plain(vectors, "id")
     by_id = np.argsort(ids)
     ids = ids[by_id]
     x = matrix(vectors.column("vector"), size).astype(np.float32)[by_id]
@@ -118,11 +126,9 @@ def _joined(table: pa.Table, size: int, degree: int) -> pa.Table:
     return _links(ids[u], ids[w], d, degree)
 
 
-def _measured(table: pa.Table, size: int) -> pa.Table:
-    """One block of queries: pairs (query, node), and the vectors of all queries and nodes in them."""
-    is_vector = _plain(table, "is_vector").astype(bool)
-    pairs, vectors = table.filter(pa.array(~is_vector)), table.filter(pa.array(is_vector))
-    ids = _plain(vectors, "node")
+def _measured(pairs: pa.Table, vectors: pa.Table, size: int) -> pa.Table:
+    """One block: pairs (query, node), and the vectors of all queries and nodes in them."""
+    ids = _plain(vectors, "id")
     by_id = np.argsort(ids)
     x = matrix(vectors.column("vector"), size).astype(np.float32)[by_id]
     query, node = _plain(pairs, "query"), _plain(pairs, "node")
@@ -131,7 +137,8 @@ def _measured(table: pa.Table, size: int) -> pa.Table:
     for i in range(0, len(a), 65_536):
         j = slice(i, i + 65_536)
         d[j] = ((x[a[j]] - x[b[j]]) ** 2).sum(axis=1)
-    return pa.table({"u": query, "w": node, "d": d})
+    nearer = d < _plain(pairs, "worst")
+    return pa.table({"u": query[nearer], "w": node[nearer], "d": d[nearer]})
 
 
 def _best(links: DataFrame, most: int) -> DataFrame:
@@ -166,13 +173,9 @@ def graph(points: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUN
         lots = F.when(F.col("back"), F.array(F.pmod(F.xxhash64("member", F.lit(turn)), F.col("lots")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("lots") - 1))
         centers = nodes.where("active").select(F.col("id").alias("center"), "block", "lots")
         members = store(both.join(centers, "center").select("block", "center", "member", "fresh", (F.col("lots") > 1).alias("split"), F.explode(lots).alias("lot")), "ann-members")
-        wanted = members.select("block", "member").distinct().join(nodes.select(F.col("id").alias("member"), "vector", "worst"), "member")
-        empty = F.lit(None)
-        rows = members.select("block", F.lit(False).alias("is_vector"), "center", "lot", "member", "fresh", "split", empty.cast("array<float>").alias("vector"), empty.cast("float").alias("worst"))
-        rows = rows.unionByName(
-            wanted.select("block", F.lit(True).alias("is_vector"), F.lit(-1).cast("long").alias("center"), F.lit(-1).alias("lot"), "member", F.lit(False).alias("fresh"), F.lit(False).alias("split"), "vector", "worst")
-        )
-        found = rows.groupBy("block").applyInArrow(lambda t: _joined(t, size, degree), _LINK)
+        wanted = members.select(F.col("block").alias("at"), F.col("member").alias("id")).distinct().join(nodes.select("id", "vector", "worst"), "id")
+        compare = partial(_joined, size=size, degree=degree)
+        found = members.groupBy("block").cogroup(wanted.select("at", "id", "vector", "worst").groupBy("at")).applyInArrow(_two_tables(compare), _LINK)
         old = links.select("u", "w", "d", F.lit(False).alias("fresh"))
         links = store(_best(old.unionByName(found.withColumn("fresh", F.lit(True))), degree), "ann-links")
         share = links.agg(F.avg(F.col("fresh").cast("int"))).first()[0]
@@ -190,33 +193,43 @@ def _coded(batches, size: int, bits: list[int]):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(codes.astype(np.int64))], names=["id", "vector", "codes"])
 
 
-def _distances(pairs: DataFrame, points: DataFrame, size: int, blocks: int) -> DataFrame:
-    """``query, node`` -> ``u, w, d``; queries are dealt into blocks that get every vector they need once."""
-    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    needed = dealt.select("block", "node").union(dealt.select("block", "query")).distinct()
-    vectors = needed.join(points.select(F.col("id").alias("node"), "vector"), "node")
-    rows = dealt.select("block", F.lit(False).alias("is_vector"), "query", "node", F.lit(None).cast("array<float>").alias("vector")).unionByName(
-        vectors.select("block", F.lit(True).alias("is_vector"), F.lit(-1).cast("long").alias("query"), "node", "vector")
-    )
-    return rows.groupBy("block").applyInArrow(lambda t: _measured(t, size), _LINK)
+def _distances(pairs: DataFrame, points: DataFrame, size: int, blocks: int, parts: int) -> DataFrame:
+    """``query, node, worst`` -> ``u, w, d`` of those nearer than ``worst``. Pairs are dealt by query and by node into blocks that get every vector they need once."""
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks)) * parts + F.pmod(F.xxhash64("node", F.lit("part")), F.lit(parts))
+    dealt = pairs.withColumn("block", block)
+    needed = dealt.select(F.col("block").alias("at"), F.col("node").alias("id")).union(dealt.select("block", "query")).distinct()
+    vectors = needed.join(points.select("id", "vector"), "id").select("at", "id", "vector")
+    return dealt.groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_two_tables(partial(_measured, size=size)), _LINK)
+
 
+def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, beam: int = BEAM, step: int = STEP) -> DataFrame:
+    """``query`` (ids of nodes) -> the best nodes met, ``query, node, d``, up to ``beam`` each; ends when no node among these is open.
 
-def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, beam: int = BEAM) -> DataFrame:
-    """``query`` (ids of nodes) -> the best nodes met, ``query, node, d``, up to ``beam`` each; ends when no node among these is open."""
+    A query is one row, its beam an array of (d, node, open) in this order, of which the first ``step`` open nodes are expanded at a time. A node that
+    a full beam pushed out needs no memory: the beam only gets better, so it would be pushed out again.
+    """
     both = store(links.select("u", "w").union(links.select("w", "u")).distinct(), "ann-both")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    met = queries.select("query", F.col("query").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(1).alias("rank"))
-    order = Window.partitionBy("query").orderBy("d", "node")
-    frontier = met
-    while not frontier.isEmpty():
-        reached = frontier.join(both, frontier.node == both.u).select("query", F.col("w").alias("node")).distinct()
-        reached = reached.join(met.select("query", "node"), ["query", "node"], "left_anti")
-        found = _distances(reached, points, size, blocks).select(F.col("u").alias("query"), F.col("w").alias("node"), "d", F.lit(False).alias("done"))
-        done = frontier.select("query", "node", F.lit(True).alias("now"))
-        old = met.join(done, ["query", "node"], "left").select("query", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        met = store(old.unionByName(found).withColumn("rank", F.row_number().over(order)), "ann-met")
-        frontier = met.where((F.col("rank") <= beam) & ~F.col("done")).select("query", "node")
-    return met.where(F.col("rank") <= beam).select("query", "node", "d")
+    count = queries.count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    parts = max(1, -(-BLOCKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism // blocks))
+    entry = F.struct(F.lit(0.0).cast("float").alias("d"), F.col("query").alias("node"), F.lit(True).alias("open"))
+    state = store(queries.select("query", F.array(entry).alias("beam")), "ann-beam")
+    while True:
+        opened = state.select("query", F.slice(F.filter("beam", lambda n: n["open"]), 1, step).alias("now"), "beam").where(F.size("now") > 0)
+        worst = F.when(F.size("beam") >= beam, F.element_at("beam", -1)["d"]).otherwise(float("inf")).cast("float")
+        frontier = opened.select("query", worst.alias("worst"), F.explode("now.node").alias("u"))
+        if frontier.isEmpty():
+            break
+        known = state.select("query", F.explode("beam.node").alias("node"))
+        reached = frontier.join(both, "u").select("query", F.col("w").alias("node"), "worst").distinct().join(known, ["query", "node"], "left_anti")
+        found = _distances(reached, points, size, blocks, parts)
+        near = found.groupBy(F.col("u").alias("query")).agg(F.collect_list(F.struct("d", F.col("w").alias("node"), F.lit(True).alias("open"))).alias("near"))
+        expanded = F.slice(F.filter("beam", lambda n: n["open"]), 1, step)["node"]
+        kept = F.transform("beam", lambda n: F.struct(n["d"].alias("d"), n["node"].alias("node"), (n["open"] & ~F.array_contains(F.col("now"), n["node"])).alias("open")))
+        old = state.withColumn("now", expanded).select("query", kept.alias("beam"))
+        merged = F.when(F.col("near").isNull(), F.col("beam")).otherwise(F.slice(F.array_sort(F.concat("beam", "near")), 1, beam))
+        state = store(old.join(near, "query", "left").select("query", merged.alias("beam")), "ann-beam")
+    return state.select("query", F.explode("beam").alias("n")).select("query", "n.node", "n.d")
 
 
 def search(table: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
