@@ -103,17 +103,25 @@ def test_a_block_hands_on_all_links_that_can_be_kept():
     n, degree = 30, 36
     ids, x = np.arange(n), np.random.default_rng(1).normal(size=(n, 4)).astype(np.float32)
 
-    def rows(fresh, split):
-        blank = [None] * n
-        members = {"is_vector": [False] * n, "center": [0] * n, "lot": [0] * n, "member": ids, "fresh": [fresh] * n, "split": [split] * n, "vector": blank, "worst": blank}
-        vectors = {"is_vector": [True] * n, "center": [-1] * n, "lot": [-1] * n, "member": ids, "fresh": [False] * n, "split": [False] * n, "vector": x.tolist(), "worst": [float("inf")] * n}
-        kinds = {"is_vector": pa.bool_(), "center": pa.int64(), "lot": pa.int32(), "member": pa.int64(), "fresh": pa.bool_(), "split": pa.bool_(), "vector": pa.list_(pa.float32()), "worst": pa.float32()}
-        return pa.concat_tables([pa.table({k: pa.array(part[k], t) for k, t in kinds.items()}) for part in (members, vectors)])
-
-    assert ann._joined(rows(True, False), 4, degree).num_rows == n * (n - 1)
-    assert ann._joined(rows(True, False), 4, 7).num_rows == n * 7
-    assert ann._joined(rows(False, False), 4, degree).num_rows == 0  # met before
-    assert ann._joined(rows(False, True), 4, degree).num_rows == n * (n - 1)  # dealt into lots, so perhaps not
+    def tables(fresh, split):
+        members = pa.table({"center": [0] * n, "lot": [0] * n, "member": ids, "fresh": [fresh] * n, "split": [split] * n})
+        return members, pa.table({"id": ids, "vector": pa.array(x.tolist(), pa.list_(pa.float32())), "worst": pa.array([float("inf")] * n, pa.float32())})
+
+    assert ann._joined(*tables(True, False), 4, degree).num_rows == n * (n - 1)
+    assert ann._joined(*tables(True, False), 4, 7).num_rows == n * 7
+    assert ann._joined(*tables(False, False), 4, degree).num_rows == 0  # met before
+    assert ann._joined(*tables(False, True), 4, degree).num_rows == n * (n - 1)  # dealt into lots, so perhaps not
+
+
+@pytest.mark.parametrize("beam, step", [(3, 1), (3, 3), (10, 2)])
+def test_a_beam_keeps_the_best_it_met(spark, beam, step):
+    """On a line the beam ends with the nodes nearest to the query, whatever was pushed out on the way."""
+    links = spark.createDataFrame([(i, i + j, 1.0) for i in range(40) for j in (1, 2) if i + j < 40], "u long, w long, d float")
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, vector array<float>")
+    got = ann.greedy(spark.createDataFrame([(20,), (0,)], "query long"), links, points, 2, beam, step).collect()
+    for q in (0, 20):
+        mine = sorted((r.d, r.node) for r in got if r.query == q)
+        assert mine == sorted((float((i - q) ** 2), i) for i in range(40))[:beam]
 
 
 def test_greedy_search_walks_to_the_end(spark):
