@@ -43,14 +43,13 @@ def rollout_major_order(selected: DataFrame, batch: list[str]) -> DataFrame:
     )
 
 
-def micro_batches(selected: DataFrame, params: BatchParams, prompts_per_block: int = 1 << 16) -> DataFrame:
+def micro_batches(selected: DataFrame, params: BatchParams) -> DataFrame:
     """Optimiser step and micro-batch of every selected rollout, prompts taken in id order.
 
-    Prompts are numbered over the whole table in blocks of ids, not in a single-task window.
+    Prompts are numbered over the whole table in sampled ranges of ids, not in a single-task window.
     """
     per_step = params.prompts_per_step
-    block = F.floor(F.col(PROMPT[0]) / prompts_per_block)
-    prompts = numbered_all(selected.select(*PROMPT).distinct(), PROMPT, block, "prompt_rank")
+    prompts = numbered_all(selected.select(*PROMPT).distinct(), PROMPT, "prompt_rank")
     position = F.col("sel_rank") * per_step + F.col("prompt_rank") % per_step
     return (
         selected.join(prompts, PROMPT)

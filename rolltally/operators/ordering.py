@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolltally.sources.staging import stage
+
 _BLOCK = "_block"
 HOT_ROWS = 1 << 20
 
@@ -58,6 +60,46 @@ def running(
     return joined.drop(_BLOCK, *[f"_c_{name}" for name in measures])
 
 
+#: Children that one node of a carry tree has at most.
+FAN = 256
+
+
+def affine_carry(blocks: DataFrame, key: str, block: str, factor: Column, shift: Column, start: Column, fan: int = FAN) -> DataFrame:
+    """``key, block, _carried``: the value that reaches each block if every block makes ``factor * x + shift`` of an ``x``, and ``start`` reaches the first.
+
+    ``blocks``: one row per (key, whole number ``block``). Maps of ``fan`` neighbours are composed to one, level by level, until a key has a single
+    node; then values go down again. Every group holds ``fan`` rows at most, whatever the length of a key. ``start`` is one value per key.
+    """
+    node = blocks.select(F.col(key).alias("_key"), F.col(block).cast("bigint").alias("_at"), factor.cast("double").alias("f"), shift.cast("double").alias("s"))
+    starts = blocks.groupBy(F.col(key).alias("_key")).agg(F.min(start).cast("double").alias("_carried"))
+    ends = blocks.agg(F.min(F.col(block)).alias("low"), F.max(F.col(block)).alias("high")).first()
+    low, high = (int(ends["low"] or 0), int(ends["high"] or 0))
+    levels: list[DataFrame] = []
+    while True:
+        kids = F.array_sort(F.collect_list(F.struct("_at", "f", "s")))
+        node = node.groupBy("_key", F.floor(F.col("_at") / fan).cast("bigint").alias("_up")).agg(kids.alias("kids"))
+        low, high = low // fan, high // fan
+        if low == high:
+            levels.append(node)
+            break
+        node = stage(node, "carry")  # used on the way up and on the way down
+        levels.append(node)
+        both = F.aggregate(
+            "kids", F.struct(F.lit(1.0).alias("f"), F.lit(0.0).alias("s")),
+            lambda m, k: F.struct((k["f"] * m["f"]).alias("f"), (k["f"] * m["s"] + k["s"]).alias("s")),
+        )
+        node = node.select("_key", F.col("_up").alias("_at"), both.alias("m")).select("_key", "_at", "m.f", "m.s")
+    reached = starts.withColumn("_up", F.lit(low).cast("bigint"))
+    none = F.array().cast("array<struct<at:bigint,x:double>>")
+    for level in reversed(levels):
+        down = F.aggregate(
+            "kids", F.struct(F.col("_carried").alias("x"), none.alias("out")),
+            lambda m, k: F.struct((k["f"] * m["x"] + k["s"]).alias("x"), F.concat(m["out"], F.array(F.struct(k["_at"].alias("at"), m["x"].alias("x")))).alias("out")),
+        )
+        reached = level.join(reached, ["_key", "_up"]).select("_key", F.explode(down["out"]).alias("o")).select("_key", F.col("o.at").alias("_up"), F.col("o.x").alias("_carried"))
+    return reached.select(F.col("_key").alias(key), F.col("_up").alias(block), "_carried")
+
+
 def hot_groups(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Groups of more than ``hot_rows`` rows: at most (rows / hot_rows) of them."""
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
@@ -97,20 +139,21 @@ def numbered(
     )
 
 
-def numbered_all(df: DataFrame, order: list[Column | str], block: Column, name: str) -> DataFrame:
-    """Add the 0-based position in the whole table; ``block`` cuts its order into pieces of bounded size.
+def numbered_all(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Add the 0-based position in the whole table; ``order`` must be total, nulls come first.
 
-    Only the list of block sizes meets in one task, the rows are numbered inside their blocks. Rows without a block come first.
+    The order is cut into ranges at splitters that Spark samples, so neither the spread of the keys nor gaps between them matter. The ranges
+    are staged, then numbered side by side; only their sizes, one row per shuffle partition, meet in one task.
     """
-    tagged = df.withColumn(_BLOCK, block.cast("bigint"))
+    ranged = stage(df.repartitionByRange(*order).withColumn(_BLOCK, F.spark_partition_id()), "ranges")
     earlier = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = tagged.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    carried = sizes.select(F.col(_BLOCK).alias("_same"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    sizes = ranged.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    carried = sizes.select(_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(_BLOCK).orderBy(*order)
     return (
-        tagged.join(carried, F.col(_BLOCK).eqNullSafe(F.col("_same")))
+        ranged.join(carried, _BLOCK)
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop(_BLOCK, "_same", "_before")
+        .drop(_BLOCK, "_before")
     )
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolltally.operators.ordering import running
+from rolltally.operators.ordering import affine_carry, running
 
 BLOCK_ROWS = 4096
 
@@ -22,7 +21,7 @@ def ema(df: DataFrame, key: str, step: str, value: str, decay: float = 0.995, bl
 
     The average is linear, so a block of steps needs only what came in: ``e = decay**n * carried + own part``.
     The own part is a window over one block; blocks are short enough for ``decay**-n`` to stay in range. Carried
-    values come from one summary row per block, and only keys longer than one block have any.
+    values come from one affine map per block, combined in levels, and only keys longer than one block have any.
     """
     if not 0 <= decay < 1:
         raise ValueError("decay must be in [0, 1)")
@@ -44,26 +43,12 @@ def ema(df: DataFrame, key: str, step: str, value: str, decay: float = 0.995, bl
     )
     first = blocks.groupBy(key).agg(F.min_by("_x0", "_b").alias("_start"), F.count(F.lit(1)).alias("_blocks"))
     long = blocks.join(first.where("_blocks > 1"), key)
-    carried = long.groupBy(key).applyInPandas(
-        _carry(key, decay), f"{key} {df.schema[key].dataType.simpleString()}, _b bigint, _in double"
-    )
+    carried = affine_carry(long, key, "_b", F.pow(F.lit(decay), F.col("_n")), F.col("_out"), F.col("_start")).withColumnRenamed("_carried", "_in")
     joined = local.join(first.select(key, "_start"), key).join(carried, [key, "_b"], "left")
     came_in = F.coalesce(F.col("_in"), F.col("_start"))
     return joined.withColumn("ema", came_in * F.pow(F.lit(decay), F.col("_i") + 1) + F.col("_own")).select(*df.columns, "ema")
 
 
-def _carry(key: str, decay: float):
-    def fold(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("_b")
-        value, came_in = float(blocks["_start"].iloc[0]), []
-        for n, out in zip(blocks["_n"], blocks["_out"]):
-            came_in.append(value)
-            value = value * decay**n + out
-        return pd.DataFrame({key: blocks[key], "_b": blocks["_b"], "_in": came_in})
-
-    return fold
-
-
 def snapshot_asof(df: DataFrame, key: str, step: str, value: str, every: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Value of the latest snapshot (steps divisible by ``every``) at or before each step, frozen in between."""
     taken = F.when(F.col(step) % every == 0, F.struct(F.col(step).alias("s"), F.col(value).alias("v")))

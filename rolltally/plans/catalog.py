@@ -129,7 +129,7 @@ def train_eval_split(spark, d):
 @query
 def shard_interleaved(spark, d):
     rows = views.problems(spark, d).select("prompt_id")
-    rows = numbered_all(rows, ["prompt_id"], F.floor(F.col("prompt_id") / (1 << 16)), "_row")
+    rows = numbered_all(rows, ["prompt_id"], "_row")
     return sampling.shard_interleaved(rows, "_row", 8).drop("_row")
 
 

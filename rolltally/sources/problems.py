@@ -73,11 +73,8 @@ def map_benchmark(df: DataFrame, name: str) -> DataFrame:
         problem_id = F.col(ident)
     else:
         # A set without ids is numbered in the order of its problems' texts, nulls last; equal texts are told apart by their number only.
-        # Blocks are ranges of the texts between sampled quantiles; staged, since another run of the sampling could cut elsewhere.
         order = [F.col(problem).asc_nulls_last(), F.col("_place")]
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
-        df = numbered_all(stage(ranges.withColumn("_range", F.spark_partition_id()), "benchmark"), order, F.col("_range"), "_number")
+        df = numbered_all(df.withColumn("_place", F.monotonically_increasing_id()), order, "_number")
         problem_id = F.col("_number")
     return df.select(
         F.lit(key).alias("dataset"), problem_id.cast("string").alias("problem_id"), F.col(problem).alias("problem"), truth.alias("ground_truth")

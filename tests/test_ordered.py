@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolltally.operators import series
-from rolltally.operators.ordering import numbered, numbered_all, running, top_rows
+from rolltally.operators.ordering import affine_carry, numbered, numbered_all, running, top_rows
 from rolltally.operators.quantiles import exact_percentiles
 
 
@@ -26,10 +26,53 @@ def test_numbered(table, hot_rows):
     assert (got == want).all()
 
 
-def test_numbered_all(table):
+@pytest.mark.parametrize("spread", [1, 10**9])
+def test_numbered_all(spark, table, spread):
+    """Positions, plan and range sizes don't depend on how far apart the keys are."""
     pdf, df = table
-    got = numbered_all(df, ["i"], F.floor(F.col("i") / 100), "r").toPandas()
-    assert (got.r == got.i).all() and len(got) == len(pdf)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered_all(df.withColumn("i", F.col("i") * spread), ["i"], "r")
+        rows = got.toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert (rows.r * spread == rows.i).all() and len(rows) == len(pdf)
+    sizes = [spark.read.parquet(f).count() for f in got.inputFiles()]
+    assert len(sizes) == 8 and max(sizes) < 2 * len(pdf) / 8  # one file per range, as many ranges as shuffle partitions
+
+
+def test_numbered_all_keeps_nulls(spark):
+    df = spark.createDataFrame([(None if i < 1 else i,) for i in range(6)], "id long")
+    assert sorted((r.id or 0, r.n) for r in numbered_all(df, ["id"], "n").collect()) == [(i, i) for i in range(6)]
+
+
+@pytest.mark.parametrize("fan", [16, 256])
+def test_affine_carry(spark, fan):
+    """Values carried through maps of any number of levels; block numbers may have gaps and begin below zero."""
+    rng = np.random.default_rng(3)
+    at = {1: range(500), 2: sorted(rng.choice(10**9, 40, replace=False).tolist()), 3: [-7], 4: range(-20, 21)}
+    rows = [(k, int(b), float(rng.uniform(0, 1.2)), float(rng.normal()), float(k)) for k, bs in at.items() for b in bs]
+    df = spark.createDataFrame(rows, "k long, b long, f double, s double, x double").repartition(4)
+    got = {(r.k, r.b): r._carried for r in affine_carry(df, "k", "b", F.col("f"), F.col("s"), F.col("x"), fan).collect()}
+    assert len(got) == len(rows)
+    value = {}
+    for k, b, f, s, x in rows:
+        value.setdefault(k, x)
+        assert got[k, b] == pytest.approx(value[k], rel=1e-9, abs=1e-12)
+        value[k] = f * value[k] + s
+
+
+def test_affine_carry_groups_are_bounded(spark):
+    """One key with all rows: no task of the tree sees more than the fan-out, and nothing runs in Python."""
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("step"), F.col("id").cast("double").alias("x"))
+    out = series.ema(df, "k", "step", "x", 0.9, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    e = 0.0
+    got = {r.step: r.ema for r in out.collect()}
+    for i in range(5000):
+        e = i if i == 0 else 0.9 * e + 0.1 * i
+        assert got[i] == pytest.approx(e, rel=1e-9)
 
 
 @pytest.mark.parametrize("include", [True, False])

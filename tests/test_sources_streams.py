@@ -282,11 +282,6 @@ def test_benchmark_without_ids_keeps_null_problems(spark):
     assert [r.problem for r in got] == texts
 
 
-def test_numbering_keeps_rows_without_a_block(spark):
-    df = spark.createDataFrame([(i, None if i < 2 else i // 2) for i in range(6)], "id int, block int")
-    assert sorted((r.id, r.n) for r in numbered_all(df, ["id"], F.col("block"), "n").collect()) == [(i, i) for i in range(6)]
-
-
 def test_fields_that_differ_in_case_only(spark):
     df = spark.createDataFrame([(1, "q", "5", "6")], "id long, question string, Answer string, other string").toDF("id", "question", "Answer", "answer")
     assert problems.normalize_fields(df, keep=["id"]).collect() == [(1, "q", "5")]
@@ -305,7 +300,7 @@ def test_run_key_of_odd_paths(spark, path, want):
 
 def test_shards_go_by_row_position(spark):
     df = spark.createDataFrame([(i,) for i in (10, 20, 30, 40)], "id long")
-    rows = numbered_all(df, ["id"], F.lit(0), "row")
+    rows = numbered_all(df, ["id"], "row")
     assert {r.id: r.shard for r in sampling.shard_interleaved(rows, "row", 2).collect()} == {10: 0, 20: 1, 30: 0, 40: 1}
 
 
