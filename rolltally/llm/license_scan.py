@@ -20,8 +20,6 @@ from rolltally.llm.store import store
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ANCHORS = 3
-AGREEING = 2
 
 # Phrases that make a base label.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -162,23 +160,14 @@ def _values(rows: list[tuple]) -> str:
 
 ORACLE_SQL = rf"""
 WITH postings(template, label, place, word, must) AS (VALUES {_values([(t, label, i, w, int(must[i])) for t, (label, words, must) in enumerate(_PARSED) for i, w in enumerate(words)])}),
-rare(word) AS (VALUES {_values([(w,) for w in RARE])}),
 phrase(label, words) AS (VALUES {_values([(label, phrase) for phrase, label in BASE.items()])}),
 d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents
 ), w AS (
   SELECT doc_id, i - 1 AS p, word FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d WHERE len(ws) > 0)
-), f AS (
-  SELECT word, (SELECT count(DISTINCT doc_id) FROM w WHERE w.word = rare.word) AS n FROM rare
-), a AS (
-  SELECT template, word FROM (
-    SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY n, word) AS r FROM (SELECT DISTINCT template, word, n FROM postings JOIN f USING (word))
-  ) WHERE r <= {ANCHORS}
-), need AS (
-  SELECT template, least({AGREEING}, count(*)) AS agreeing FROM postings JOIN a USING (template, word) GROUP BY template
 ), c AS (
-  SELECT doc_id, template, p - place AS start FROM w JOIN postings USING (word) JOIN a USING (template, word)
-  GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT any_value(agreeing) FROM need WHERE need.template = postings.template)
+  SELECT DISTINCT doc_id, template, p - place AS start FROM w JOIN postings USING (word)
+  WHERE place = (SELECT min(place) FROM postings q WHERE q.template = postings.template AND must = 1)
 ), v AS (
   SELECT c.doc_id, c.template, any_value(q.label) AS label, c.start, count(w.word)::DOUBLE / count(*) AS score,
          sum(must) FILTER (WHERE w.word IS NOT NULL) = sum(must) AS complete
