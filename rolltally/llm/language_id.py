@@ -29,7 +29,17 @@ FIT_DOCUMENTS = 4000
 #: Documents less like the best profile than this (0 to 1) are in none of the languages.
 LEAST_SCORE = 0.1
 _STRETCH = 1 << 18
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Characters that ``re`` counts as parts of words though they are neither letters nor decimal digits (½, ², ①), as ranges of a class."""
+    odd = [c for c in range(0x80, 0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    firsts = [c for c, before in zip(odd, [-1, *odd]) if c != before + 1]
+    lasts = [c for c, after in zip(odd, [*odd[1:], -1]) if after != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True))
+
+
+_LETTERS = re.compile(rf"[^\W\d_{_numerals()}]+")
 _BITS = np.uint64(21)
 
 

@@ -10,16 +10,16 @@ import pyarrow as pa
 #: Bytes handled at once; longer texts are hashed in stretches, so that temporary arrays stay bounded.
 CHUNK = 1 << 21
 
-_rng = np.random.Generator(np.random.PCG64(20_240_501))
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
-_BASE = int(_rng.integers(1, 2**63)) * 2 + 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+#: A word's hash is the sum of one random value for each (place, byte): no two words collide by their structure. Places beyond the table get their value from a mixer.
+PLACES = 256
+_VALUES = np.random.Generator(np.random.PCG64(20_240_501)).integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
+_VALUES_LOWER = _VALUES.copy()
+_VALUES_LOWER[:, 65:91] = _VALUES[:, 97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -31,17 +31,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK) + 1, np.uint64(base), dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if len(have) <= CHUNK + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 def slices(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of ``texts`` of about ``limit`` bytes; a longer text is a range of its own."""
     sizes = np.diff(_offsets(texts))
@@ -92,16 +81,21 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of all texts, and each text's first word (n + 1 values). ``lower`` folds A-Z."""
     data, starts, ends, firsts = split(texts)
-    table = _LOWER if lower else _TABLE
+    values = (_VALUES_LOWER if lower else _VALUES).reshape(-1)
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(table[data[lo:hi]] * _powers_of(_BASE, hi - lo), out=sums[1:])
-        at = starts[i:j] - lo
-        out[i:j] = (sums[ends[i:j] - lo] - sums[at]) * _powers_of(_BASE_INVERSE, hi - lo)[at]
+        sizes = ends[i:j] - starts[i:j]
+        begin = np.cumsum(sizes) - sizes  # of each word among the bytes of words
+        place = np.arange(sizes.sum()) - np.repeat(begin, sizes)
+        said = data[place + np.repeat(starts[i:j], sizes)]
+        parts = values[np.minimum(place, PLACES - 1) * 256 + said]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            late = _LOWER[said[far]] if lower else said[far]
+            parts[far] = mixed(mixed(place[far].astype(np.uint64) * np.uint64(256) + late) + _STEP)
+        out[i:j] = np.add.reduceat(parts, begin)
         i = j
     return mixed(out), firsts
 

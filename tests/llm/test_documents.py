@@ -58,6 +58,25 @@ def words_of(text, lower=False):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def test_words_of_one_structure_have_different_hashes():
+    """A word of a and b in the order of Thue and Morse, its complement, and the same at the end of a long word."""
+    import pyarrow as pa
+
+    from rolltally.llm import words
+
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    texts = [one[:n] for n in (64, 256, 1024, 2048)] + [other[:n] for n in (64, 256, 1024, 2048)] + ["x" * 5000 + one, "x" * 5000 + other, one.upper()]
+    assert len(set(words.word_hashes(pa.array(texts))[0].tolist())) == len(texts)
+    assert len(set(words.word_hashes(pa.array(texts), lower=True)[0].tolist())) == len(texts) - 1
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① ৴", None), (2, None, None), *((i, "the of and", "en") for i in range(10, 20)), (4, "x² the", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.op1_language(docs).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[4][0] == "en"
+
+
 def test_words_match_the_pattern():
     import numpy as np
     import pyarrow as pa
