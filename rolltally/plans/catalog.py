@@ -22,7 +22,7 @@ from rolltally.operators import tokens as T
 from rolltally.operators.ordering import numbered_all
 from rolltally.plans.session import configure
 from rolltally.sources import problems as problem_sets
-from rolltally.sources import runs, sinks, views
+from rolltally.sources import flushes, runs, sinks, views
 from rolltally.sources.staging import new_path, staged, staged_path
 from rolltally.streaming import jobs
 
@@ -73,6 +73,10 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "chosen", lambda: selected(spark, sf_dir))
 
 
+#: Prompts per optimiser step and rollouts per micro-batch.
+BATCH = BatchParams(batch=4, accumulation=8, k_train=8)
+
+
 def step_of(prompt: str = "prompt_id") -> Column:
     return F.floor(F.col(prompt) / 8).cast("bigint")
 
@@ -133,24 +137,36 @@ def shard_interleaved(spark, d):
     return sampling.shard_interleaved(rows, "_row", 8).drop("_row")
 
 
-def _log(spark, d):
+def _log_flags(spark, d):
     rows = vote.join_votes(views.answers(spark, d).drop("ground_truth"), votes(spark, d))
-    texts = views.rollouts(spark, d).select("prompt_id", "rollout_idx", "problem", "completion", "ground_truth")
-    labelled = rows.join(texts, ["prompt_id", "rollout_idx"])
-    return sinks.rollout_log(labelled, chosen(spark, d), step_of())
+    return sinks.log_flags(rows, chosen(spark, d))
+
+
+def _log_texts(spark, d):
+    """Rollouts with the prompt as the model was given it."""
+    return sinks.log_texts(views.rollouts(spark, d), P.student_prompt(F.col("problem")), step_of())
 
 
 @query
 def rollout_log(spark, d):
-    return _log(spark, d)
+    """The log's rows; texts as digests, so that they can be compared."""
+    log = sinks.rollout_log(_log_texts(spark, d), _log_flags(spark, d))
+    texts = ["prompt", "completion"]
+    return log.select(*[c for c in log.columns if c not in texts], *[F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in texts])
 
 
 @query
 def write_rollout_log(spark, d):
+    """Written as one document per flush and read back."""
     path = new_path(spark, "rollout-log")
-    log = _log(spark, d)
-    sinks.write_rollout_log(log, path)
-    return sinks.log_samples(spark.read.schema("flush_step bigint").parquet(path))
+    flush = sinks.flush_step(step_of())
+    flushes.write_flushes(flushes.flush_rows(_log_texts(spark, d), _log_flags(spark, d), flush), path)
+    made = F.col("generations")
+    return flushes.read_flushes(spark, path).select(
+        F.col("step").alias("flush_step"), "num_samples", F.size(made).cast("bigint").alias("n_generations"),
+        F.size(F.filter(made, lambda g: g["is_selected"])).cast("bigint").alias("n_selected"), F.size(F.filter(made, lambda g: g["is_majority"])).cast("bigint").alias("n_majority"),
+        F.sha2(F.array_join(F.transform(made, lambda g: F.concat(g["prompt"], g["completion"], g["answer"])), "|"), 256).alias("texts_sha256"),
+    )
 
 
 @query
@@ -484,6 +500,16 @@ def select_max_kl(spark, d):
     return _selection(spark, d, select.MAX_KL)
 
 
+@query
+def select_computed_kl(spark, d):
+    """Selection by the divergence of each rollout's own token positions: sample (prompt mod 10, rollout mod 4) of the token table holds them."""
+    kl = T.trajectory_kl(views.scores(spark, d), 30).select("seq_id", "sample_id", F.round("kl_score", 6).alias("kl_score"))
+    rows = views.answers(spark, d).drop("kl_score").withColumns({"seq_id": F.col("prompt_id") % 10, "sample_id": F.col("rollout_idx") % 4})
+    scored = rows.join(kl, ["seq_id", "sample_id"], "left").fillna({"kl_score": float("-inf")})
+    params = SelectParams(SELECT.k_train, 0.5, select.MAX_KL, select.MAX_KL)
+    return select.select_rollouts(scored, votes(spark, d), VOTE, params).select("prompt_id", "rollout_idx", "sel_rank", "direction_sign")
+
+
 @query
 def select_max_logp(spark, d):
     return _selection(spark, d, select.MAX_LOGP)
@@ -552,7 +578,7 @@ def rollout_major_order(spark, d):
 
 @query
 def micro_batch_assign(spark, d):
-    rows = assemble.micro_batches(chosen(spark, d), BatchParams(batch=4, accumulation=8, k_train=8))
+    rows = assemble.micro_batches(chosen(spark, d), BATCH)
     return rows.select("prompt_id", "sel_rank", "step", "micro_batch")
 
 
@@ -808,7 +834,7 @@ def prompt_budget(spark, d):
 
 @query
 def build_training_set(spark, d):
-    rows = rewards.advantages(chosen(spark, d), VOTE.threshold).withColumn("step", step_of())
+    rows = assemble.micro_batches(rewards.advantages(chosen(spark, d), VOTE.threshold), BATCH).drop("prompt_rank", "micro_batch")
     labels = votes(spark, d).select("prompt_id", "pseudo_label")
     prompts = views.problems(spark, d).join(labels, "prompt_id").select(
         "prompt_id",
@@ -817,6 +843,7 @@ def build_training_set(spark, d):
     )
     completions = views.rollouts(spark, d).select("prompt_id", "rollout_idx", views.ids_of(F.col("completion")).alias("token_ids"))
     table = assemble.training_set(rows, prompts, completions, ["step"], PAD, MAX_TOKENS, MAX_LENGTH)
+    table = table.withColumn("micro_batch", F.floor(F.col("position") / BATCH.batch).cast("bigint"))
     arrays = ["student_input_ids", "student_attention_mask", "teacher_input_ids", "teacher_attention_mask", "labels"]
     plain = [c for c in table.columns if c not in arrays]
     return table.select(*plain, *[csv(F.col(c)).alias(c) for c in arrays])

@@ -305,13 +305,25 @@ check(
   ELSE 'train' END AS split FROM part""",
 )
 check("shard_interleaved", "SELECT p_partkey AS prompt_id, (row_number() OVER (ORDER BY p_partkey) - 1) % 8 AS shard FROM part")
-LOG = """SELECT prompt_id // 8 AS step, l.prompt_id, problem AS prompt, completion, l.rollout_idx, coalesce(l.answer, '') AS answer,
+LINE, GAP = "chr(10)", "chr(10) || chr(10)"
+ASK = quoted(P.INSTRUCTION)
+part(
+    "logged",
+    f"""SELECT prompt_id // 8 AS step, prompt_id, 'Problem: ' || problem || {GAP} || {ASK} AS prompt, completion, rollout_idx, coalesce(l.answer, '') AS answer,
   coalesce(l.ground_truth, '') AS ground_truth, c.sel_rank IS NOT NULL AS is_selected, l.is_majority,
   coalesce(c.direction_sign, 0) AS direction_sign FROM lab l LEFT JOIN
-  (SELECT prompt_id, rollout_idx, sel_rank, direction_sign FROM chosen) c USING (prompt_id, rollout_idx)"""
-check("rollout_log", LOG.replace("l.prompt_id,", "prompt_id,").replace("l.rollout_idx,", "rollout_idx,"), "lab", "chosen")
+  (SELECT prompt_id, rollout_idx, sel_rank, direction_sign FROM chosen) c USING (prompt_id, rollout_idx)""",
+    "lab",
+    "chosen",
+)
+check("rollout_log", "SELECT * EXCLUDE (prompt, completion), sha256(prompt) AS prompt_sha256, sha256(completion) AS completion_sha256 FROM logged", "logged")
 FLUSH = "CAST(greatest(ceil((prompt_id // 8) / 5.0) * 5, 5) AS BIGINT)"
-check("write_rollout_log", f"SELECT {FLUSH} AS flush_step, count(*) AS num_samples FROM ro GROUP BY 1", "ro")
+check(
+    "write_rollout_log",
+    f"""SELECT {FLUSH} AS flush_step, count(*) AS num_samples, count(*) AS n_generations, count(*) FILTER (is_selected) AS n_selected, count(*) FILTER (is_majority) AS n_majority,
+  sha256(string_agg(prompt || completion || answer, '|' ORDER BY prompt_id, rollout_idx)) AS texts_sha256 FROM logged GROUP BY 1""",
+    "logged",
+)
 check(
     "write_eval_report",
     """SELECT g.dataset, g.problem_id, p.problem, p.ground_truth, q.n_solutions AS val_n, q.num_correct, q.majority_vote_correct,
@@ -342,8 +354,6 @@ check(
 
 # --- projections and string functions
 
-LINE, GAP = "chr(10)", "chr(10) || chr(10)"
-ASK = quoted(P.INSTRUCTION)
 check(
     "student_prompt",
     f"""SELECT prompt_id, 'Problem: ' || problem || {GAP} || {ASK} AS train_prompt, 'Problem: ' || problem || {LINE} || {ASK} AS compact_prompt,
@@ -729,6 +739,15 @@ check(
     "SELECT seq_id, sample_id, round(coalesce(avg(fkl) FILTER (pos < 30), CAST('-inf' AS DOUBLE)), 6) AS kl_score FROM sc GROUP BY ALL",
     "sc",
 )
+part(
+    "scored",
+    """SELECT l.* EXCLUDE (kl_score), coalesce(k.kl_score, CAST('-inf' AS DOUBLE)) AS kl_score FROM lab l LEFT JOIN (
+    SELECT seq_id, sample_id, round(coalesce(avg(fkl) FILTER (pos < 30), CAST('-inf' AS DOUBLE)), 6) AS kl_score FROM sc GROUP BY ALL) k
+    ON k.seq_id = l.prompt_id % 10 AND k.sample_id = l.rollout_idx % 4""",
+    "lab",
+    "sc",
+)
+check("select_computed_kl", f"SELECT {PICK} FROM ({selection(1, 0.5).replace('FROM lab JOIN', 'FROM scored JOIN')})", "scored")
 check("trajectory_logp", f"SELECT {ROW}, round(logp_score, 6) AS logp_score FROM base", "base")
 check("quantile_minmax", "SELECT seq_id, sample_id, pos, round(h, 6) AS scaled FROM we", "we")
 check("soft_or_weight", "SELECT seq_id, sample_id, pos, round(weight, 6) AS weight FROM we", "we")
@@ -798,21 +817,23 @@ check("label_mask", f"{TURN} array_to_string({LABEL.format(padded('ids', '32'),
 check("prompt_budget", f"{TURN} array_to_string(ids[1:8], ',') AS ids FROM words", "words")
 part(
     "train",
-    f"""SELECT step, p.prompt_id, rollout_idx, position, direction_sign,
+    f"""SELECT step, p.prompt_id, rollout_idx, sel_rank * n_step + pr % 4 AS position, direction_sign,
   list_concat({padded('sids', 'sw')}, {padded('cids', '12')}) AS student, list_concat({padded('tids', 'tw')}, {padded('cids', '12')}) AS teacher,
   least(len(sids), 8) AS true_len, sw, tw, m, reward FROM (
-    SELECT *, {ids('completion')} AS cids, {ids('problem')} AS sids, {ids("problem || ' answer ' || coalesce(pseudo_label, '')")} AS tids,
+    SELECT *, pr // 4 AS step, {ids('completion')} AS cids, {ids('problem')} AS sids, {ids("problem || ' answer ' || coalesce(pseudo_label, '')")} AS tids,
       CASE WHEN direction_sign > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward,
-      CASE WHEN consensus_count >= {THRESHOLD} THEN consensus_count ELSE 0 END::DOUBLE / n_rollouts AS m FROM positions) p
-  JOIN (SELECT prompt_id // 8 AS step, max(least(len({ids('problem')}), 8)) AS sw,
-    max(least(len({ids("problem || ' answer ' || coalesce(pseudo_label, '')")}), 8)) AS tw FROM prob JOIN vote USING (prompt_id) GROUP BY 1) USING (step)""",
-    "positions",
+      CASE WHEN consensus_count >= {THRESHOLD} THEN consensus_count ELSE 0 END::DOUBLE / n_rollouts AS m
+    FROM chosen JOIN (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS pr FROM vote) USING (prompt_id)) p
+  JOIN (SELECT pr // 4 AS step, count(*) AS n_step, max(least(len({ids('problem')}), 8)) AS sw,
+    max(least(len({ids("problem || ' answer ' || coalesce(pseudo_label, '')")}), 8)) AS tw
+    FROM (SELECT *, row_number() OVER (ORDER BY prompt_id) - 1 AS pr FROM prob JOIN vote USING (prompt_id)) GROUP BY 1) USING (step)""",
+    "chosen",
     "prob",
     "vote",
 )
 check(
     "build_training_set",
-    f"""SELECT step, prompt_id, rollout_idx, position, sw::INTEGER AS student_prompt_width, tw::INTEGER AS teacher_prompt_width, direction_sign,
+    f"""SELECT step, prompt_id, rollout_idx, position, position // 4 AS micro_batch, sw::INTEGER AS student_prompt_width, tw::INTEGER AS teacher_prompt_width, direction_sign,
   round(CASE WHEN sqrt(m * (1 - m)) > 1e-8 THEN (reward - m) / (sqrt(m * (1 - m)) + 1e-6) ELSE reward - m END, 6) AS advantage,
   array_to_string(student, ',') AS student_input_ids, array_to_string({MASK.format('student')}, ',') AS student_attention_mask,
   array_to_string(teacher, ',') AS teacher_input_ids, array_to_string({MASK.format('teacher')}, ',') AS teacher_attention_mask,

@@ -8,26 +8,34 @@ from pyspark.sql import functions as F
 from rolltally.operators.vote import PROMPT
 
 
-def rollout_log(labelled: DataFrame, selected: DataFrame, step: Column) -> DataFrame:
-    """One row per rollout: texts, selected and majority flags, direction (0 when not selected).
+def log_flags(labelled: DataFrame, selected: DataFrame) -> DataFrame:
+    """``prompt_id, rollout_idx, answer, is_selected, is_majority, direction_sign`` (0 when not selected) of every rollout; no texts.
 
-    ``labelled`` holds every rollout with ``problem, completion, answer, ground_truth, is_majority``.
+    ``labelled`` holds every rollout with ``answer, is_majority``.
     """
     picks = selected.select(*PROMPT, "rollout_idx", F.col("direction_sign").alias("_sign"))
     return labelled.join(picks, [*PROMPT, "rollout_idx"], "left").select(
-        step.cast("bigint").alias("step"),
         *PROMPT,
-        F.col("problem").alias("prompt"),
-        "completion",
         "rollout_idx",
         F.coalesce("answer", F.lit("")).alias("answer"),
-        F.coalesce("ground_truth", F.lit("")).alias("ground_truth"),
         F.col("_sign").isNotNull().alias("is_selected"),
         "is_majority",
         F.coalesce("_sign", F.lit(0)).alias("direction_sign"),
     )
 
 
+def log_texts(rollouts: DataFrame, prompt: Column, step: Column) -> DataFrame:
+    """``step``, ids, the rendered ``prompt``, completion and truth of every rollout."""
+    return rollouts.select(
+        step.cast("bigint").alias("step"), *PROMPT, "rollout_idx", prompt.alias("prompt"), "completion", F.coalesce("ground_truth", F.lit("")).alias("ground_truth")
+    )
+
+
+def rollout_log(texts: DataFrame, flags: DataFrame) -> DataFrame:
+    """One row per rollout: texts, selected and majority flags, direction."""
+    return texts.join(flags, [*PROMPT, "rollout_idx"])
+
+
 def flush_step(step: Column, every: int = 5) -> Column:
     """Step at which a row is written: the next multiple of ``every``, step 0 with the first flush."""
     return F.greatest(F.ceil(step / every) * every, F.lit(every)).cast("bigint")

@@ -1,5 +1,7 @@
 import datetime as dt
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from rolltally.functions.answers import answer_key
 from rolltally.operators import assemble, sampling, vote
 from rolltally.operators.ordering import numbered_all
 from rolltally.plans import catalog
-from rolltally.sources import problems, runs, sinks, views
+from rolltally.sources import flushes, problems, runs, sinks, views
 from rolltally.sources.staging import new_path, stage
 from rolltally.streaming import jobs
 
@@ -49,12 +51,52 @@ def test_flush_steps_keep_every_step(spark):
     assert [r.f for r in df.collect()] == [5] * 6 + [10] * 5 + [15] * 2
 
 
-def test_log_and_report_round_trip(spark, sf_dir):
-    log = catalog.QUERIES["rollout_log"](spark, sf_dir)
+def test_log_round_trip(spark, sf_dir):
+    texts, flags = catalog._log_texts(spark, sf_dir), catalog._log_flags(spark, sf_dir)
+    log = sinks.rollout_log(texts, flags)
     path = new_path(spark, "log")
-    sinks.write_rollout_log(log, path)
-    back = spark.read.parquet(path).drop("flush_step")
-    assert back.count() == log.count() and back.exceptAll(log.select(back.columns)).isEmpty()
+    rows = flushes.flush_rows(texts, flags, sinks.flush_step(catalog.step_of()))
+    flushes.write_flushes(rows, path)
+    flushes.write_flushes(rows, path)  # a flush that is written again replaces itself
+    docs = flushes.read_flushes(spark, path)
+    back = docs.select(F.inline("generations"))
+    columns = [c for c in log.columns]
+    assert back.count() == log.count() and back.select(columns).exceptAll(log).isEmpty()
+    assert docs.where("num_samples <> size(generations)").isEmpty() and docs.select("step").distinct().count() == docs.count()
+    order = docs.where(~F.expr("generations = array_sort(generations, (a, b) -> CASE WHEN a.prompt_id < b.prompt_id OR (a.prompt_id = b.prompt_id AND a.rollout_idx < b.rollout_idx) THEN -1 ELSE 1 END)"))
+    assert order.isEmpty()
+
+
+def test_texts_of_the_log_cross_one_exchange(spark, sf_dir):
+    rows = flushes.flush_rows(catalog._log_texts(spark, sf_dir), catalog._log_flags(spark, sf_dir), sinks.flush_step(catalog.step_of()))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    carrying = [line for line in plan.splitlines() if re.search(r"Exchange", line)]
+    assert sum("REPARTITION_BY_COL" in line for line in carrying) == 1
+    above = plan[: plan.index("REPARTITION_BY_COL")]
+    assert "Join" not in above and "Window" not in above
+    below = plan[plan.index("REPARTITION_BY_COL") :]
+    texts = below[: below.index("Join")]  # the branch of the texts comes first
+    assert "completion" in texts and texts.count("Exchange") == 0
+
+
+def test_a_lost_task_publishes_nothing(spark):
+    path = new_path(spark, "lost")
+    row = {"flush_step": 5, "kind": 1, "step": 1, "prompt_id": 1, "rollout_idx": 0, "prompt": "p", "completion": "c \u00e9\n", "ground_truth": "", "answer": None, "is_selected": None, "is_majority": None, "direction_sign": None}
+    batch = pa.RecordBatch.from_pylist([row, row | {"rollout_idx": 1}])
+    writer = flushes.FlushWriter(path)
+
+    def breaks():
+        yield batch
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(breaks())
+    done, again = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert flushes.read_flushes(spark, path).isEmpty()
+    writer.abort([done, None])
+    writer.commit([again, None])
+    docs = flushes.read_flushes(spark, path).collect()
+    assert [(d.step, d.num_samples, [g.completion for g in d.generations]) for d in docs] == [(5, 2, ["c \u00e9\n"] * 2)]
 
 
 def test_sampling_does_not_depend_on_partitioning(spark):
