@@ -83,13 +83,3 @@ def clipped_sum(terms: Column, clip: float | None = None, mode: str = "element")
     if mode == "element":
         return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.least(x, F.lit(clip)))
     return F.least(total(terms), F.lit(clip))
-
-
-def teacher_top_k(student: Column, teacher: Column, k: int) -> tuple[Column, Column]:
-    """Scores of the teacher's ``k`` highest entries, for both sides; renormalise with ``log_softmax``."""
-    entries = F.zip_with(
-        teacher, F.transform(student, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
-        lambda t, e: F.struct((-t).alias("t"), e["i"].alias("i"), e["s"].alias("s")),
-    )
-    top = F.slice(F.array_sort(entries), 1, k)
-    return F.transform(top, lambda e: e["s"]), F.transform(top, lambda e: -e["t"])

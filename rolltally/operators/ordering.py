@@ -157,6 +157,72 @@ def numbered_all(df: DataFrame, order: list[Column | str], name: str) -> DataFra
     )
 
 
+#: Rows that one task ranks or merges at most.
+MOST_IN_A_TASK = 1 << 16
+_BINS = 1024
+
+
+def mark_smallest(
+    df: DataFrame, group: list[str], keys: list[Column], k: Column, name: str, most: int = MOST_IN_A_TASK
+) -> DataFrame:
+    """Add ``name``: whether a row is among the ``k`` smallest of its group by ``keys`` (numbers, in total order; ``k`` is an aggregate).
+
+    A group's cut lies in a zone of key values, at first all of them. While a zone holds more than ``most`` rows, a histogram of the first key that still varies in it shows the bin
+    of the cut, which becomes the zone. Rows below it are kept, rows above it are not, and only those in it are ranked.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    tagged = df.withColumns({n: key.cast("double") for n, key in zip(names, keys, strict=True)})
+    ends = [f(n).alias(f"{side}{n}") for n in names for f, side in ((F.min, "_lo"), (F.max, "_hi"))]
+    bounds = [f"{side}{n}" for n in names for side in ("_lo", "_hi")]
+    same = [F.col(f"_g{i}") for i in range(len(group))]
+    by_group = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    zones = stage(tagged.groupBy(*by_group).agg(k.cast("bigint").alias("_k"), F.count(F.lit(1)).alias("_n"), *ends), "zones")
+
+    def meet(rows: DataFrame, zone: DataFrame) -> DataFrame:
+        on = [F.col(g).eqNullSafe(c) for g, c in zip(group, same, strict=True)]
+        return rows.join(zone, on)
+
+    def side() -> Column:
+        """-1 below the zone, 1 above it, else 0: the first key on which a row isn't where the zone is."""
+        out = F.lit(0)
+        for n in reversed(names):
+            out = F.when(F.col(n) < F.col(f"_lo{n}"), -1).when(F.col(n) > F.col(f"_hi{n}"), 1).otherwise(out)
+        return out
+
+    while True:
+        wide = F.col("_n") > most
+        varied = F.lit(False)
+        for n in names:
+            varied = varied | (F.col(f"_lo{n}") < F.col(f"_hi{n}"))
+        open_ = (F.col("_k") > 0) & (F.col("_k") < F.col("_n")) & varied
+        if zones.where(wide & open_).isEmpty():
+            break
+        inside = meet(tagged, zones.where(wide & open_)).where(side() == 0)
+        share = F.lit(None).cast("double")
+        for n in reversed(names):
+            lo, hi = F.col(f"_lo{n}"), F.col(f"_hi{n}")
+            share = F.when(lo < hi, (F.col(n) - lo) / (hi - lo)).otherwise(share)
+        bins = inside.groupBy(*same, F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).alias("_bin")).agg(F.first("_k").alias("_k"), F.count(F.lit(1)).alias("_n"), *ends)
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*same).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = bins.withColumn("_before", before).where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
+        narrowed = cut.withColumn("_k", F.col("_k") - F.col("_before")).select(*same, "_k", "_n", *bounds)
+        zones = stage(zones.where(~(wide & open_)).unionByName(narrowed), "zones")
+    placed = meet(tagged, zones).withColumn("_side", side())
+    whole = (F.col("_side") != 0) | (F.col("_k") <= 0) | (F.col("_k") >= F.col("_n"))
+    # A group whose every row is kept or dropped needs no ranks either.
+    clear = placed.where(whole).withColumn(name, (F.col("_side") < 0) | ((F.col("_side") == 0) & (F.col("_k") >= F.col("_n"))))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*names))
+    ranked = placed.where(~whole).withColumn(name, rank <= F.col("_k"))
+    return clear.unionByName(ranked).select(*df.columns, name)
+
+
+def first_rows(df: DataFrame, order: list[Column | str], n: int, most: int = MOST_IN_A_TASK) -> DataFrame:
+    """The first ``n`` rows of a total order. A few are merged in one task; more are cut from sampled ranges, each of which is ordered by itself."""
+    if n <= most:
+        return df.orderBy(*order).limit(n)
+    return numbered_all(df, order, "_place").where(F.col("_place") < n).drop("_place")
+
+
 def _fields(block: Column | list[Column]) -> list[Column]:
     return block if isinstance(block, list) else [block]
 

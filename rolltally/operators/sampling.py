@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolltally.operators.ordering import top_rows
+from rolltally.operators.ordering import first_rows, top_rows
 
 
 def seeded_hash(keys: list[str], seed: int) -> Column:
@@ -20,7 +20,8 @@ def dedup(df: DataFrame, keys: list[str], first_by: list[str]) -> DataFrame:
 
 def sample_n(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows (all when there are fewer) in the order of their seeded hash."""
-    return df.orderBy(seeded_hash(keys, seed), *keys).limit(n)
+    hashed = df.withColumn("_hash", seeded_hash(keys, seed))
+    return first_rows(hashed, ["_hash", *keys], n).drop("_hash")
 
 
 def train_eval_split(df: DataFrame, keys: list[str], test_size: float = 0.007, seed: int = 42) -> DataFrame:
@@ -37,7 +38,7 @@ def shard_interleaved(df: DataFrame, row_index: str, n: int) -> DataFrame:
 
 def head_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """First ``n`` rows of an explicit order."""
-    return df.orderBy(*order).limit(n)
+    return first_rows(df, order, n)
 
 
 def merge_batches(batches: list[DataFrame], order: list[str], total: int) -> DataFrame:
@@ -46,4 +47,4 @@ def merge_batches(batches: list[DataFrame], order: list[str], total: int) -> Dat
     for number, batch in enumerate(batches):
         tagged = batch.withColumn("batch_no", F.lit(number))
         merged = tagged if merged is None else merged.unionByName(tagged)
-    return merged.orderBy("batch_no", *order).limit(total)
+    return first_rows(merged, ["batch_no", *order], total)

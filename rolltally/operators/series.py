@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolltally.operators.ordering import affine_carry, running
+from rolltally.operators.ordering import affine_carry, first_rows, running
 
 BLOCK_ROWS = 4096
 
@@ -87,5 +87,5 @@ def on_off_policy_loss(log: DataFrame, every: int, accumulation: int, step: str
 
 
 def last_rows(log: DataFrame, newest_first: list[Column], n: int) -> DataFrame:
-    """Last ``n`` log rows: a top-n, each task keeps at most ``n``."""
-    return log.orderBy(*newest_first).limit(n)
+    """Last ``n`` log rows."""
+    return first_rows(log, newest_first, n)

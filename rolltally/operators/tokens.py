@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rolltally.config import LossParams
 from rolltally.functions import vectors as V
 from rolltally.functions.arrays import IGNORE
-from rolltally.functions.score_batches import SCORES, score_batches
-from rolltally.operators.ordering import HOT_ROWS, numbered
+from rolltally.functions.score_batches import SCORES, score_batches, top_k_batches
+from rolltally.operators.ordering import MOST_IN_A_TASK, mark_smallest
 from rolltally.operators.quality import side_by_side
 from rolltally.operators.quantiles import exact_percentiles
 
@@ -33,12 +33,9 @@ def with_log_probs(tokens: DataFrame, temperature: float, top_k: int | None = No
 
     They are columns of their own projection, so later expressions read them instead of computing them again.
     """
-    student, teacher = F.col("student"), F.col("teacher")
     if top_k:
-        tokens = tokens.withColumn("_top", F.struct(*[c.alias(n) for c, n in zip(V.teacher_top_k(student, teacher, top_k), "st")]))
-        student, teacher = F.col("_top.s"), F.col("_top.t")
-    out = tokens.withColumn("ls", V.log_softmax(student, temperature)).withColumn("lt", V.log_softmax(teacher, temperature))
-    return out.drop("_top")
+        tokens = tokens.mapInArrow(top_k_batches(top_k, tokens.columns), tokens.schema)
+    return tokens.withColumn("ls", V.log_softmax(F.col("student"), temperature)).withColumn("lt", V.log_softmax(F.col("teacher"), temperature))
 
 
 def token_scores(tokens: DataFrame, params: LossParams = LossParams(), engine: str = "arrow") -> DataFrame:
@@ -166,21 +163,14 @@ def soft_or_weights(scores: DataFrame, q: float = 0.98) -> DataFrame:
     return scaled.withColumn("weight", 1 - (1 - h) * (1 - d)).drop("_delta")
 
 
-def retained_tokens(weighted: DataFrame, retention: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Mark the ``floor(valid * retention)`` (at least one) highest-weighted valid tokens of each sample.
+def retained_tokens(weighted: DataFrame, retention: float, most: int = MOST_IN_A_TASK) -> DataFrame:
+    """Mark the ``floor(valid * retention)`` (at least one) highest-weighted valid tokens of each sample, the first of equal ones.
 
-    The number kept grows with the sample, so it is no constant bound. Samples above ``hot_rows`` are
-    ranked block by block: blocks follow the weight, and where many tokens share a limit (0 or 1) the position.
+    The number kept grows with the sample, so it is no constant bound; a threshold is found by histograms, and only tokens next to it are ranked.
     """
     rows = weighted.where(valid())
-    w, pos = F.col("weight"), F.col("pos")
-    slot = F.when(w >= 1, -1).when(w <= 0, 4097).otherwise(F.floor((1 - w) * 4096))
-    block = [slot, F.when((w >= 1) | (w <= 0), F.floor(pos / (1 << 16))).otherwise(0)]
-    ranked = numbered(rows, SAMPLE, [w.desc(), pos.asc()], block, "_rank", hot_rows)
-    kept = rows.groupBy(*SAMPLE).agg(
-        F.greatest(F.floor(F.count(F.lit(1)) * retention), F.lit(1)).cast("bigint").alias("k")
-    )
-    return ranked.join(kept, SAMPLE).withColumn("kept", F.col("_rank") < F.col("k")).withColumnRenamed("_rank", "rank")
+    kept = F.greatest(F.floor(F.count(F.lit(1)) * retention), F.lit(1))
+    return mark_smallest(rows, SAMPLE, [-F.col("weight"), F.col("pos")], kept, "kept", most)
 
 
 def weighted_kl(weighted: DataFrame, retention: float, value: str = "fkl_clipped") -> DataFrame:

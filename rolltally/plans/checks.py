@@ -646,7 +646,7 @@ check(
     "SELECT prompt_id // 8 AS step, prompt_id, rollout_idx, answer FROM an ORDER BY prompt_id DESC, rollout_idx DESC LIMIT 500",
     "an",
 )
-check("topk_tokens", "SELECT seq_id, sample_id, pos, r AS rank FROM kept WHERE kept", "kept")
+check("topk_tokens", "SELECT seq_id, sample_id, pos, round(weight, 6) AS weight FROM kept WHERE kept", "kept")
 
 # --- set operations and sampling
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolltally.operators import series
-from rolltally.operators.ordering import affine_carry, numbered, numbered_all, running, top_rows
+from rolltally.operators.ordering import affine_carry, first_rows, mark_smallest, numbered, numbered_all, running, top_rows
 from rolltally.operators.quantiles import exact_percentiles
 
 
@@ -104,6 +104,29 @@ def test_percentiles(table, q):
         assert np.allclose(got.x_at, want.x) and np.allclose(got.y_at, want.y) and np.allclose(got.x_min, want.low)
 
 
+@pytest.mark.parametrize("most", [1, 20, 10**6])
+def test_mark_smallest(table, most):
+    """Shares of groups with ties in the first key, down to zones of a single row."""
+    pdf, df = table
+    k = F.floor(F.count(F.lit(1)) * 0.3)
+    got = mark_smallest(df, ["g"], [F.col("y"), F.col("i")], k, "kept", most).toPandas()
+    ordered = pdf.sort_values(["g", "y", "i"])
+    place, size = ordered.groupby("g").cumcount(), ordered.groupby("g").i.transform("size")
+    assert set(got[got.kept].i) == set(ordered[place < (size * 0.3).astype(int)].i) and len(got) == len(pdf)
+    some = mark_smallest(df, ["g"], [-F.col("x"), F.col("i")], F.when(F.col("g") == 3, 0).otherwise(10**9) if most == 0 else F.lit(4), "kept", most).toPandas()
+    want = pdf.sort_values(["g", "x", "i"], ascending=[True, False, True]).groupby("g").head(4)
+    assert set(some[some.kept].i) == set(want.i)
+
+
+def test_first_rows(table):
+    pdf, df = table
+    for n in (0, 7, 3000, 10**6):
+        for most in (5, 10**6):
+            got = first_rows(df, [F.col("y").desc(), "i"], n, most).toPandas()
+            want = pdf.sort_values(["y", "i"], ascending=[False, True]).head(n)
+            assert set(got.i) == set(want.i) and len(got) == len(want)
+
+
 def test_top_rows(table):
     pdf, df = table
     got = top_rows(df, ["g"], [F.col("x").desc(), F.col("i")], 3, "r").toPandas()

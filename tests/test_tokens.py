@@ -185,10 +185,10 @@ def test_flat_scores_scale_to_zero(scores):
     assert [r.out for r in rows] == [0.0]
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10**6])
+@pytest.mark.parametrize("most", [5, 10**6])
 @pytest.mark.parametrize("retention", [0.01, 0.3])
-def test_retained_tokens(weighted, spec_rows, hot_rows, retention):
-    got = {(r.seq_id, r.sample_id, r.pos) for r in T.retained_tokens(weighted, retention, hot_rows).where("kept").collect()}
+def test_retained_tokens(weighted, spec_rows, most, retention):
+    got = {(r.seq_id, r.sample_id, r.pos) for r in T.retained_tokens(weighted, retention, most).where("kept").collect()}
     want = set()
     for k, rows in samples([r for r in spec_rows if r["ok"]]).items():
         best = sorted(rows, key=lambda r: (-round(r["w"], 12), r["pos"]))[: max(1, int(len(rows) * retention))]
