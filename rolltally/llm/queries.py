@@ -42,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op4_source_mix": mixing.ORACLE_SQL,
     "op5_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op7_minhash": minhash_dedup.ORACLE_SQL,
+    "op13_conversations": role_repair.ORACLE_SQL,
 }

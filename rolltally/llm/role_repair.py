@@ -506,3 +506,79 @@ def repaired_turns(conversations: DataFrame, block_rows: int = BLOCK_ROWS) -> Da
 def op13_conversations(conversations: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Contract query: the damage, the repair and the digest columns, one row per conversation."""
     return chained(stretches(damaged(conversations), block_rows)).drop("path")
+
+
+# ---- the contract in SQL: one row per turn, and for each kind of stack the least (cost, audit, text)
+
+
+def _after(way: str, cost: str | int, letters: str, text: str) -> str:
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letters}', 't': {way}.t || {text}}} END"
+
+
+_NEW = {x: f"chr(10) || '{role}:'" for x, role in ROLES.items()}
+_BOTH = {"ua": f"{_NEW['u']} || {_NEW['a']}", "au": f"{_NEW['a']} || {_NEW['u']}"}
+
+
+def _inserted(way: str) -> dict[int, str]:
+    """What insertions make of the way to one kind of stack."""
+    kind = int(way[-1])
+    if kind == 2:
+        return {3: _after(way, INSERT, "I", _NEW["a"])}
+    return {2: _after(way, INSERT, "I", _NEW["u"]), 3: _after(way, 2 * INSERT, "II", _BOTH["ua"])}
+
+
+def _taken(kind: int) -> str:
+    """The ways that keep or rerole a turn so that a stack of ``kind`` results."""
+    role, sources = {1: ("s", [0]), 2: ("u", [0, 1, 3]), 3: ("a", [2])}[kind]
+    keep = ", ".join(f"CASE WHEN r = '{role}' THEN {_after(f'c{x}', 'cut', 'K', 'chr(10) || role || chr(58) || text')} END" for x in sources)
+    if role == "s":
+        return keep
+    return keep + ", " + ", ".join(_after(f"c{x}", f"{REROLE} + cut", "R", f"{_NEW[role]} || text") for x in sources)
+
+
+_CLOSED = ", ".join(
+    f"least(s{kind}{''.join(', ' + _inserted(f's{x}')[kind] for x in range(4) if kind in _inserted(f's{x}'))}) AS c{kind}" if kind > 1 else f"s{kind} AS c{kind}"
+    for kind in range(4)
+)
+_STEPPED = ", ".join(
+    f"least({_after(f's{kind}', DELETE, 'D', repr(''))}{f', CASE WHEN NOT forced THEN least({_taken(kind)}) END' if kind else ''}) AS s{kind}" for kind in range(4)
+)
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), named AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), hashed AS (
+  SELECT named.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), seen AS (
+  SELECT *, substr(role, 1, 1) AS r, regexp_replace(text, '[ 	-]', '', 'g') AS chars, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM ranked
+), faults AS (
+  SELECT *, chars = '' OR nth > 1 AS forced, CASE WHEN chars <> '' AND nth = 1 AND right(chars, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM seen
+), p AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s3 FROM named
+  UNION ALL
+  SELECT conv_id, i, {_STEPPED} FROM (
+    SELECT p.conv_id, f.i, f.r, f.role, f.text, f.forced, f.cut, s0, s1, s2, s3, {_CLOSED}
+    FROM p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1)
+), ended AS (
+  SELECT conv_id, arg_max(least(s0, {_after('s1', 2 * INSERT, 'II', _BOTH['ua'])}, {_after('s2', INSERT, 'I', _NEW['a'])}, s3), i) AS best FROM p GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (chars = '') AS blank,
+    count(*) FILTER (chars <> '' AND nth > 1) AS duplicate, sum(cut) AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

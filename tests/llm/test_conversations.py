@@ -116,6 +116,18 @@ def test_repair_matches_a_search_over_all_edits(spark, block_rows, long):
     assert got == want
 
 
+def test_query_matches_sql(spark, sf_dir, tmp_path):
+    """On the whole table, and on one with every fault, nulls, odd roles and ties."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(conversations(3), DDL).write.parquet(f"{tmp_path}/c")
+    for path, files in ((f"{sf_dir}/conversations.parquet",) * 2, (f"{tmp_path}/c", f"{tmp_path}/c/*.parquet")):
+        with duckdb.connect() as con:
+            con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{files}'")
+            want = con.execute(R.ORACLE_SQL).fetchall()
+        got = R.op13_conversations(spark.read.parquet(path)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 5
+
+
 def test_all_rows_dropped_and_empty_table(spark):
     gone = [c for c in range(400) if zlib.crc32(f"{c}:0".encode()) % 20 == 0]
     assert gone
