@@ -3,9 +3,10 @@
 Pass 1 cuts a page into blocks and decides each one that can be decided: by the markup it stands in (menus, footers, adverts,
 comments and so on are boilerplate; where a page has an article or main element, what stands outside it is too; a class or id alone
 can't make a container boilerplate that holds the article or most of the page's long blocks with few links), by link density,
-and by length together with stop-word density. Stop words count only where they can tell: not on a page none of whose long blocks is rich in the known
-ones, not for a block mostly in other scripts than Latin, in pre or in a table; there length, links and markup decide. Pass 2 lets every undecided short block inherit the label of its nearest decided
-neighbour (content on a tie inside an article, boilerplate outside).
+and by length together with stop-word density, inside articles as outside. Stop words count only where they can tell: not on a page none of whose long blocks is rich in the known
+ones, not for a block mostly in other scripts than Latin, in pre or in a table; there length, links and markup decide. Pass 2 lets the undecided inherit the label of their nearest decided
+neighbour: first long blocks poor in stop words, from blocks of prose only, then short ones and links in an article, from any
+(content on a tie inside an article and for long blocks, else boilerplate). On a page without a block that pass 1 takes, shorter prose counts, and without any what isn't a menu.
 
 Defined cases: null or empty html, or a page without content, gives an empty text; unclosed and cut-off tags end with the page; other columns are
 ignored; repeated rows are extracted each; an empty table gives no rows.
@@ -41,7 +42,7 @@ STOP_WORDS = frozenset(
 )
 
 # Element names by their part in a page.
-RAW = frozenset("script style noscript template iframe svg math object textarea title".split())
+RAW = frozenset("script style noscript template iframe svg object textarea title".split())
 BOILERPLATE = frozenset("nav footer aside form button select head dialog menu".split())
 CONTENT = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,48 +257,56 @@ def _other_script(text: str) -> bool:
     return not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(len, _LETTERS.findall(text)))
 
 
+def _inherited(decided: list[bool | None], counts: list[bool], asking: list[bool]) -> list[list[tuple[int, bool]]]:
+    """For each block that asks: distance and label of the nearest decided block that counts, on either side."""
+    near: list[list[tuple[int, bool]]] = [[] for _ in decided]
+    for order in (range(len(decided)), range(len(decided) - 1, -1, -1)):
+        last: tuple[int, bool] | None = None
+        for i in order:
+            if asking[i] and last:
+                near[i].append((abs(i - last[0]), last[1]))
+            if counts[i] and decided[i] is not None:
+                last = (i, decided[i])
+    return near
+
+
 def labels(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """Content or not, for each block."""
     in_article = any(inside and not part for _, _, part, inside, _ in found)
-    # Density that a block needs on this page: none where no long block has it, less where even the richest has little more.
+    own = [not part and (inside or not in_article) for _, _, part, inside, _ in found]
     letters_of = [len(text) - text.count(" ") for text, *_ in found]
-    long = (text for (text, linked, part, *_), n in zip(found, letters_of, strict=True) if not part and len(text) >= LONG and linked <= LINK_DENSITY * n)
-    richest = 0.0 if in_article else max(map(stop_density, long), default=0.0)
+    prose = [mine and linked <= LINK_DENSITY * n for mine, (_, linked, *_), n in zip(own, found, letters_of, strict=True)]
+    # Density that a block needs on this page: none where no long block has it, less where even the richest has little more.
+    richest = max((stop_density(text) for (text, *_), p in zip(found, prose, strict=True) if p and len(text) >= LONG), default=0.0)
     needed = min(STOP_DENSITY, richest / 2) if richest >= STOP_DENSITY else 0.0
+    least = SHORT if in_article else LONG
+
+    # Pass 1.
     decided: list[bool | None] = []
-    for (text, linked, part, inside, preset), letters in zip(found, letters_of, strict=True):
-        if part or (in_article and not inside) or linked > LINK_DENSITY * letters:
+    rich = []
+    for (text, _, _, _, preset), mine, p in zip(found, own, prose, strict=True):
+        rich.append(p and len(text) >= SHORT and (preset or stop_density(text) >= needed or _other_script(text)))
+        if not mine or not (p or in_article):  # inside an article a block full of links may be a sentence
             decided.append(False)
-        elif len(text) < SHORT:
-            decided.append(None)
-        elif in_article:
-            decided.append(True)
-        elif preset or stop_density(text) >= needed or _other_script(text):
-            decided.append(True if len(text) >= LONG else None)
+        elif rich[-1]:
+            decided.append(True if len(text) >= least else None)
         else:
-            decided.append(False if len(text) < LONG else None)
-    # Distances to the nearest decided block on either side. Inside an article only its own blocks count.
-    count = len(found)
-    before: list[tuple[int, bool] | None] = [None] * count
-    after: list[tuple[int, bool] | None] = [None] * count
-    for order, near in ((range(count), before), (range(count - 1, -1, -1), after)):
-        last: tuple[int, bool] | None = None
-        for i in order:
-            near[i] = last
-            if decided[i] is not None and not (in_article and (found[i][2] or not found[i][3])):
-                last = (i, decided[i])
-    out = []
-    for i, label in enumerate(decided):
-        if label is None:
-            sides = [(abs(i - x[0]), x[1]) for x in (before[i], after[i]) if x]
-            if not sides:
-                label = in_article
-            else:
-                nearest = min(d for d, _ in sides)
+            decided.append(False if p and not in_article and SHORT <= len(text) < LONG else None)
+    if True not in decided:  # a page of short blocks: those that read like prose, else whatever isn't a menu
+        decided = [True if r else d for r, d in zip(rich, decided, strict=True)]
+        if True not in decided:
+            decided = [True if d is None else d for d in decided]
+
+    # Pass 2: long blocks first, which only prose can tell about, then the short ones.
+    for size in (LONG, 0):
+        asking = [d is None and len(text) >= size for d, (text, *_) in zip(decided, found, strict=True)]
+        counts = [p and len(text) >= SHORT if size else m or not in_article for p, m, (text, *_) in zip(prose, own, found, strict=True)]
+        for i, sides in enumerate(_inherited(decided, counts, asking)):
+            if asking[i]:
+                nearest = min((d for d, _ in sides), default=0)
                 votes = [v for d, v in sides if d == nearest]
-                label = any(votes) if in_article else all(votes)
-        out.append(label)
-    return out
+                decided[i] = any(votes) if in_article or size else all(votes)
+    return [bool(d) for d in decided]
 
 
 def main_text(page: str | None) -> str:

@@ -67,8 +67,6 @@ PROSE = {
 @pytest.mark.parametrize("english", [False, True])
 def test_page_without_article_in_other_languages(language, english):
     text = (PROSE[language] * 6).strip()
-    if english and language in ("pl", "tr"):
-        pytest.skip("a page's languages in Latin script share its density")
     lead = f"<p>{LONG_TEXT}</p>" if english else ""
     menu = "<div><a href='/'>" + text + "</a></div>"
     got = html_extract.main_text(page(f"{menu}{lead}<p>{text}</p><p>{text[:30].strip()}</p><p>{text}</p>{menu}"))
@@ -82,6 +80,36 @@ def test_code_and_tables_among_english_prose():
     assert got == " ".join([LONG_TEXT, code.strip(), cell.strip(), LONG_TEXT])
 
 
+def test_stop_words_decide(monkeypatch):
+    """Neither markup nor length tells the row of key words from a paragraph, with or without an article."""
+    keywords = "cheap flights hotels cars insurance loans " * 3
+    html = page(f"<p>{LONG_TEXT}</p><div>{keywords}</div><p>{LONG_TEXT}</p>")
+    assert html_extract.main_text(html) == f"{LONG_TEXT} {LONG_TEXT}"
+    monkeypatch.setattr(html_extract, "STOP_WORDS", frozenset())
+    assert html_extract.main_text(html) == f"{LONG_TEXT} {keywords.strip()} {LONG_TEXT}"
+
+
+def test_neighbours_decide(monkeypatch):
+    """A short line belongs to what stands nearest to it."""
+    menu = "<div><a href='/'>" + "Home and news and more of it " * 4 + "</a></div>"
+    html = page(f"{menu}<p>Near the menu</p>{menu}<p>{LONG_TEXT}</p><p>Near the text</p><p>{LONG_TEXT}</p>{menu}")
+    assert html_extract.main_text(html) == f"{LONG_TEXT} Near the text {LONG_TEXT}"
+    monkeypatch.setattr(html_extract, "_inherited", lambda decided, *_: [[] for _ in decided])
+    assert html_extract.main_text(html) != f"{LONG_TEXT} Near the text {LONG_TEXT}"
+
+
+def test_short_pages_links_and_formulas_are_kept():
+    short = "The river stood high for a week and nobody in the village knew when the old bridge would be safe to cross again, so they waited."
+    assert len(short) < html_extract.LONG
+    menu = "<div><a href='/'>Home</a> <a href='/a'>About the village</a></div>"
+    assert html_extract.main_text(page(f"<p>{short}</p>")) == short
+    assert html_extract.main_text(page(f"{menu}<p>{short}</p>{menu}")) == short
+    assert html_extract.main_text(page(f"{menu}<p>Closed today.</p>")) == "Closed today."
+    linked = f"<p>See <a href='/x'>{short}</a></p>"
+    assert html_extract.main_text(page(f"<article><p>{LONG_TEXT}</p>{linked}<p>{LONG_TEXT}</p></article>")) == f"{LONG_TEXT} See {short} {LONG_TEXT}"
+    assert html_extract.main_text(page(f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p>{LONG_TEXT}</p></article>")).startswith("Let x=2 be.")
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_page(name):
     html, want = CASES[name]
