@@ -9,7 +9,7 @@ found so far, on links in both directions, until none of them is open. What is r
 
 Equal vectors are folded and unfolded at the end: of each group only its smallest ids can be among the nearest.
 
-Defined cases: vectors that are null, zero, of another length than most or hold null or non-finite components, and rows with a null id, take no part; fewer
+Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part; neighbours have the query's length; fewer
 candidates than asked for are all returned; ties go to the smaller id; rows that repeat an id count once per vector; other columns are
 ignored; an empty table gives no rows.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolltally.llm.store import store
-from rolltally.llm.vectors import common_size, lists, matrix, usable
+from rolltally.llm.vectors import lists, matrix, sizes, usable
 
 DEGREE = 36
 ROUNDS = 30
@@ -233,10 +233,16 @@ def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, b
 
 
 def search(table: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
-    """The ``k`` nearest rows found of each row whose id is divisible by ``every``: ``query_id, rank, vec_id, score``."""
+    """The ``k`` nearest rows found of each row whose id is divisible by ``every``: ``query_id, rank, vec_id, score``. Each length of vectors has a graph of its own."""
     rows = table.select(table[vec_id].cast("long").alias("vec_id"), table[vector].alias("vector"))
-    size = common_size(rows)
-    taken = rows.where(usable(F.col("vector")) & (F.size("vector") == size) & F.col("vec_id").isNotNull())
+    taken = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size in sizes(taken):
+        out = out.unionByName(_search(taken.where(F.size("vector") == size), size, every, k, degree, beam))
+    return out
+
+
+def _search(taken: DataFrame, size: int, every: int, k: int, degree: int, beam: int) -> DataFrame:
     # A group of equal vectors answers with its k + 1 smallest ids at most.
     place = Window.partitionBy("vector").orderBy("vec_id")
     few = taken.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
@@ -244,7 +250,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_i
     nodes = store(folded, "ann-nodes")
     count = nodes.count()
     points = nodes.select("id", F.col("vector").cast("array<float>").alias("vector"))
-    blocks = max(count // BLOCK, min(count // LEAST_BLOCK, BLOCKS_PER_CORE * table.sparkSession.sparkContext.defaultParallelism))
+    blocks = max(count // BLOCK, min(count // LEAST_BLOCK, BLOCKS_PER_CORE * taken.sparkSession.sparkContext.defaultParallelism))
     bits = [(count // BUCKET).bit_length()] * TABLES + [blocks.bit_length()]
     points = points.mapInArrow(partial(_coded, size=size, bits=bits), "id long, vector array<float>, codes array<long>")
     points = store(points.withColumn("code", F.get("codes", F.lit(TABLES))), "ann-coded")

@@ -9,14 +9,15 @@ the whole vectors, so no link is below the threshold.
 Equal vectors are folded first. A cell's vectors are dealt into blocks and its visitors into lots, so a task compares one block with one lot
 however many vectors a cell holds. From a task come sums per vector and a spanning forest of the links, never all pairs.
 
-Defined cases: vectors that are null, zero, of another length than most or hold null or non-finite components link with nothing and stand for
-themselves; a null id likewise, with component null and kept false; rows that repeat an id count as vectors of their own; other columns are
+Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing and stand for themselves; vectors of different lengths
+are never compared; a null id likewise, with component null and kept false; rows that repeat an id count as vectors of their own; other columns are
 ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,12 @@ from pyspark.sql import functions as F
 
 from rolltally.llm.components import components
 from rolltally.llm.store import store
-from rolltally.llm.vectors import common_size, lists, matrix, usable
+from rolltally.llm.vectors import lists, matrix, sizes, usable
 
 SIMILARITY = 0.95
 TARGET_RECALL = 0.998
 #: Vectors (on average) that codebooks and radius are fitted on.
 SAMPLE = 4096
-MAX_CENTROIDS = 128
 BLOCK, LOT = 1024, 4096
 
 
@@ -53,7 +53,8 @@ class Grid:
         self.radius = float(np.quantile(needed, target)) if len(unit) else 0.0
 
     def halves(self, unit: np.ndarray) -> list[np.ndarray]:
-        return [unit[:, : self.cut], unit[:, self.cut :]]
+        """Two parts of the components; of single ones the second is zero."""
+        return [unit[:, : self.cut], unit[:, self.cut :]] if self.cut else [unit, np.zeros_like(unit)]
 
     def bounds(self, unit: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per half: squared distance from each vector to the border of each centroid's region, and the nearest centroid."""
@@ -72,13 +73,35 @@ class Grid:
         """Each vector's cell, and the cells it visits in the order of the traversal (its own first)."""
         (one, two), (a, b) = self.bounds(unit)
         width = len(self.books[1])
-        cells = []
-        for i in range(len(unit)):
-            total = one[i][:, None] + two[i][None, :]
-            total[a[i], b[i]] = -1.0
-            inside = np.flatnonzero(total.reshape(-1) <= self.radius)
-            cells.append(inside[np.argsort(total.reshape(-1)[inside], kind="stable")])
-        return a * width + b, cells
+        rows = np.arange(len(unit))
+        orders = []
+        for bounds, own in ((one, a), (two, b)):
+            first = bounds.copy()
+            first[rows, own] = -1.0
+            orders.append(np.argsort(first, axis=1, kind="stable"))
+        cells = [
+            np.array(traversal(one[i, orders[0][i]].tolist(), two[i, orders[1][i]].tolist(), self.radius), dtype=np.int64).reshape(-1, 2) for i in range(len(unit))
+        ]
+        return a * width + b, [orders[0][i][c[:, 0]] * width + orders[1][i][c[:, 1]] for i, c in enumerate(cells)]
+
+
+def traversal(one: list[float], two: list[float], radius: float) -> list[tuple[int, int]]:
+    """Multi-sequence traversal of two ascending lists: places (i, j) by growing ``one[i] + two[j]`` while it is at most ``radius``.
+
+    A place enters the heap when both its predecessors have left it, so only the border of what was visited is kept, however many cells there are.
+    """
+    heap, out, reached = [(one[0] + two[0], 0, 0)], [], [0] * (len(one) + 1)
+    while heap:
+        total, i, j = heappop(heap)
+        if total > radius and out:
+            break
+        out.append((i, j))
+        reached[i] = j + 1  # columns of row i that were visited
+        if i + 1 < len(one) and reached[i + 1] == j:
+            heappush(heap, (one[i + 1] + two[j], i + 1, j))
+        if j + 1 < len(two) and (i == 0 or reached[i - 1] > j + 1):
+            heappush(heap, (one[i] + two[j + 1], i, j + 1))
+    return out
 
 
 def _centroids(points: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -161,17 +184,21 @@ def _compared(table: pa.Table, similarity: float, size: int) -> pa.Table:
 def near_duplicates(
     table: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL, vec_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` per row of ``table``."""
+    """``vec_id, n_links, component_id, kept`` per row of ``table``. Vectors of each length are compared among themselves."""
     rows = table.select(table[vec_id].cast("long").alias("vec_id"), table[vector].alias("vector"))
-    size = common_size(rows)
-    taken = usable(F.col("vector")) & (F.size("vector") == size) & F.col("vec_id").isNotNull()
-    classes = store(rows.where(taken).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    taken = usable(F.col("vector")) & F.col("vec_id").isNotNull()
+    out = rows.where(~taken).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for size in sizes(rows.where(taken)):
+        out = out.unionByName(_of_one_size(rows.where(taken & (F.size("vector") == size)), size, similarity, target))
+    return out
+
+
+def _of_one_size(rows: DataFrame, size: int, similarity: float, target: float) -> DataFrame:
+    classes = store(rows.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
     count = classes.count()
-    if not count:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     chance = F.pmod(F.xxhash64("rep", F.lit("codebook")), F.lit(1 << 40)) / float(1 << 40)
     sample = classes.where(chance * count < SAMPLE).select("vector").collect() or classes.select("vector").limit(1).collect()
-    grid = Grid(np.array([r[0] for r in sample], dtype=np.float64), min(MAX_CENTROIDS, max(2, round(count**0.25))), similarity, target)
+    grid = Grid(np.array([r[0] for r in sample], dtype=np.float64), max(2, round(count**0.25)), similarity, target)
 
     kept = "id long, n long, unit array<double>, cell int, visited array<int>"
     points = classes.select(F.col("rep").alias("id"), "n", F.col("vector").cast("array<double>").alias("vector"))
@@ -199,9 +226,8 @@ def near_duplicates(
     result = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("vector").alias("v"), F.col("rep"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("links"), F.coalesce("label", "rep").alias("label")
     )
-    return rows.withColumn("taken", taken).join(result, F.col("taken") & (F.col("vector") == F.col("v")), "left").select(
-        "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("label", "vec_id"), F.lit(False)).alias("kept"),
+    return rows.join(result, F.col("vector") == F.col("v")).select(
+        "vec_id", F.col("links").alias("n_links"), F.col("label").alias("component_id"), (F.col("vec_id") == F.col("label")).alias("kept")
     )
 
 

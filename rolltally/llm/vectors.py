@@ -14,11 +14,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def common_size(vectors: DataFrame) -> int:
-    """The most frequent length of the usable vectors (0 without any); the lengths are counted per row, one row per length remains."""
-    sizes = vectors.where(usable(F.col("vector"))).groupBy(F.size("vector").alias("size")).count()
-    best = sizes.agg(F.max_by("size", F.struct("count", -F.col("size")))).first()[0]
-    return int(best or 0)
+def sizes(vectors: DataFrame) -> list[int]:
+    """The lengths that occur among ``vector``: one number per length comes to the driver."""
+    return sorted(r["size"] for r in vectors.select(F.size("vector").alias("size")).distinct().collect())
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:

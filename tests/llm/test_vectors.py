@@ -61,6 +61,31 @@ def test_embedding_dedup(table, block, lot, monkeypatch):
     assert len(got) == len(data) and {r.vec_id: tuple(r) for r in got} == want
 
 
+def test_vectors_of_every_length(spark):
+    rows = [(1000, [1.0, 2.0]), (1003, [2.0, 4.0]), (1100, [1.0, 2.0]), (1005, [-2.0, 1.0]), (7, [3.0]), (200, [5.0]), (9, [-1.0]), (300, [1.0, 0.0, 0.0]), (11, []), (300, [1.0, 0.0, 0.0])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = sorted(tuple(r) for r in embedding_dedup.op5_embedding_dedup(table).collect())
+    assert got == sorted([
+        (1000, 2, 1000, True), (1003, 2, 1000, False), (1100, 2, 1000, False), (1005, 0, 1005, True), (7, 1, 7, True), (200, 1, 7, False), (9, 0, 9, True),
+        (300, 1, 300, True), (300, 1, 300, True), (11, 0, 11, True),
+    ])
+    near = {}
+    for r in ann.op9_neighbours(table).collect():
+        near.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [v for _, v in sorted(n)] for q, n in near.items()} == {1000: [1100, 1003, 1005], 1100: [1000, 1003, 1005], 200: [7, 9]}
+
+
+def test_traversal_takes_cells_by_their_sum():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        one, two = (np.sort(np.append(rng.random(rng.integers(0, 9)), 0.0)) for _ in range(2))
+        radius = rng.random()
+        got = embedding_dedup.traversal(one.tolist(), two.tolist(), radius)
+        sums = one[:, None] + two[None, :]
+        assert got[0] == (0, 0) and sorted(got) == sorted(zip(*map(list, np.nonzero(sums <= radius)), strict=True))
+        assert all(sums[a] <= sums[b] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_multi_index_finds_random_partners():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 32))
