@@ -4,7 +4,8 @@ Documents become pieces of at most 2048 tokens (only longer documents are cut, t
 a thousand; each block is evolved on several islands, which are rows that Spark spreads over the cluster. An individual assigns pieces to
 sequences. Crossover injects whole well-filled sequences of one parent into the other, removes the other's sequences that hold the
 same pieces, and best-fits the displaced pieces, longest first. After every epoch the best individual of each island migrates to the next island of its block
-through an exchange; at the end the block's best individual wins.
+through an exchange; at the end the block's best individual wins. Then the sequences of all blocks that are not quite full are opened, their pieces dealt into new blocks,
+fewer and of another mixture, and evolved again, as long as that takes fewer sequences.
 
 Token ids are those of the byte-level BPE file: texts of characters below U+0250 go through the same vocabulary and pattern in a faster encoder, all others through
 the reference tokenizer itself (the tests compare both).
@@ -37,6 +38,9 @@ POPULATION = 4
 CHILDREN = 6
 #: A sequence filled to this share is passed on whole.
 WELL_FILLED = 0.97
+#: Sequences filled to less than this share are opened again when all blocks are packed.
+OPEN = 0.9995
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 _PLAIN = re.compile(r"[^\t\n\r -~\xa0-ɏ]")
 
@@ -201,16 +205,30 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    spark = docs.sparkSession
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     pieces = store(source.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    placed, blocks = in_blocks(pieces, capacity, 0)
+    while True:
+        fill = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+        loose = store(fill.where(F.col("fill") < OPEN * capacity), "packing-open")
+        count, tokens = loose.agg(F.count(F.lit(1)), F.coalesce(F.sum("fill"), F.lit(0))).first()
+        if count <= -(-tokens // capacity):
+            return placed
+        again, more = in_blocks(placed.join(loose, "sequence_id", "left_semi").select(*PIECE), capacity, blocks)
+        if again.select("sequence_id").distinct().count() >= count:
+            return placed
+        blocks += more
+        placed = store(placed.join(loose, "sequence_id", "left_anti").select(again.columns).unionByName(again), "packing-placed")
+
+
+def in_blocks(pieces: DataFrame, capacity: int, number: int) -> tuple[DataFrame, int]:
+    """Pieces with sequence and offset, packed in blocks of about ``BLOCK_PIECES`` that are numbered from ``number``, and how many blocks there are."""
     blocks = max(1, -(-pieces.count() // BLOCK_PIECES))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("long"))
-    items = F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("by"), *columns)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(*PIECE, F.lit(number)), F.lit(blocks)).cast("long") + number)
+    items = F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("by"), *PIECE)))
     dealt = store(dealt.groupBy("block").agg(items.alias("items")), "packing-blocks")
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     island = dealt.select(
         "block", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), F.transform("items", lambda x: x["length"].cast("int")).alias("lengths"),
         F.lit(None).cast("array<array<int>>").alias("population"), F.lit(None).cast("array<int>").alias("guest"),
@@ -220,9 +238,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         elite = grown.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("guest"))
         island = grown.join(elite, ["block", "island"]).select("block", "island", "lengths", "population", "guest")
     best = grown.groupBy("block").agg(F.min_by("best", F.struct("sequences", -F.col("filling"), "island")).alias("best"))
-    return dealt.join(best, "block").select("block", "items", "best").repartition(tasks, "block").mapInArrow(
+    rows = dealt.join(best, "block").select("block", "items", "best").repartition(tasks, "block").mapInArrow(
         _placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
+    return store(rows, "packing-placed"), blocks
 
 
 def op6_packing(docs: DataFrame) -> DataFrame:
