@@ -2,6 +2,7 @@
 
 Derived tables are staged first (``prepare`` holds these times, from the raw tables to the narrow inputs). Each query
 then runs twice into a no-op sink: ``cold`` holds the first run, ``queries`` the second, and ``total`` everything of a first pass, staging included.
+``calibration`` is a fixed job of Spark's own (no code of this package), so that runs on machines of different speed can be compared.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ def seconds(run) -> float:
 def main() -> None:
     spark = local_session(CPUS, partitions=int(CPUS) if CPUS.isdigit() else 8)
     drain = lambda df: df.write.format("noop").mode("overwrite").save()
+    fixed = spark.range(1 << 25).selectExpr("id % 4096 AS k", "sha2(cast(id AS string), 256) AS x").groupBy("k").agg({"x": "max"})
+    drain(fixed)
+    calibration = seconds(lambda: drain(fixed))
     prepare = {
         "rollouts": seconds(lambda: views.rollouts(spark, SF_DIR)),
         "answers": seconds(lambda: views.answers(spark, SF_DIR)),
@@ -60,6 +64,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "calibration": calibration,
                 "prepare": prepare,
                 "cold": cold,
                 "total": round(sum(prepare.values()) + sum(cold.values()), 3),
