@@ -77,6 +77,46 @@ def test_numerals_are_no_letters(spark):
     assert got[1] == got[2] == ("und", 0.0) and got[4][0] == "en"
 
 
+def brute_profile(texts, top=300):
+    """N-grams of all texts by falling count; equal counts by their code points, shorter ones first."""
+    counts = collections.Counter()
+    for text in texts:
+        runs, run = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                run += c
+            elif run:
+                runs.append(run)
+                run = ""
+        if not runs:
+            continue
+        line = " " + " ".join(runs) + " "
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                gram = line[i : i + n]
+                if gram != " " and " " not in gram[1 : n - 1]:
+                    counts[gram] += 1
+    packed = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], packed(g)))[:top]
+
+
+def test_language_matches_brute_force(spark, sf_dir):
+    """Profiles, ranks, distances and ties of every row, on the whole table and on odd texts."""
+    odd = [(10_000 + i, t, None) for i, t in enumerate([None, "", "½ 12", "a", "ß ß ß", "x² y", "the", "İstanbul straße", "日本 語", "of the " * 9000])]
+    table = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()] + odd
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    langs = sorted({lang for i, t, lang in table if lang and t is not None and not held(i)})
+    profiles = {g: {x: k for k, x in enumerate(brute_profile(t for i, t, lang in table if lang == g and not held(i)))} for g in langs}
+    got = {r["doc_id"]: r for r in language_id.op1_language(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(table) and len(langs) > 1
+    for i, text, _ in table:
+        own = brute_profile([text])
+        far = {g: sum(abs(p[x] - k) if x in p else 300 for k, x in enumerate(own)) for g, p in profiles.items()}
+        want = min(langs, key=lambda g: (far[g], g)) if own else "und"
+        score = 1 - far[want] / (300 * len(own)) if own else 0.0
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (want, held(i)) and got[i]["score"] == pytest.approx(score), i
+
+
 def test_words_match_the_pattern():
     import numpy as np
     import pyarrow as pa
