@@ -3,7 +3,7 @@
 A record's key has the high bits of its text's hash and, below them, bits of its id's hash, so that equal texts lie side by side and a
 text that a third of all rows share still spreads over many keys. Splitters are the quantiles of a sample in which a record
 appears with a probability in proportion to its size. The splitters cut the keys into ranges; a range with too many rows is cut further
-into even stretches of its keys. Exact sums over the stretches, carried along the ranges, and a window inside each stretch give
+at quantiles of its own rows. Exact sums over the ranges, carried along their order, and a window inside each range give
 every record its first byte in key order, and with it shard and slot: sizes differ by about one record.
 
 Defined cases: a null text has size 1 and checksum 0; an empty table gives no rows; repeated rows get slots of their own; columns other than id
@@ -21,6 +21,8 @@ GROUP_BITS = 44
 #: Ranges between splitters (a power of 16), and sampled records per range, on average. They bound what the driver sees.
 RANGES = 256
 SAMPLED_PER_RANGE = 64
+#: Parts that an overfull range is cut into at a time (a power of 2).
+PARTS = 64
 
 
 def record_key(text: Column, doc_id: Column) -> Column:
@@ -53,6 +55,24 @@ def range_of(key: Column, cuts: list[int], fan: int = 16) -> Column:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * fan + fine)
 
 
+def subdivided(ranged: DataFrame, bits: int, bucket_rows: int) -> tuple[DataFrame, int]:
+    """``ranged`` (``key, range``) with ranges of more than ``2 * bucket_rows`` rows cut at quantiles of their own rows' keys, again and again, and the bits of a range's
+    number. A splitter's share counts bytes, a quantile rows, so short texts that many rows share are split as well. What is left is rows with one key: the same text and id."""
+    last = None
+    while True:
+        sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+        wide = sizes.where(F.col("rows") > 2 * bucket_rows)
+        widest = wide.agg(F.max("rows")).first()[0]
+        if widest is None or widest == last:
+            return ranged, bits
+        points = [i / PARTS for i in range(1, PARTS)]
+        cut = ranged.join(wide.select("range"), "range").groupBy(F.col("range").alias("cut_range")).agg(F.array_distinct(F.percentile_approx("key", points, 100 * PARTS)).alias("cuts"))
+        cut = store(cut, "shard-cuts")  # at most rows / bucket_rows rows, so Spark broadcasts it while it is small
+        part = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("key"))).cast("long"), F.lit(0).cast("long"))
+        ranged = ranged.join(cut, F.col("range") == F.col("cut_range"), "left").withColumn("range", F.col("range") * PARTS + F.when(F.col("cuts").isNull(), 0).otherwise(part)).drop("cut_range", "cuts")
+        bits, last = bits + (PARTS - 1).bit_length(), widest
+
+
 def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: shards are ranges of the key of near equal bytes, slots count from 0 in key order."""
     rows = store(
@@ -66,27 +86,11 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(rows, total)
-    ranged = rows.withColumn("range", range_of(F.col("key"), cuts).cast("int"))
-    held = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
-    widest = held.agg(F.max("rows")).first()[0] or 0
-    parts = max(1, -(-widest // bucket_rows))
-    bits = max(1, (parts - 1).bit_length())
-    # Doubles keep the order of keys; parts follow a range's own number of rows.
-    position = (F.col("key").cast("double") - F.col("low").cast("double")) / (F.col("high").cast("double") - F.col("low").cast("double") + 1.0)
-    share = F.ceil(F.col("rows") / bucket_rows)
-    # One row per range: len(cuts) + 1 at most.
-    ranged = ranged.join(F.broadcast(held), "range").withColumn(
-        "part", F.least(F.floor(position * share), share - 1).cast("long")
-    ).drop("low", "high", "rows")
-    sums = store(ranged.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "shard-sums")
-    carried = before(sums, ["range"], "part", bits, ["bytes", "rows"])
-    ranges = sums.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    ranges = before(ranges, [], "range", len(cuts).bit_length(), ["bytes", "rows"]).select(
-        "range", F.col("bytes_before").alias("b0"), F.col("rows_before").alias("r0")
-    )
-    starts = carried.join(ranges, "range").select("range", "part", (F.col("bytes_before") + F.col("b0")).alias("b"), (F.col("rows_before") + F.col("r0")).alias("r"))
-    order = Window.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32", "size")
-    placed = ranged.join(starts, ["range", "part"]).select(
+    ranged, bits = subdivided(rows.withColumn("range", range_of(F.col("key"), cuts).cast("long")), len(cuts).bit_length(), bucket_rows)
+    sums = store(ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "shard-sums")
+    starts = before(sums, [], "range", bits, ["bytes", "rows"]).select("range", F.col("bytes_before").alias("b"), F.col("rows_before").alias("r"))
+    order = Window.partitionBy("range").orderBy("key", "doc_id", "text_crc32", "size")
+    placed = ranged.join(starts, "range").select(
         "doc_id", "size", "text_crc32",
         (F.col("b") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("first_byte"),
         (F.col("r") + F.row_number().over(order) - 1).alias("place"),

@@ -274,6 +274,24 @@ def test_shards(docs, bucket_rows):
         assert abs(sum(r.size for r in part) - sum(r.size for r in got) / 8) <= largest
 
 
+def test_hot_texts_are_subdivided(spark):
+    """A third of all rows without text, a third with one short text: no range stays much above ``bucket_rows``."""
+    n, most = 30_000, 256
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "a b").otherwise(F.repeat(F.lit("word "), F.col("id").cast("int") % 50)).alias("text"))
+    rows = docs.select("doc_id", F.lit(1).cast("long").alias("size"), sharding.record_key(docs["text"], docs["doc_id"]).alias("key"))
+    ranged, bits = sharding.subdivided(rows.withColumn("range", F.lit(0).cast("long")), 0, most)
+    sizes = ranged.groupBy("range").count().agg(F.max("count"), F.max("range"), F.sum("count")).first()
+    assert sizes[0] <= 2 * most and sizes[1] < 1 << bits and sizes[2] == n
+    ends = ranged.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("range").collect()
+    assert all(a.high < b.low for a, b in zip(ends, ends[1:], strict=False))
+    got = sharding.shard(docs, bucket_rows=most).toPandas()
+    assert len(got) == n and all(sorted(part.slot) == list(range(len(part))) for _, part in got.groupby("shard"))
+    totals = got.groupby("shard")["size"].sum()
+    assert totals.max() - totals.min() <= 2 * got["size"].max()
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text"))
+    assert sorted(r.slot for r in sharding.shard(same, shards=1, bucket_rows=100).collect()) == list(range(3000))
+
+
 def test_shards_of_one_hot_text(spark):
     table = [(i, "same text" if i % 3 else f"text {i} " * (i % 7), "en", "s", 0) for i in range(3000)]
     got = sharding.op8_shards(spark.createDataFrame(table, SCHEMA)).toPandas()
