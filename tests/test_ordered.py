@@ -26,6 +26,18 @@ def test_numbered(table, hot_rows):
     assert (got == want).all()
 
 
+def test_numbered_shares_its_exchange_with_a_join(spark, table):
+    """Without a hot group, numbering and a join by group after it exchange the rows once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = numbered(table[1], ["g"], ["i"], F.floor(F.col("i") / 100), "r")
+        names = spark.range(40).select(F.col("id").alias("g"), F.col("id").cast("string").alias("name"))
+        plan = rows.join(names, "g")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # rows, names
+
+
 @pytest.mark.parametrize("spread", [1, 10**9])
 def test_numbered_all(spark, table, spread):
     """Positions, plan and range sizes don't depend on how far apart the keys are."""
