@@ -196,6 +196,16 @@ def test_retained_tokens(weighted, spec_rows, most, retention):
     assert got == want
 
 
+@pytest.mark.parametrize("hot_rows", [2, 10**6])
+def test_retained_tokens_are_ranked(weighted, spec_rows, hot_rows):
+    got = {(r.seq_id, r.sample_id, r.pos): r["rank"] for r in T.ranked_tokens(weighted, 0.3, 5, hot_rows).collect()}
+    want = {}
+    for k, rows in samples([r for r in spec_rows if r["ok"]]).items():
+        best = sorted(rows, key=lambda r: (-round(r["w"], 12), r["pos"]))[: max(1, int(len(rows) * 0.3))]
+        want |= {(*k, r["pos"]): i for i, r in enumerate(best)}
+    assert got == want
+
+
 @pytest.mark.parametrize("mode,retention", [(-3, 0.0), (-4, 0.0), (-3, 0.3), (-3, 1.0)])
 def test_hybrid_loss(weighted, spec_rows, mode, retention):
     params = LossParams(kl_mode=mode, retention=retention)
