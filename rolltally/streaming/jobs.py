@@ -45,6 +45,8 @@ def drained(stream: DataFrame, name: str, partition_by: list[str] | None = None)
     """The same, and the path of the checkpoint, where the state lies."""
     spark = stream.sparkSession
     path = new_path(spark, name)
+    if partition_by:  # rows of a folder come together, or every task would write a file into every folder
+        stream = stream.hint("rebalance", *partition_by)
     writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

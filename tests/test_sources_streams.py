@@ -261,6 +261,14 @@ def test_votes_are_emitted_once_and_forgotten(spark, sf_dir, files):
     assert kept[-1] == 0 and (files == 1 or max(kept) > 0)
 
 
+def test_drained_folders_have_one_file(spark):
+    """Every source file has rows of every flush; a flush is written by one task all the same."""
+    path = new_path(spark, "log-in")
+    spark.range(4000).select("id", (F.col("id") % 20).alias("flush_step")).repartition(8).write.parquet(path)
+    log = jobs.drain(jobs.read_stream(spark, path, "id long, flush_step long"), "log", ["flush_step"])
+    assert log.count() == 4000 and len(log.inputFiles()) == 20
+
+
 def test_votes_when_the_time_is_up(spark):
     """Prompt 1 gets complete, 2 never does, 3 gets a straggler after its time; 9 moves the watermark."""
     schema = "prompt_id long, rollout_idx long, answer string, ts timestamp, expected long"
