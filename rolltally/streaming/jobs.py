@@ -5,6 +5,7 @@ A job takes a streaming DataFrame and returns one, which ``drain`` runs to a tab
 * ``metric_windows`` closes tumbling windows behind a watermark. Rows whose event time lies further behind their arrival than the
   delay go to a side table (``late_rows``), by their own two times, so that it does not matter how the input is cut into files.
 * ``vote_on_arrival`` emits a prompt's vote once its rollouts have arrived or its time is up, and then forgets it.
+* ``drain_votes`` does so for a stream that is drained, without waiting: what is open lies in a table between micro-batches.
 * ``dedup`` drops repeats within a delay.
 
 What is still open when a run ends is in its state store, and ``open_windows`` reads it from there. For prompts without a known number of rollouts
@@ -242,6 +243,37 @@ def vote(partials: DataFrame) -> DataFrame:
     )
 
 
+def drain_votes(rollouts: DataFrame, order: list[str], expected: DataFrame, name: str) -> DataFrame:
+    """One vote per prompt, made with the micro-batch in which its ``expected`` rollouts have arrived.
+
+    ``expected``: ``prompt_id, expected``; prompts without a row there get no vote. A batch is reduced to its clusters, merged with those of the prompts
+    that were open, and cut into votes and what stays open. Everything is an aggregate or a join over tables keyed by batch, so a batch that runs again
+    replaces its own and a prompt may have any number of rollouts.
+    """
+    spark = rollouts.sparkSession
+    path = new_path(spark, name)
+    empty = vote_partials(spark.createDataFrame([], rollouts.schema), order)
+    empty.write.parquet(f"{path}/open/batch=-1")
+    vote(empty).write.parquet(f"{path}/votes/batch=-1")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        read = lambda kind, n: batch.sparkSession.read.schema(empty.schema).parquet(f"{path}/{kind}/batch={n}")
+        both = vote_partials(batch, order).unionByName(read("open", batch_id - 1))
+        merged = both.groupBy("prompt_id", "answer_key").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+        merged.write.mode("overwrite").parquet(f"{path}/clusters/batch={batch_id}")
+        merged = read("clusters", batch_id)
+        arrived = merged.groupBy("prompt_id").agg(F.sum("_n").alias("_arrived")).join(expected, "prompt_id")
+        complete = F.col("_arrived") >= F.col("expected")
+        for kind, side, made in (("votes", complete, vote), ("open", ~complete, lambda rows: rows)):
+            rows = merged.join(arrived.where(side), "prompt_id", "left_semi")
+            made(rows).write.mode("overwrite").parquet(f"{path}/{kind}/batch={batch_id}")
+
+    writer = rollouts.writeStream.foreachBatch(sink).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}-progress").start().awaitTermination()
+    votes = vote(empty)
+    return spark.read.schema(votes.schema).parquet(f"{path}/votes").select(*votes.columns)
+
+
 def dedup(rollouts: DataFrame, keys: list[str], delay: str, ts: str = "ts") -> DataFrame:
     """Drop repeats of a key that arrive within ``delay``; older state is forgotten."""
     return rollouts.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

@@ -261,6 +261,25 @@ def test_votes_are_emitted_once_and_forgotten(spark, sf_dir, files):
     assert kept[-1] == 0 and (files == 1 or max(kept) > 0)
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_drained_votes_wait_for_all_rollouts(spark, sf_dir, files):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*views.ITEM)
+    path = new_path(spark, "drain-in")
+    items.repartition(files, "l_orderkey").write.parquet(path)
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = lambda df: vote.with_answers(views.rollouts_of(df, views.ORDER))
+    more = F.when(F.col("l_partkey") % 7 == 0, 1).otherwise(0)  # these never get complete
+    asked = items.groupBy(F.col("l_partkey").alias("prompt_id")).agg((F.count("*") + F.max(more)).alias("expected"))
+    got = jobs.drain_votes(rows(stream), views.ORDER, asked, "drained").collect()
+    want = jobs.vote(jobs.vote_partials(rows(items), views.ORDER)).where("prompt_id % 7 <> 0").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
+def test_registered_votes_need_no_python_state(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(jobs, "_decide", None)
+    assert catalog.QUERIES["stream_vote"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct().count()
+
+
 def test_drained_folders_have_one_file(spark):
     """Every source file has rows of every flush; a flush is written by one task all the same."""
     path = new_path(spark, "log-in")
