@@ -75,6 +75,22 @@ def test_vote_scan_reads_four_columns(spark, sf_dir):
     assert "completion" not in plan
 
 
+def test_scans_are_cut_by_rows_not_by_cores(spark, sf_dir, tmp_path):
+    """A file that a default split holds whole is read in many tasks; smaller settings stay."""
+    rows = spark.range(1 << 22).selectExpr("id", "hash(id) AS a", "xxhash64(id) AS b").coalesce(1)
+    rows.write.option("parquet.block.size", 1 << 22).parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        QUERIES["head_n"](spark, sf_dir)
+        assert spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions() >= 5
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        QUERIES["head_n"](spark, sf_dir)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
+    finally:
+        for name in ("minPartitionNum", "maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["prompt_id", "pseudo_label", "consensus_count", "n_rollouts", "vote_correct"]
