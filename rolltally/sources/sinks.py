@@ -57,7 +57,8 @@ def log_samples(log: DataFrame) -> DataFrame:
 
 
 def write_eval_report(summary: DataFrame, results: DataFrame, generations: DataFrame, path: str, fmt: str = "json") -> None:
-    """Summary, per-problem results and generations side by side under ``path``."""
+    """Summary, per-problem results and generations side by side under ``path``; the two large ones are compressed, as most of a generation repeats."""
     summary.write.mode("overwrite").format(fmt).save(f"{path}/summary")
     for name, table in (("results", results), ("generations", generations)):
-        table.hint("rebalance", "dataset").write.mode("overwrite").partitionBy("dataset").format(fmt).save(f"{path}/{name}")
+        writer = table.hint("rebalance", "dataset").write.mode("overwrite").partitionBy("dataset").option("compression", "gzip")
+        writer.format(fmt).save(f"{path}/{name}")

@@ -288,6 +288,17 @@ def test_drained_folders_have_one_file(spark):
     assert log.count() == 4000 and len(log.inputFiles()) == 20
 
 
+def test_eval_report_is_compressed(spark):
+    """Texts that repeat take a small part of their length on disk, and come back whole."""
+    rows = spark.range(2000).select(F.lit("d").alias("dataset"), F.lit("said").alias("full_generation"), F.repeat(F.lit("so "), 200).alias("text"))
+    path = new_path(spark, "report")
+    sinks.write_eval_report(rows.limit(1), rows.limit(1), rows, path)
+    back = spark.read.schema(rows.schema).json(f"{path}/generations")
+    assert back.count() == 2000 and back.select(rows.columns).distinct().collect() == rows.distinct().collect()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/generations")
+    assert files.agg(F.sum("length")).first()[0] < 2000 * 600 / 10
+
+
 def test_votes_when_the_time_is_up(spark):
     """Prompt 1 gets complete, 2 never does, 3 gets a straggler after its time; 9 moves the watermark."""
     schema = "prompt_id long, rollout_idx long, answer string, ts timestamp, expected long"
