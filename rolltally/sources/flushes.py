@@ -11,6 +11,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyarrow import fs as stores
@@ -31,6 +32,19 @@ _TEXTS = ["step", "prompt_id", "rollout_idx", "prompt", "completion", "ground_tr
 _FLAGS = ["answer", "is_selected", "is_majority", "direction_sign"]
 
 
+#: One generation; the values are JSON already.
+_LINE = "\n{" + ", ".join(f'"{n}": %s' for n in (*_TEXTS, *_FLAGS)) + "}"
+
+
+def _json(value: object) -> str:
+    """Texts and whole numbers, of which a log consists, without a detour over an encoder of any object."""
+    if type(value) is str:
+        return encode_basestring(value)
+    if type(value) is int:
+        return str(value)
+    return "null" if value is None else "true" if value is True else "false" if value is False else json.dumps(value, ensure_ascii=False)
+
+
 def flush_rows(texts: DataFrame, flags: DataFrame, flush: Column) -> DataFrame:
     """Rows in the order of the documents, flags before the text they belong to.
 
@@ -65,25 +79,31 @@ class FlushWriter(DataSourceArrowWriter):
         folder = posixpath.join(root, PENDING, uuid.uuid4().hex)
         store.create_dir(folder, recursive=True)
         files: list[tuple[str, str]] = []
-        out, flush, count, marks = None, None, 0, {}
+        out, flush, count, marks = None, None, 0, None
         for batch in iterator:
             for lo in range(0, batch.num_rows, _ROWS):
-                for row in batch.slice(lo, _ROWS).to_pylist():
-                    if out is None or row["flush_step"] != flush:
+                said: list[str] = []  # of the document that is open
+                some = batch.slice(lo, _ROWS)
+                columns = [some.column(n).to_pylist() for n in ("flush_step", "kind", *_TEXTS, *_FLAGS)]
+                for step, kind, *row in zip(*columns, strict=True):
+                    if out is None or step != flush:
                         if out is not None:
+                            out.write("".join(said).encode())
                             self._end(out, count)
-                        flush, count = row["flush_step"], 0
+                        flush, count, said = step, 0, []
                         name = f"generations_step_{flush}.json"
                         files.append((posixpath.join(folder, name), posixpath.join(root, name)))
                         out = store.open_output_stream(files[-1][0])
-                        out.write(f'{{"step": {flush}, "generations": ['.encode())
-                    if row["kind"] == 0:
+                        said.append(f'{{"step": {flush}, "generations": [')
+                    if kind == 0:
                         marks = row
                         continue
-                    mine = (row["prompt_id"], row["rollout_idx"]) == (marks.get("prompt_id"), marks.get("rollout_idx"))
-                    flags = {n: marks[n] for n in _FLAGS} if mine else {"answer": "", "is_selected": False, "is_majority": False, "direction_sign": 0}
-                    out.write(((",\n" if count else "\n") + json.dumps({n: row[n] for n in _TEXTS} | flags, ensure_ascii=False)).encode())
+                    mine = marks is not None and row[1:3] == marks[1:3]
+                    fields = [*row[: len(_TEXTS)], *(marks[len(_TEXTS) :] if mine else ("", False, False, 0))]
+                    said.append(("," if count else "") + _LINE % tuple(map(_json, fields)))
                     count += 1
+                if out is not None:
+                    out.write("".join(said).encode())
         if out is not None:
             self._end(out, count)
         return Pending(files)

@@ -99,6 +99,18 @@ def test_a_lost_task_publishes_nothing(spark):
     assert [(d.step, d.num_samples, [g.completion for g in d.generations]) for d in docs] == [(5, 2, ["c \u00e9\n"] * 2)]
 
 
+def test_documents_are_json_whatever_the_values(spark):
+    path = new_path(spark, "values")
+    texts = ['say "hi"\\n', "\x00\x1f\u2028 \u00e9\U0001f600", "", None]
+    marks = [{"flush_step": 5, "kind": 0, "step": None, "prompt_id": 1, "rollout_idx": i, "prompt": None, "completion": None, "ground_truth": None, "answer": t, "is_selected": i == 0, "is_majority": None, "direction_sign": -1} for i, t in enumerate(texts)]
+    rows = [{"flush_step": 5, "kind": 1, "step": 1, "prompt_id": 1, "rollout_idx": i, "prompt": t, "completion": t, "ground_truth": t, "answer": None, "is_selected": None, "is_majority": None, "direction_sign": None} for i, t in enumerate(texts)]
+    both = [r for pair in zip(marks, rows) for r in pair]
+    writer = flushes.FlushWriter(path)
+    writer.commit([writer.write(iter(pa.RecordBatch.from_pylist(both[lo : lo + 3]) for lo in range(0, 8, 3)))])
+    (doc,) = flushes.read_flushes(spark, path).collect()
+    assert [(g.prompt, g.answer, g.is_selected, g.is_majority, g.direction_sign) for g in doc.generations] == [(t, t, i == 0, None, -1) for i, t in enumerate(texts)]
+
+
 def test_sampling_does_not_depend_on_partitioning(spark):
     one = spark.range(0, 5000, 1, 1).withColumnRenamed("id", "k")
     many = one.repartition(13)
