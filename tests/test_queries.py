@@ -83,12 +83,13 @@ def test_scans_are_cut_by_rows_not_by_cores(spark, sf_dir, tmp_path):
     try:
         QUERIES["head_n"](spark, sf_dir)
         assert spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions() >= 5
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(16 << 20)
         spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
         QUERIES["head_n"](spark, sf_dir)
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
     finally:
-        for name in ("minPartitionNum", "maxPartitionBytes", "openCostInBytes"):
-            spark.conf.unset(f"spark.sql.files.{name}")
+        for name in ("files.minPartitionNum", "files.maxPartitionBytes", "files.openCostInBytes", "adaptive.advisoryPartitionSizeInBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
 
 
 def test_entry(spark):
