@@ -20,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolltally.llm.store import store
@@ -127,58 +127,59 @@ def _joined(members: pa.Table, vectors: pa.Table, size: int, degree: int) -> pa.
 
 
 def _measured(pairs: pa.Table, vectors: pa.Table, size: int) -> pa.Table:
-    """One block: pairs (query, node), and the vectors of all queries and nodes in them."""
+    """One block: pairs (query, node), each once or several times, and the vectors of all queries and nodes in them."""
     ids = _plain(vectors, "id")
     by_id = np.argsort(ids)
     x = matrix(vectors.column("vector"), size).astype(np.float32)[by_id]
-    query, node = _plain(pairs, "query"), _plain(pairs, "node")
+    query, node, worst = _plain(pairs, "query"), _plain(pairs, "node"), _plain(pairs, "worst")
+    order = np.lexsort((node, query))
+    query, node, worst = query[order], node[order], worst[order]
+    new = np.ones(len(query), dtype=bool)
+    new[1:] = (query[1:] != query[:-1]) | (node[1:] != node[:-1])
+    query, node, worst = query[new], node[new], worst[new]
     a, b = np.searchsorted(ids[by_id], query), np.searchsorted(ids[by_id], node)
     d = np.empty(len(a), dtype=np.float32)
     for i in range(0, len(a), 65_536):
         j = slice(i, i + 65_536)
         d[j] = ((x[a[j]] - x[b[j]]) ** 2).sum(axis=1)
-    nearer = d < _plain(pairs, "worst")
+    nearer = d < worst
     return pa.table({"u": query[nearer], "w": node[nearer], "d": d[nearer]})
 
 
 def _best(links: DataFrame, most: int) -> DataFrame:
-    """Of every ``u`` the ``most`` shortest links; a link that was there is not fresh."""
+    """Of every ``u`` the ``most`` shortest links, with the distance that a link must beat: infinite as long as there are fewer. A link that was there is not fresh."""
     distinct = links.groupBy("u", "w").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     order = Window.partitionBy("u").orderBy("d", "w")
-    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    kept = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    last = F.max(F.when(F.col("rank") == most, F.col("d"))).over(Window.partitionBy("u"))
+    return kept.withColumn("worst", F.coalesce(last, F.lit(float("inf")).cast("float")))
 
 
 def graph(points: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """``id, vector, codes, block`` -> links ``u, w, d, fresh, rank``, about ``degree`` per vector."""
-    links = None
-    for turn in range(TABLES):
-        coded = points.select("id", "vector", F.get("codes", F.lit(turn)).alias("code"))
-        lots = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("lots"))
-        dealt = coded.join(lots, "code").withColumn("lot", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("lots")))
-        found = dealt.select("code", "lot", "id", "vector").groupBy("code", "lot").applyInArrow(lambda t: _within(t, size), _LINK)
-        links = found if links is None else links.unionByName(found)
-    links = store(_best(links.withColumn("fresh", F.lit(True)), degree), "ann-links")
+    """``id, vector, codes, block`` -> links ``u, w, d, fresh, rank, worst``, about ``degree`` per vector."""
+    coded = points.select("id", "vector", F.posexplode(F.slice("codes", 1, TABLES)).alias("turn", "code"))
+    lots = coded.groupBy("turn", "code").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("lots"))
+    dealt = coded.join(lots, ["turn", "code"]).withColumn("lot", F.pmod(F.xxhash64("id", "turn"), F.col("lots")))
+    found = dealt.select("turn", "code", "lot", "id", "vector").groupBy("turn", "code", "lot").applyInArrow(lambda t: _within(t, size), _LINK)
+    links = store(_best(found.withColumn("fresh", F.lit(True)), degree), "ann-links")
     for turn in range(rounds):
-        out = links.groupBy(F.col("u").alias("id")).agg(F.max("fresh").alias("fresh_out"), F.max("d").alias("last"), F.max("rank").alias("held"))
-        back = links.groupBy(F.col("w").alias("id")).agg(F.max("fresh").alias("fresh_back"), F.count(F.lit(1)).alias("backs"))
-        worst = F.when(F.col("held") >= degree, F.col("last")).otherwise(F.lit(float("inf"))).cast("float")
-        nodes = points.select("id", "block", "vector").join(out, "id", "left").join(back, "id", "left").select(
-            "id", "block", "vector", worst.alias("worst"), F.ceil(F.coalesce("backs", F.lit(1)) / LOT).cast("int").alias("lots"),
-            (F.coalesce("fresh_out", F.lit(False)) | F.coalesce("fresh_back", F.lit(False))).alias("active"),
-        )
-        nodes = store(nodes, "ann-state")
         both = links.select(F.col("u").alias("center"), F.col("w").alias("member"), "fresh", F.lit(False).alias("back")).unionByName(
             links.select(F.col("w").alias("center"), F.col("u").alias("member"), "fresh", F.lit(True).alias("back"))
         )
+        active = both.groupBy("center").agg(F.max("fresh").alias("active"), F.ceil(F.greatest(F.count_if("back"), F.lit(1)) / LOT).cast("int").alias("lots")).where("active")
+        centers = active.join(points.select(F.col("id").alias("center"), "block"), "center")
         lots = F.when(F.col("back"), F.array(F.pmod(F.xxhash64("member", F.lit(turn)), F.col("lots")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("lots") - 1))
-        centers = nodes.where("active").select(F.col("id").alias("center"), "block", "lots")
         members = store(both.join(centers, "center").select("block", "center", "member", "fresh", (F.col("lots") > 1).alias("split"), F.explode(lots).alias("lot")), "ann-members")
-        wanted = members.select(F.col("block").alias("at"), F.col("member").alias("id")).distinct().join(nodes.select("id", "vector", "worst"), "id")
+        # Whoever is linked has a first link of its own: buckets and blocks link both ways.
+        held = links.where(F.col("rank") == 1).select(F.col("u").alias("id"), "worst")
+        wanted = members.select(F.col("block").alias("at"), F.col("member").alias("id")).distinct().join(points.select("id", "vector"), "id").join(held, "id")
         compare = partial(_joined, size=size, degree=degree)
         found = members.groupBy("block").cogroup(wanted.select("at", "id", "vector", "worst").groupBy("at")).applyInArrow(_two_tables(compare), _LINK)
         old = links.select("u", "w", "d", F.lit(False).alias("fresh"))
-        links = store(_best(old.unionByName(found.withColumn("fresh", F.lit(True))), degree), "ann-links")
-        share = links.agg(F.avg(F.col("fresh").cast("int"))).first()[0]
+        seen = Observation()
+        better = _best(old.unionByName(found.withColumn("fresh", F.lit(True))), degree)
+        links = store(better.observe(seen, F.avg(F.col("fresh").cast("int")).alias("share")), "ann-links")
+        share = seen.get["share"]
         if not share or share < SETTLED:
             break
     return links
@@ -197,7 +198,7 @@ def _distances(pairs: DataFrame, points: DataFrame, size: int, blocks: int, part
     """``query, node, worst`` -> ``u, w, d`` of those nearer than ``worst``. Pairs are dealt by query and by node into blocks that get every vector they need once."""
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)) * parts + F.pmod(F.xxhash64("node", F.lit("part")), F.lit(parts))
     dealt = pairs.withColumn("block", block)
-    needed = dealt.select(F.col("block").alias("at"), F.col("node").alias("id")).union(dealt.select("block", "query")).distinct()
+    needed = dealt.select(F.col("block").alias("at"), F.explode(F.array("node", "query")).alias("id")).distinct()
     vectors = needed.join(points.select("id", "vector"), "id").select("at", "id", "vector")
     return dealt.groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_two_tables(partial(_measured, size=size)), _LINK)
 
@@ -214,21 +215,22 @@ def greedy(queries: DataFrame, links: DataFrame, points: DataFrame, size: int, b
     parts = max(1, -(-BLOCKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism // blocks))
     entry = F.struct(F.lit(0.0).cast("float").alias("d"), F.col("query").alias("node"), F.lit(True).alias("open"))
     state = store(queries.select("query", F.array(entry).alias("beam")), "ann-beam")
-    while True:
-        opened = state.select("query", F.slice(F.filter("beam", lambda n: n["open"]), 1, step).alias("now"), "beam").where(F.size("now") > 0)
+    left = count
+    while left:
+        now = F.slice(F.filter("beam", lambda n: n["open"]), 1, step)["node"]
         worst = F.when(F.size("beam") >= beam, F.element_at("beam", -1)["d"]).otherwise(float("inf")).cast("float")
-        frontier = opened.select("query", worst.alias("worst"), F.explode("now.node").alias("u"))
-        if frontier.isEmpty():
-            break
-        known = state.select("query", F.explode("beam.node").alias("node"))
-        reached = frontier.join(both, "u").select("query", F.col("w").alias("node"), "worst").distinct().join(known, ["query", "node"], "left_anti")
+        frontier = state.select("query", worst.alias("worst"), F.explode(now).alias("u"))
+        reached = frontier.join(both, "u").select("query", F.col("w").alias("node"), "worst")
         found = _distances(reached, points, size, blocks, parts)
         near = found.groupBy(F.col("u").alias("query")).agg(F.collect_list(F.struct("d", F.col("w").alias("node"), F.lit(True).alias("open"))).alias("near"))
-        expanded = F.slice(F.filter("beam", lambda n: n["open"]), 1, step)["node"]
         kept = F.transform("beam", lambda n: F.struct(n["d"].alias("d"), n["node"].alias("node"), (n["open"] & ~F.array_contains(F.col("now"), n["node"])).alias("open")))
-        old = state.withColumn("now", expanded).select("query", kept.alias("beam"))
-        merged = F.when(F.col("near").isNull(), F.col("beam")).otherwise(F.slice(F.array_sort(F.concat("beam", "near")), 1, beam))
-        state = store(old.join(near, "query", "left").select("query", merged.alias("beam")), "ann-beam")
+        old = state.withColumn("now", now).select("query", kept.alias("beam"))
+        unmet = F.filter("near", lambda n: ~F.array_contains(F.col("beam.node"), n["node"]))
+        merged = F.when(F.col("near").isNull(), F.col("beam")).otherwise(F.slice(F.array_sort(F.concat("beam", unmet)), 1, beam))
+        opened = old.join(near, "query", "left").select("query", merged.alias("beam"))
+        seen = Observation()
+        state = store(opened.observe(seen, F.count_if(F.exists("beam", lambda n: n["open"])).alias("left")), "ann-beam")
+        left = seen.get["left"]
     return state.select("query", F.explode("beam").alias("n")).select("query", "n.node", "n.d")
 
 
@@ -237,20 +239,40 @@ def search(table: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_i
     rows = table.select(table[vec_id].cast("long").alias("vec_id"), table[vector].alias("vector"))
     taken = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rounds = _rounds_session(table.sparkSession)
     for size in sizes(taken):
-        out = out.unionByName(_search(taken.where(F.size("vector") == size), size, every, k, degree, beam))
+        out = out.unionByName(_search(taken.where(F.size("vector") == size), rounds, size, every, k, degree, beam))
     return out
 
 
-def _search(taken: DataFrame, size: int, every: int, k: int, degree: int, beam: int) -> DataFrame:
+def _rounds_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, in which a round is one job of shuffles.
+
+    Adaptive plans take a job, a thread and a new plan per exchange, broadcasts a thread and a table in the driver. Over dozens of small rounds that is most of
+    the driver's memory, and the rounds' tables are even by construction: ids are hashed, hubs and large blocks are dealt into lots.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return own
+
+
+def _search(taken: DataFrame, rounds: SparkSession, size: int, every: int, k: int, degree: int, beam: int) -> DataFrame:
     # A group of equal vectors answers with its k + 1 smallest ids at most.
     place = Window.partitionBy("vector").orderBy("vec_id")
     few = taken.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
     folded = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("id"))
-    nodes = store(folded, "ann-nodes")
+    nodes = store(folded, "ann-nodes", rounds)
     count = nodes.count()
+    cores = taken.sparkSession.sparkContext.defaultParallelism
+    # Nothing merges small partitions, so there are no more than the smallest blocks would be.
+    most = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds.conf.set("spark.sql.shuffle.partitions", str(min(most, max(1, -(-count // LEAST_BLOCK)))))
     points = nodes.select("id", F.col("vector").cast("array<float>").alias("vector"))
-    blocks = max(count // BLOCK, min(count // LEAST_BLOCK, BLOCKS_PER_CORE * taken.sparkSession.sparkContext.defaultParallelism))
+    blocks = max(count // BLOCK, min(count // LEAST_BLOCK, BLOCKS_PER_CORE * cores))
     bits = [(count // BUCKET).bit_length()] * TABLES + [blocks.bit_length()]
     points = points.mapInArrow(partial(_coded, size=size, bits=bits), "id long, vector array<float>, codes array<long>")
     points = store(points.withColumn("code", F.get("codes", F.lit(TABLES))), "ann-coded")
@@ -259,8 +281,8 @@ def _search(taken: DataFrame, size: int, every: int, k: int, degree: int, beam:
     part = F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts"))
     points = store(points.join(parts, "code").select("id", "vector", "codes", (F.shiftleft("code", 24) + part).alias("block")), "ann-points")
     links = graph(points, size, max(1, min(degree, count - 1)))
-    asked = taken.where(F.col("vec_id") % every == 0).join(nodes.select("vector", F.col("id").alias("query")), "vector").select(F.col("vec_id").alias("query_id"), "query").distinct()
-    asked = store(asked, "ann-queries")
+    asked = store(taken.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct(), "ann-asked", rounds)
+    asked = store(asked.join(nodes.select("vector", F.col("id").alias("query")), "vector").select("query_id", "query").distinct(), "ann-queries")
     near = greedy(asked.select("query").distinct(), links, points, size, beam)
     exact = nodes.select("id", "ids", F.col("vector").cast("array<double>").alias("vector"))
     pairs = near.join(exact.select(F.col("id").alias("query"), F.col("vector").alias("q")), "query").join(exact.withColumnRenamed("id", "node"), "node")
@@ -268,7 +290,8 @@ def _search(taken: DataFrame, size: int, every: int, k: int, degree: int, beam:
     scored = pairs.select("query", "ids", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
     found = asked.join(scored, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return store(ranked, "ann-near", taken.sparkSession)
 
 
 def op9_neighbours(table: DataFrame) -> DataFrame:

@@ -156,6 +156,29 @@ def test_greedy_search_walks_to_the_end(spark):
     assert sorted((r.query, r.node, r.d) for r in got.collect()) == [(0, i, float(i * i)) for i in range(10)]
 
 
+def test_a_round_is_few_jobs_and_settings_stay(spark, monkeypatch):
+    """What a job, an exchange of an adaptive plan or a broadcast leaves in the driver adds up over the rounds: a write per table, no more."""
+    writes, plain = [], ann.store
+    monkeypatch.setattr(ann, "store", lambda df, name, *to: writes.append(name) or plain(df, name, *to))
+    before = dict(spark.conf.getAll)
+    spark.sparkContext.setJobGroup("few-jobs", "neighbours")
+    try:
+        assert len(ann.op9_neighbours(spark.createDataFrame(vectors(300), SCHEMA)).collect()) == 70
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert dict(spark.conf.getAll) == before
+    assert writes.count("ann-members") >= 2 and writes.count("ann-beam") >= 3  # there were rounds
+    assert len(jobs) <= len(writes) + 20
+
+
+def test_pairs_are_measured_once():
+    pairs = pa.table({"query": [5, 1, 5, 5, 1], "node": [2, 2, 2, 3, 2], "worst": pa.array([9.0, 9.0, 9.0, 0.5, 9.0], pa.float32())})
+    nodes = pa.table({"id": [3, 1, 2, 5], "vector": pa.array([[3.0], [1.0], [2.0], [5.0]], pa.list_(pa.float32()))})
+    got = ann._measured(pairs, nodes, 1).to_pydict()
+    assert sorted(zip(*got.values(), strict=True)) == [(1, 2, 1.0)]  # 5 to 2 is 9, 5 to 3 is 4: not nearer than the worst
+
+
 def test_few_neighbours(spark):
     data = [(0, [1.0, 0.0], 0), (100, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (200, None, 0)]
     got = [tuple(r) for r in ann.op9_neighbours(spark.createDataFrame(data, SCHEMA)).collect()]
